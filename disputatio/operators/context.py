@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from disputatio.functions.lexicons import AMBIGUOUS_WORDS, Lexicon, word_list
 from disputatio.functions.text import CASED_WORD, split_sentences
+from disputatio.session import spread
 
 # Sentences taken before a sentence; one fewer (itself included) is taken from it on.
 GENERAL_RADIUS = 5
@@ -48,7 +49,18 @@ def ambiguous_words(sentence: Column, lang: Column, lexicon: Lexicon = AMBIGUOUS
 
 def explode_sentences(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """One row per sentence: the keys, ``sent_id`` (from 0) and ``sentence``."""
-    return df.select(*keys, F.posexplode(split_sentences(F.col(text))).alias("sent_id", "sentence"))
+    rows = spread(df).select(*keys, F.posexplode_outer(split_sentences(F.col(text))).alias("sent_id", "sentence"))
+    return rows.where(F.col("sent_id").isNotNull())
+
+
+def _unpack(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per element of ``_rows``.
+
+    The outer form is meant: for the plain one Spark adds a filter on the array's size, which computes
+    the whole array a second time and, below the projections, all sentences once per sentence.
+    """
+    out = rows.select(*keys, F.inline_outer("_rows"))
+    return out.where(F.col("sent_id").isNotNull())
 
 
 def sentence_contexts(
@@ -60,7 +72,7 @@ def sentence_contexts(
     output: str = "context",
 ) -> DataFrame:
     """One row per sentence with its neighbourhood."""
-    lists = df.select(*keys, split_sentences(F.col(text)).alias("_sentences"))
+    lists = spread(df).select(*keys, split_sentences(F.col(text)).alias("_sentences"))
     rows = lists.select(
         *keys,
         F.transform(
@@ -72,7 +84,7 @@ def sentence_contexts(
             ),
         ).alias("_rows"),
     )
-    return rows.select(*keys, F.inline("_rows"))
+    return _unpack(rows, keys)
 
 
 def prepare_sentences(
@@ -97,7 +109,7 @@ def prepare_sentences(
     if method not in ("context", "llm", None):
         raise ValueError(f"unknown rewriting method {method!r}; choose 'llm', 'context' or None")
     language = F.col(lang) if lang else F.lit(None).cast("string")
-    lists = df.select(*keys, language.alias("_lang"), split_sentences(F.col(text)).alias("_sentences"))
+    lists = spread(df).select(*keys, language.alias("_lang"), split_sentences(F.col(text)).alias("_sentences"))
     sentences = F.col("_sentences")
 
     def row(s: Column, i: Column) -> Column:
@@ -117,4 +129,4 @@ def prepare_sentences(
         return F.struct(*fields)
 
     rows = lists.select(*keys, F.transform(sentences, row).alias("_rows"))
-    return rows.select(*keys, F.inline("_rows"))
+    return _unpack(rows, keys)

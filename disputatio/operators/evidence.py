@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from disputatio.functions.text import plain_form, split_sentences
 
@@ -43,7 +44,10 @@ def with_best_sentence(df: DataFrame, query: str, context: str, prefix: str = "b
     )
 
 
-@F.pandas_udf("struct<pos:int,score:double>")
+CLOSEST = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+
+@F.pandas_udf(CLOSEST)
 def _closest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for queries, lists in batches:
         found = []

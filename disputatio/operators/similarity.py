@@ -54,22 +54,50 @@ def overlap_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _token_set(text: Column) -> Column:
+    """The word set, never null: over a nullable one Spark would compute it again in a null filter."""
+    return F.coalesce(token_set(text), F.array().cast("array<string>"))
+
+
 def _prefix(tokens: Column, threshold: float) -> Column:
     """The leading words of which a pair reaching the threshold must share its first common one."""
     size = F.size(tokens)
     return F.slice(tokens, 1, size - F.ceil(size * threshold - SLACK).cast("int") + 1)
 
 
-def _candidate(left: Column, right: Column, token: Column, threshold: float) -> Column:
-    """Cheap size test first; then the pair must meet here, at its first common word, and share enough."""
-    nl, nr = F.size(left), F.size(right)
-    common = F.array_intersect(left, right)
+def _signature(tokens: Column) -> Column:
+    """64 bits, one set for each word by its hash."""
+    bits = F.aggregate(
+        tokens,
+        F.lit(0).cast("long"),
+        lambda acc, w: acc.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+        ),
+    )
+    return F.coalesce(bits, F.lit(0).cast("long"))
+
+
+def _candidate(threshold: float) -> Column:
+    """Whether corpus set ``_c`` and topic set ``_t`` reach the threshold and first meet at ``_token``.
+
+    The tests go from cheap to costly: set sizes; words left from the meeting place on, as none is
+    shared before it; words that cannot be shared by the signatures (every bit of one side missing on
+    the other is at least one word it has alone); the shared words themselves; and that this is their
+    first one, so that each pair is kept once.
+    """
+    nl, nr = F.size("_c"), F.size("_t")
     needed = (nl + nr) * (threshold / (1 + threshold)) - SLACK
+    only_c = F.bit_count(F.col("_cs").bitwiseAND(F.bitwise_not(F.col("_ts"))))
+    only_t = F.bit_count(F.col("_ts").bitwiseAND(F.bitwise_not(F.col("_cs"))))
+    common = F.array_intersect("_c", "_t")
     return (
         (nr >= nl * threshold - SLACK)
         & (nl >= nr * threshold - SLACK)
+        & (F.least(nl - F.col("_cp"), nr - F.col("_tp")) >= needed)
+        & (nl - only_c >= needed)
+        & (nr - only_t >= needed)
         & (F.size(common) >= needed)
-        & (F.element_at(common, 1) == token)
+        & (F.element_at(common, 1) == F.col("_token"))
     )
 
 
@@ -99,7 +127,7 @@ def text_top_k(
     """
     if threshold <= 0:
         raise ValueError("the text search needs a threshold above 0")
-    t = topics.select(F.col(topic), token_set(F.col(topic)).alias("_t")).where(F.size("_t") > 0)
+    t = topics.select(F.col(topic), _token_set(F.col(topic)).alias("_t")).where(F.size("_t") > 0)
     total = measure(t, F.coalesce(F.sum(F.size("_t")), F.lit(0)).alias("n"))["n"]
     if total <= broadcast_tokens:
         hits = _text_hits_broadcast(t, corpus, corpus_text, threshold)
@@ -121,12 +149,16 @@ def with_num_matches(hits: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _text_hits_broadcast(t: DataFrame, corpus: DataFrame, text: str, threshold: float) -> DataFrame:
-    wanted = t.withColumn("_token", F.explode(_prefix(F.col("_t"), threshold)))
-    rows = corpus.withColumn("_c", token_set(F.col(text)))
-    rows = rows.withColumn("_token", F.explode(_prefix(F.col("_c"), threshold)))
+    wanted = t.withColumn("_ts", _signature(F.col("_t")))
+    wanted = wanted.select("*", F.posexplode_outer(_prefix(F.col("_t"), threshold)).alias("_tp", "_token"))
+    rows = corpus.withColumn("_c", _token_set(F.col(text))).withColumn("_cs", _signature(F.col("_c")))
+    rows = rows.select("*", F.posexplode_outer(_prefix(F.col("_c"), threshold)).alias("_cp", "_token"))
+    # the outer explode spares the size filter Spark would add, which computes every word set twice
     met = rows.join(F.broadcast(wanted), "_token")
-    met = met.where(_candidate(F.col("_c"), F.col("_t"), F.col("_token"), threshold))
-    return met.withColumn("similarity", overlap_similarity(F.col("_c"), F.col("_t"))).drop("_c", "_t", "_token")
+    met = met.where(_candidate(threshold))
+    return met.withColumn("similarity", overlap_similarity(F.col("_c"), F.col("_t"))).drop(
+        "_c", "_cs", "_cp", "_t", "_ts", "_tp", "_token"
+    )
 
 
 def _text_hits_shuffled(
@@ -141,20 +173,21 @@ def _text_hits_shuffled(
 ) -> DataFrame:
     # A topic never needs more than the first k of the rows that share one word set, since they all
     # have the same similarity and ties go to the lower key.
-    members = corpus.select(*key, token_set(F.col(text)).alias("_c")).where(F.size("_c") > 0)
+    members = corpus.select(*key, _token_set(F.col(text)).alias("_c")).where(F.size("_c") > 0)
     members = top_k_per_group(members, ["_c"], [F.col(c) for c in key], k, "_nth", two_level)
     sets = members.where(F.col("_nth") == 0).select("_c", F.size("_c").alias("_size"))
-    sets = sets.withColumn("_token", F.explode(_prefix(F.col("_c"), threshold)))
-    topic_sets = t.select("_t").distinct()
+    sets = sets.withColumn("_cs", _signature(F.col("_c")))
+    sets = sets.select("*", F.posexplode_outer(_prefix(F.col("_c"), threshold)).alias("_cp", "_token"))
+    topic_sets = t.select("_t").distinct().withColumn("_ts", _signature(F.col("_t")))
     n = F.size("_t")
     sizes = F.sequence(
         F.greatest(F.ceil(n * threshold - SLACK), F.lit(1)).cast("int"),
         F.floor(n / threshold + SLACK).cast("int"),
     )
-    wanted = topic_sets.withColumn("_token", F.explode(_prefix(F.col("_t"), threshold)))
+    wanted = topic_sets.select("*", F.posexplode_outer(_prefix(F.col("_t"), threshold)).alias("_tp", "_token"))
     wanted = wanted.withColumn("_size", F.explode(sizes))
     pairs = sets.join(wanted, ["_token", "_size"])
-    pairs = pairs.where(_candidate(F.col("_c"), F.col("_t"), F.col("_token"), threshold))
+    pairs = pairs.where(_candidate(threshold))
     pairs = pairs.select("_c", "_t", overlap_similarity(F.col("_c"), F.col("_t")).alias("similarity"))
     hits = pairs.join(members.drop("_nth"), "_c").join(t, "_t")
     return hits.select(topic, *key, "similarity")

@@ -55,3 +55,15 @@ def checkpointed(df: DataFrame, label: str = "cut") -> DataFrame:
 def measure(df: DataFrame, *aggregates: Column) -> Row:
     """One row of aggregates, used to check a side's size before it is broadcast."""
     return df.agg(*aggregates).first()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a frame read from very few files over all cores.
+
+    Only the number of planned partitions is looked at, no job runs. A table of many files has more
+    partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
