@@ -71,7 +71,7 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def assign_set(key: Column, parts: tuple[tuple[str, int], ...] = (("train", 70), ("dev", 15), ("test", 15))) -> Column:
     """Repeatable split into named parts by a hash of the key, in percent."""
-    bucket = F.pmod(F.crc32(key.cast("string")), F.lit(100))
+    bucket = F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("int") % 100
     out, upper = F, 0
     for name, percent in parts:
         upper += percent

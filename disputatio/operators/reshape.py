@@ -48,14 +48,15 @@ def require_field(df: DataFrame, struct: str, field: str) -> None:
 def first_record(df: DataFrame, language: str, fields: Sequence[str], key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Chosen fields of the first record in a language, per key.
 
-    The minimum of an (order, fields) struct is found with map-side partial results, so a key with
-    very many records is never gathered in one place.
+    ``order`` must tell the records of a key apart. Only key and order are grouped, with map-side minima,
+    so a key with very many records is never gathered; the texts are then picked by a join with one row
+    per key.
     """
-    require_columns(df, [*fields, *key, *order])
+    require_columns(df, [*fields, *key, *order, "language"])
     rows = df.where(F.col("language") == language)
-    first = F.min(F.struct(*[F.col(o).alias(f"o_{o}") for o in order], *[F.col(f).alias(f"f_{f}") for f in fields]))
-    out = rows.groupBy(*key).agg(first.alias("_first"))
-    return out.select(*key, *[F.col(f"_first.f_{f}").alias(f) for f in fields])
+    first = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
+    picked = first.select(*key, *[F.col(f"_first.{o}").alias(o) for o in order])
+    return rows.join(picked, [*key, *order], "left_semi").select(*key, *fields)
 
 
 def rename_project(df: DataFrame, names: Mapping[str, str] = DISPLAY_NAMES) -> DataFrame:
