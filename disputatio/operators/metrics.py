@@ -63,17 +63,16 @@ def classification_report(confusion: DataFrame, names: Column, group: Sequence[s
     def weighted(name: str) -> Column:
         return F.sum(F.col(name) * F.col("support")) / total
 
+    def row(kind: str, precision: Column, recall: Column, f1: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("class"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), total.alias("support")
+        )
+
     empty = F.lit(None).cast("double")
     rows = F.array(
-        F.struct(
-            F.lit("accuracy").alias("class"),
-            empty.alias("precision"),
-            empty.alias("recall"),
-            (F.sum("tp") / total).alias("f1"),
-            total.alias("support"),
-        ),
-        F.struct(F.lit("macro avg").alias("class"), F.avg("precision"), F.avg("recall"), F.avg("f1"), total),
-        F.struct(F.lit("weighted avg").alias("class"), weighted("precision"), weighted("recall"), weighted("f1"), total),
+        row("accuracy", empty, empty, F.sum("tp") / total),
+        row("macro avg", F.avg("precision"), F.avg("recall"), F.avg("f1")),
+        row("weighted avg", weighted("precision"), weighted("recall"), weighted("f1")),
     )
     summary = rates.groupBy(*group).agg(rows.alias("_rows")).select(*group, F.inline("_rows"))
     return classes.unionByName(summary)
