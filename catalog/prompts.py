@@ -69,8 +69,8 @@ def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.element_at(F.array(F.lit("pro"), F.lit("contra"), F.lit("neutral")), (F.col("n_nationkey") % 3 + 1).cast("int"))
     rows = n.join(r, n.n_regionkey == r.r_regionkey)
     examples = few_shot_examples(rows.select("n_nationkey", F.col("r_name").alias("thema"), F.col("n_name").alias("argument"), label.alias("label")), "n_nationkey")
-    items = table(spark, sf_dir, "benchmark").join(examples)  # one row of examples
-    slots = {"examples": F.col("examples"), "topic_text": F.concat(F.lit("Text "), "item_id"), "text_sample": F.col("text")}
+    items = table(spark, sf_dir, "benchmark")
+    slots = {"examples": examples.scalar(), "topic_text": F.concat(F.lit("Text "), "item_id"), "text_sample": F.col("text")}
     return items.select("item_id", render_prompt(PROMPTS["stance_few_shot"], slots).alias("prompt"))
 
 

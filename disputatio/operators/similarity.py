@@ -125,10 +125,7 @@ def text_top_k(
     fit the checked bound, they travel to the corpus and the corpus does not move at all. If not, both
     sides meet by (word, set size), with equal word sets of the corpus merged first.
     """
-    if threshold <= 0:
-        raise ValueError("the text search needs a threshold above 0")
-    t = topics.select(F.col(topic), _token_set(F.col(topic)).alias("_t")).where(F.size("_t") > 0)
-    total = measure(t, F.coalesce(F.sum(F.size("_t")), F.lit(0)).alias("n"))["n"]
+    t, total = _topic_sets(topics, topic, threshold)
     if total <= broadcast_tokens:
         hits = _text_hits_broadcast(t, corpus, corpus_text, threshold)
     else:
@@ -141,6 +138,36 @@ def text_top_k(
     return with_num_matches(ranked, [topic])
 
 
+def _topic_sets(topics: DataFrame, topic: str, threshold: float) -> tuple[DataFrame, int]:
+    """Word set of each topic text, and the number of words in all of them."""
+    if threshold <= 0:
+        raise ValueError("the text search needs a threshold above 0")
+    t = topics.select(F.col(topic), _token_set(F.col(topic)).alias("_t")).where(F.size("_t") > 0)
+    return t, measure(t, F.coalesce(F.sum(F.size("_t")), F.lit(0)).alias("n"))["n"]
+
+
+def text_matches(
+    topics: DataFrame,
+    corpus: DataFrame,
+    *,
+    topic: str,
+    corpus_text: str,
+    threshold: float,
+    strict: bool = False,
+    broadcast_tokens: int = BROADCAST_TOKENS,
+) -> DataFrame:
+    """All pairs above the threshold, without the top-k cut: the form that also runs on a stream.
+
+    Only for topics within the checked bound; a stream with more of them uses :func:`text_top_k` on
+    its micro-batches.
+    """
+    t, total = _topic_sets(topics, topic, threshold)
+    if total > broadcast_tokens:
+        raise ValueError(f"{total} topic words exceed the bound of {broadcast_tokens}; search micro-batches with text_top_k")
+    hits = _text_hits_broadcast(t, corpus, corpus_text, threshold)
+    return hits.where(above(F.col("similarity"), threshold, strict))
+
+
 def with_num_matches(hits: DataFrame, group: Sequence[str]) -> DataFrame:
     """Hits per topic, after the top-k cut."""
     return hits.withColumn("num_matches", F.count(F.lit(1)).over(Window.partitionBy(*group)).cast("int"))
