@@ -337,12 +337,12 @@ def _cosine_hits_grid(
         F.col("topic_id").cast("long").alias("id"),
         F.col("vector").cast("array<double>").alias("vector"),
         F.pmod(F.xxhash64("topic_id"), F.lit(groups)).alias("g"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("b"),
+        F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"),
     )
     right = corpus.select(
         F.col("corpus_id").cast("long").alias("id"),
         F.col("vector").cast("array<double>").alias("vector"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("g"),
+        F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("g"),
         F.pmod(F.xxhash64("corpus_id"), F.lit(blocks)).alias("b"),
     )
 
