@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from disputatio.operators.stance import CueRule
+from disputatio.session import spread
 
 # Cue words that occur in the test documents; `from` stands in for an English negation, of which they have none.
 TEST_PRO = {"de": ["für", "mit"], "fr": ["pour", "avec"], "es": ["para", "con"], "en": ["for", "with"]}
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on; each of the driver's tables is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sql_list(items) -> str:
     return "[" + ", ".join("'" + str(i).replace("'", "''") + "'" for i in items) + "]"
 

@@ -24,7 +24,7 @@ from catalog.base import (
     sql_stance,
     sql_window,
     sql_words,
-    table,
+    spread_table,
 )
 from disputatio.functions.parsing import SPEAKER
 from disputatio.operators.ranking import running_counts
@@ -47,12 +47,12 @@ KEY = ["doc_id", "sent_id"]
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     return build_collection(docs, ["doc_id", "source"], "text", "lang", html=False)
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_topics(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return prepare_topics(spread_table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 def q_find_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import TEST_CONTRA, TEST_CUES, TEST_PRO, sql_edit_ratio, sql_list, sql_plain, sql_sentence_list, table
+from catalog.base import TEST_CONTRA, TEST_PRO, sql_edit_ratio, sql_list, sql_plain, sql_sentence_list, spread_table, table
 from disputatio.functions.parsing import parse_dict_list, parse_evidence
 from disputatio.functions.prompts import (
     PROMPTS,
@@ -23,7 +24,6 @@ from disputatio.operators.evidence import with_best_sentence, with_best_sentence
 from disputatio.operators.generation import batch_generate, explode_segments, generate_from_template, translate_columns
 from disputatio.operators.stance import says_yes, stance_from_generation
 from disputatio.plans.evaluation import evaluate_evidence, extract_evidence
-from disputatio.session import spread
 
 # Models with their client and chat template.
 MODEL_REGISTRY = [
@@ -39,7 +39,7 @@ MODEL_REGISTRY = [
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the answer that follows it in the conversation."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = spread_table(spark, sf_dir, "conversations")
     asked = rows.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     answered = rows.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return asked.join(answered, ["conv_id", "turn"])
@@ -51,7 +51,8 @@ def q_render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODEL_REGISTRY, "model string, client string, template string")
+    names = ("model", "client", "template")
+    return spark.createDataFrame(pa.table({n: pa.array([m[i] for m in MODEL_REGISTRY], pa.string()) for i, n in enumerate(names)}))
 
 
 def q_prompt_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.element_at(F.array(F.lit("pro"), F.lit("contra"), F.lit("neutral")), (F.col("n_nationkey") % 3 + 1).cast("int"))
     rows = n.join(r, n.n_regionkey == r.r_regionkey)
     examples = few_shot_examples(rows.select("n_nationkey", F.col("r_name").alias("thema"), F.col("n_name").alias("argument"), label.alias("label")), "n_nationkey")
-    items = table(spark, sf_dir, "benchmark")
+    items = spread_table(spark, sf_dir, "benchmark")
     slots = {"examples": examples.scalar(), "topic_text": F.concat(F.lit("Text "), "item_id"), "text_sample": F.col("text")}
     return items.select("item_id", render_prompt(PROMPTS["stance_few_shot"], slots).alias("prompt"))
 
@@ -126,7 +127,7 @@ def glossary_model():
 
 
 def q_translate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(table(spark, sf_dir, "benchmark")).withColumn("text_EN", F.lower("text"))
+    rows = spread_table(spark, sf_dir, "benchmark").withColumn("text_EN", F.lower("text"))
     return translate_columns(rows, {"text_EN": "text_DE"}, glossary_model, ["text_EN"]).drop("text")
 
 
@@ -142,7 +143,7 @@ def segment_model():
 
 
 def q_segment_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows = spread_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     answered = generate_from_template(rows, PROMPTS["segments"], {"argument_text": F.col("text")}, segment_model)
     parts = explode_segments(answered, ["conv_id", "turn"], "generation")
     return parts.select("conv_id", "turn", "segment_no", F.col("fields")["segment"].alias("segment"), F.col("fields")["stance"].alias("stance"))
@@ -154,7 +155,7 @@ def q_parse_dict_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Antwort:\n```["), F.col("props"), F.lit(",\n 'nur Text', {'event': '"), F.col("event_type"), F.lit("', 'va-\nlue': null}] ]```")
     )
     answer = F.when(F.col("event_id") % 5 == 0, F.col("props")).otherwise(answer)
-    rows = table(spark, sf_dir, "events").select("event_id", answer.alias("generation"))
+    rows = spread_table(spark, sf_dir, "events").select("event_id", answer.alias("generation"))
     items = rows.select("event_id", F.posexplode(parse_dict_list(F.col("generation"))).alias("segment_no", "fields"))
     return items.select("event_id", "segment_no", *[F.col("fields")[k].alias(k) for k in ("k", "event", "value")])
 
@@ -201,12 +202,12 @@ def q_evaluate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_evidence_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_best_sentence(spread(exchanges(spark, sf_dir)), "question", "answer")
+    rows = with_best_sentence(exchanges(spark, sf_dir), "question", "answer")
     return rows.select("conv_id", "turn", "best_sentence", "best_pos", F.round("best_score", 6).alias("best_score"))
 
 
 def q_evidence_best_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_best_sentence_by_ratio(spread(exchanges(spark, sf_dir)), "question", "answer")
+    rows = with_best_sentence_by_ratio(exchanges(spark, sf_dir), "question", "answer")
     return rows.select("conv_id", "turn", "best_sentence", "best_pos", F.round("best_score", 6).alias("best_score"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import SQL_LABEL, SQL_SCORE, TEST_CUES, sql_adjust, sql_sentences, sql_stance, sql_words, table
+from catalog.base import SQL_LABEL, SQL_SCORE, TEST_CUES, sql_adjust, sql_sentences, sql_stance, sql_words, spread_table, table
 from disputatio.functions.labels import (
     adjust_label,
     argmax,
@@ -25,14 +25,14 @@ from disputatio.operators.metrics import (
 )
 from disputatio.operators.ml import assign_set, embed_hashed, predict, train_stance_classifier
 from disputatio.operators.reshape import confidence_head, label_union, split_by_set, training_filter, with_input_text
-from disputatio.operators.stance import is_argument, passes_precheck, says_yes
+from disputatio.operators.stance import is_argument, passes_precheck, says_yes, with_struct
 from disputatio.plans.evaluation import evaluate_stance, predict_stance, prepare_training_set, split_sizes, sweep_reports
-from disputatio.session import spread
+from disputatio.session import checkpointed
 
 
 def sentence_stances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of the documents with label and score of the cue rule."""
-    rows = explode_sentences(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
+    rows = explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
     return predict_stance(rows, F.lit(None).cast("string"), F.col("sentence"), F.col("lang"), TEST_CUES)
 
 
@@ -105,16 +105,22 @@ def q_label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", code.cast("int").alias("code"), label_name(code).alias("name"))
 
 
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 1).otherwise(-1)
+    return table(spark, sf_dir, "labels").select("doc_id", truth.alias("y_true"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents: truth from the labels (toxic 0, else good 1 and bad -1)."""
-    truth = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 1).otherwise(-1)
-    marks = table(spark, sf_dir, "labels").select("doc_id", truth.alias("y_true"))
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source").join(marks, "doc_id")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return docs.join(marks(spark, sf_dir), "doc_id")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predict_stance(labelled(spark, sf_dir), F.col("source"), F.col("text"), F.col("lang"), TEST_CUES)
-    return rows.drop("text")
+    """Labelled documents with the rule's label and score; texts are scored where they lie and do not move."""
+    docs = spread_table(spark, sf_dir, "documents")
+    scored = with_struct(docs, TEST_CUES(F.col("source"), F.col("text"), F.col("lang")), "doc_id", "lang", "source")
+    return scored.join(marks(spark, sf_dir), "doc_id")
 
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,14 +211,15 @@ def q_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_train_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the train part, report the other two parts."""
     rows = with_input_text(arguments(spark, sf_dir).where(F.col("stance") != 0), "topic", "argument", "stance")
-    parts = split_by_set(rows.select("doc_id", "set", "input_text", "label"))
+    rows = checkpointed(rows.select("doc_id", "set", "input_text", "label"), "training")  # read in every round
+    parts = split_by_set(rows)
     model = train_stance_classifier(parts["train"])
     scored = predict(model, parts["dev"].unionByName(parts["test"]))
     return _six(multiclass_metrics(confusion_counts(scored, "label", "predicted_label", ["set"]), ["set"]))
 
 
 def q_embed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explode_sentences(table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id"])
     return embed_hashed(rows, "sentence").drop("sentence")
 
 

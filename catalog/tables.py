@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import sql_sentences, table
+from catalog.base import sql_sentences, spread_table, table
 from catalog.stances import SQL_SENTENCE, sentence_stances
 from disputatio.operators.context import explode_sentences, prepare_sentences
 from disputatio.operators.reshape import (
@@ -28,7 +28,7 @@ NAMES = {"source": "Quelle", "sentence": "Meinung", "label": "Haltung", "score":
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as business records: the source is the business, each day brings one document."""
-    rows = table(spark, sf_dir, "documents").withColumnRenamed("lang", "language")
+    rows = spread_table(spark, sf_dir, "documents").withColumnRenamed("lang", "language")
     return rows.withColumn("modified", F.timestamp_seconds(F.col("doc_id") * 86400 + 3600))
 
 
@@ -60,12 +60,12 @@ def q_dynamic_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explode_sentences(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    rows = explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id", "source"])
     return rows.where(allowed_source(F.col("source"), ["src1", "src2", "src11"]))
 
 
 def q_min_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_sentences(table(spark, sf_dir, "documents"), ["doc_id"]).where(F.length("sentence") > 10)
+    return explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id"]).where(F.length("sentence") > 10)
 
 
 def q_stamp_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,30 +79,31 @@ def q_append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_results(rows.where(F.col("label") != "Neutral"), rows.where(F.col("label") == "Neutral").select("label", "sent_id", "doc_id"))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = prepare_sentences(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"])
+def entries(spark: SparkSession, sf_dir: str, known: bool = False) -> DataFrame:
+    """Collection entries of all documents, or of the labelled ones: the collection so far."""
+    docs = spread_table(spark, sf_dir, "documents")
+    if known:
+        docs = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    prepared = prepare_sentences(docs, ["doc_id", "source", "lang"])
     number = F.concat_ws("-", "doc_id", "sent_id")
     return as_entries(prepared.withColumn("filename", F.col("doc_id").cast("string")), "source", "filename", number)
 
 
 def q_unique_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unique_field_values(entries(spark, sf_dir), "metadata", "business_id").select("value")
+    metadata = F.struct(F.col("source").alias("business_id"), F.col("doc_id").alias("filename"))
+    return unique_field_values(spread_table(spark, sf_dir, "documents").select(metadata.alias("metadata")), "metadata", "business_id").select("value")
 
 
 def q_collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collection so far holds the labelled documents; all documents are added."""
-    known = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("known"))
     incoming = entries(spark, sf_dir)
-    existing = incoming.join(known, F.col("metadata.filename") == F.col("known"), "left_semi").withColumn("origin", F.lit("existing"))
+    existing = entries(spark, sf_dir, known=True).withColumn("origin", F.lit("existing"))
     rows = upsert(existing, incoming.withColumn("origin", F.lit("added")))
     return rows.select("id", "document", "origin", "metadata.url")
 
 
 def q_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("known"))
-    incoming = entries(spark, sf_dir)
-    existing = incoming.join(known, F.col("metadata.filename") == F.col("known"), "left_semi")
-    return new_entries(existing, incoming).groupBy("business_id").agg(F.count(F.lit(1)).alias("n"))
+    return new_entries(entries(spark, sf_dir, known=True), entries(spark, sf_dir)).groupBy("business_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_collection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

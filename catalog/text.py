@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import sql_ambiguous, sql_sentences, sql_window, table
+from catalog.base import sql_ambiguous, sql_sentences, sql_window, spread_table, table
 from disputatio.functions.parsing import SPEAKER, speaker
 from disputatio.functions.text import capitalize_first, clean_whitespace, escape_all_strings, strip_html
 from disputatio.operators.context import (
@@ -16,13 +16,12 @@ from disputatio.operators.context import (
     sentence_contexts,
 )
 from disputatio.plans.mining import build_collection
-from disputatio.session import spread
 
 # Long windows are compared by digest and length, which keeps the results small; all text is processed.
 
 
 def q_split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_sentences(table(spark, sf_dir, "documents"), ["doc_id"])
+    return explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def _digest(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -30,50 +29,50 @@ def _digest(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def q_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentence_contexts(table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = sentence_contexts(spread_table(spark, sf_dir, "documents"), ["doc_id"])
     return _digest(rows.drop("sentence"), "context", "context")
 
 
 def q_context_window_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentence_contexts(table(spark, sf_dir, "documents"), ["doc_id"], exact=True)
+    rows = sentence_contexts(spread_table(spark, sf_dir, "documents"), ["doc_id"], exact=True)
     return _digest(rows.drop("sentence"), "context", "context")
 
 
 def q_prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentence_contexts(table(spark, sf_dir, "documents"), ["doc_id"], radius=PROMPT_RADIUS)
+    rows = sentence_contexts(spread_table(spark, sf_dir, "documents"), ["doc_id"], radius=PROMPT_RADIUS)
     return _digest(rows.drop("sentence"), "context", "context")
 
 
 def q_rewrite_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepare_sentences(table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = prepare_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select("doc_id", "sent_id", "new_sentence", (F.col("new_sentence") != F.col("original_sentence")).alias("rewritten"))
 
 
 def q_ambiguous_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explode_sentences(table(spark, sf_dir, "documents"), ["doc_id", "lang"])
+    rows = explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id", "lang"])
     words = F.array_join(ambiguous_words(F.col("sentence"), F.col("lang")), ", ")
     return rows.select("doc_id", "sent_id", words.alias("ambiguous_words"))
 
 
 def q_ambiguous_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explode_sentences(table(spark, sf_dir, "documents"), ["doc_id", "lang"])
+    rows = explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id", "lang"])
     return rows.where(F.size(ambiguous_words(F.col("sentence"), F.col("lang"))) > 0).drop("lang")
 
 
 def q_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages")).select("page_id", strip_html(F.col("html")).alias("text"))
+    return spread_table(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
 def q_strip_html_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages")).select("page_id", strip_html(F.col("html"), "").alias("text"))
+    return spread_table(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html"), "").alias("text"))
 
 
 def q_clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", clean_whitespace(F.col("text")).alias("text"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", clean_whitespace(F.col("text")).alias("text"))
 
 
 def q_capitalize_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", capitalize_first(F.lower("text")).alias("text"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", capitalize_first(F.lower("text")).alias("text"))
 
 
 def q_escape_control_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +106,7 @@ def q_extract_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_build_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("business_id", F.regexp_extract("url", "^https?://([^/]+)", 1))
+    pages = spread_table(spark, sf_dir, "pages").withColumn("business_id", F.regexp_extract("url", "^https?://([^/]+)", 1))
     rows = build_collection(pages, ["page_id", "business_id"], "html")
     return rows.withColumn("context", F.md5("context"))
 

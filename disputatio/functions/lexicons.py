@@ -50,10 +50,12 @@ CONTRA_CUES: Lexicon = {
 }
 
 
-def word_list(lexicon: Lexicon, lang: Column) -> Column:
-    """The lexicon's words for a row's language; all languages together where it is unknown."""
+def in_lexicon(lexicon: Lexicon, lang: Column, word: Column) -> Column:
+    """Whether a lower-cased word is listed for the row's language, or for any where it is unknown.
+
+    A list of constants is looked up as a hash set.
+    """
     out = F
     for code, entries in lexicon.items():
-        out = out.when(lang == code, F.array(*[F.lit(w) for w in entries]))
-    everything = sorted({w for entries in lexicon.values() for w in entries})
-    return out.otherwise(F.array(*[F.lit(w) for w in everything]))
+        out = out.when(lang == code, word.isin(*entries))
+    return out.otherwise(word.isin(*sorted({w for entries in lexicon.values() for w in entries})))

@@ -34,7 +34,7 @@ def token_set(text: Column) -> Column:
         F.array_distinct(words(text)),
         lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")),
     )
-    return F.transform(F.array_sort(keyed), lambda s: s["w"])
+    return F.transform(F.sort_array(keyed), lambda s: s["w"])
 
 
 def plain_form(text: Column) -> Column:
@@ -62,12 +62,13 @@ ILLEGAL_CONTROL_CODES = [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20)]
 
 
 def escape_control_chars(text: Column) -> Column:
-    r"""Write each control character that spreadsheets refuse as a literal ``\xNN``."""
-    return reduce(
-        lambda acc, code: F.replace(acc, F.lit(chr(code)), F.lit(f"\\x{code:02x}")),
-        ILLEGAL_CONTROL_CODES,
-        text,
-    )
+    r"""Write each control character that spreadsheets refuse as a literal ``\xNN``.
+
+    Texts without any, nearly all, are only searched.
+    """
+    pairs = F.array(*[F.struct(F.lit(chr(c)).alias("raw"), F.lit(f"\\x{c:02x}").alias("shown")) for c in ILLEGAL_CONTROL_CODES])
+    escaped = F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["raw"], p["shown"]))
+    return F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), escaped).otherwise(text)
 
 
 def escape_all_strings(df: DataFrame) -> DataFrame:

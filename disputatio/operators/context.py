@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disputatio.functions.lexicons import AMBIGUOUS_WORDS, Lexicon, word_list
+from disputatio.functions.lexicons import AMBIGUOUS_WORDS, Lexicon, in_lexicon
 from disputatio.functions.text import CASED_WORD, split_sentences
-from disputatio.session import spread
 
 # Sentences taken before a sentence; one fewer (itself included) is taken from it on.
 GENERAL_RADIUS = 5
@@ -39,17 +38,22 @@ def neighbours(sentences: Column, position: Column, radius: int, exact: bool = F
 
 def ambiguous_words(sentence: Column, lang: Column, lexicon: Lexicon = AMBIGUOUS_WORDS) -> Column:
     """Distinct words of the sentence that are in the lexicon, in order of appearance."""
-    listed = word_list(lexicon, lang)
-    found = F.filter(
-        F.regexp_extract_all(sentence, F.lit(CASED_WORD), F.lit(0)),
-        lambda w: F.array_contains(listed, F.lower(w)),
-    )
+    found = F.filter(_cased_words(sentence), lambda w: in_lexicon(lexicon, lang, F.lower(w)))
     return F.array_distinct(found)
 
 
+def is_ambiguous(sentence: Column, lang: Column, lexicon: Lexicon = AMBIGUOUS_WORDS) -> Column:
+    """Whether any word of the sentence is in the lexicon."""
+    return F.exists(_cased_words(sentence), lambda w: in_lexicon(lexicon, lang, F.lower(w)))
+
+
+def _cased_words(sentence: Column) -> Column:
+    return F.regexp_extract_all(sentence, F.lit(CASED_WORD), F.lit(0))
+
+
 def explode_sentences(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """One row per sentence: the keys, ``sent_id`` (from 0) and ``sentence``."""
-    rows = spread(df).select(*keys, F.posexplode_outer(split_sentences(F.col(text))).alias("sent_id", "sentence"))
+    rows = df.select(*keys, F.posexplode_outer(split_sentences(F.col(text))).alias("sent_id", "sentence"))
     return rows.where(F.col("sent_id").isNotNull())
 
 
@@ -72,7 +76,7 @@ def sentence_contexts(
     output: str = "context",
 ) -> DataFrame:
     """One row per sentence with its neighbourhood."""
-    lists = spread(df).select(*keys, split_sentences(F.col(text)).alias("_sentences"))
+    lists = df.select(*keys, split_sentences(F.col(text)).alias("_sentences"))
     rows = lists.select(
         *keys,
         F.transform(
@@ -109,13 +113,12 @@ def prepare_sentences(
     if method not in ("context", "llm", None):
         raise ValueError(f"unknown rewriting method {method!r}; choose 'llm', 'context' or None")
     language = F.col(lang) if lang else F.lit(None).cast("string")
-    lists = spread(df).select(*keys, language.alias("_lang"), split_sentences(F.col(text)).alias("_sentences"))
+    lists = df.select(*keys, language.alias("_lang"), split_sentences(F.col(text)).alias("_sentences"))
     sentences = F.col("_sentences")
 
     def row(s: Column, i: Column) -> Column:
         fields = [i.alias("sent_id"), s.alias("original_sentence")]
-        found = ambiguous_words(s, F.col("_lang"), lexicon)
-        rewrite = F.lit(True) if force else F.size(found) > 0
+        rewrite = F.lit(True) if force else is_ambiguous(s, F.col("_lang"), lexicon)
         if method is None:
             fields.append(s.alias("new_sentence"))
         elif method == "context":
@@ -123,6 +126,7 @@ def prepare_sentences(
             fields.append(F.when(rewrite, close).otherwise(s).alias("new_sentence"))
         else:
             fields.append(F.when(~rewrite, s).alias("new_sentence"))
+            found = ambiguous_words(s, F.col("_lang"), lexicon)
             fields.append(F.array_join(found, ", ").alias("ambiguous_words"))
             fields.append(F.when(rewrite, neighbours(sentences, i, PROMPT_RADIUS, exact)).alias("prompt_context"))
         fields.append(neighbours(sentences, i, GENERAL_RADIUS, exact).alias("context"))

@@ -22,8 +22,8 @@ SEARCH_DEPTH = 1000
 SHORT_SEARCH_DEPTH = 10
 SIMILARITY_THRESHOLD = 0.8
 
-# Largest topic side that is sent to every executor: words in all token sets, or vector cells times depth.
-BROADCAST_TOKENS = 1_000_000
+# Largest topic side that is sent to every executor: bytes of its prefix rows, or cells of vectors and results.
+BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_CELLS = 4_000_000
 SLACK = 1e-9
 
@@ -111,7 +111,7 @@ def text_top_k(
     threshold: float,
     k: int = SEARCH_DEPTH,
     strict: bool = False,
-    broadcast_tokens: int = BROADCAST_TOKENS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     two_level: bool | None = None,
 ) -> DataFrame:
     """Top-k corpus rows per topic text by Jaccard similarity of word sets, above a threshold.
@@ -121,29 +121,34 @@ def text_top_k(
 
     Pairs are found by prefix filtering: with all word sets in one fixed order, two sets that reach the
     threshold share a word among the first few of each. Only word lists of such prefixes meet, a pair
-    is looked at once (at its first common word) and is tested inside the join. If the topics' words
+    is looked at once (at its first common word) and is tested inside the join. If the topics' prefixes
     fit the checked bound, they travel to the corpus and the corpus does not move at all. If not, both
     sides meet by (word, set size), with equal word sets of the corpus merged first.
     """
     t, total = _topic_sets(topics, topic, threshold)
-    if total <= broadcast_tokens:
+    if total <= broadcast_bytes:
         hits = _text_hits_broadcast(t, corpus, corpus_text, threshold)
     else:
         hits = _text_hits_shuffled(t, corpus, topic, corpus_key, corpus_text, threshold, k, two_level)
     hits = hits.where(above(F.col("similarity"), threshold, strict))
     best = [F.col("similarity").desc(), *[F.col(c) for c in corpus_key]]
     ranked = top_k_per_group(hits, [topic], best, k, "rank", two_level)
-    if total > broadcast_tokens:
+    if total > broadcast_bytes:
         ranked = ranked.join(corpus, list(corpus_key))
     return with_num_matches(ranked, [topic])
 
 
 def _topic_sets(topics: DataFrame, topic: str, threshold: float) -> tuple[DataFrame, int]:
-    """Word set of each topic text, and the number of words in all of them."""
+    """Word set of each topic text, and the bytes their prefix rows would take.
+
+    Each prefix word makes a row that carries the text and its word set.
+    """
     if threshold <= 0:
         raise ValueError("the text search needs a threshold above 0")
     t = topics.select(F.col(topic), _token_set(F.col(topic)).alias("_t")).where(F.size("_t") > 0)
-    return t, measure(t, F.coalesce(F.sum(F.size("_t")), F.lit(0)).alias("n"))["n"]
+    per_row = F.octet_length(topic) * 2 + F.size("_t") * 16 + 64
+    size = F.sum(F.size(_prefix(F.col("_t"), threshold)).cast("long") * per_row)
+    return t, measure(t, F.coalesce(size, F.lit(0)).alias("n"))["n"]
 
 
 def text_matches(
@@ -154,7 +159,7 @@ def text_matches(
     corpus_text: str,
     threshold: float,
     strict: bool = False,
-    broadcast_tokens: int = BROADCAST_TOKENS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """All pairs above the threshold, without the top-k cut: the form that also runs on a stream.
 
@@ -162,8 +167,8 @@ def text_matches(
     its micro-batches.
     """
     t, total = _topic_sets(topics, topic, threshold)
-    if total > broadcast_tokens:
-        raise ValueError(f"{total} topic words exceed the bound of {broadcast_tokens}; search micro-batches with text_top_k")
+    if total > broadcast_bytes:
+        raise ValueError(f"{total} bytes of topics exceed the bound of {broadcast_bytes}; search micro-batches with text_top_k")
     hits = _text_hits_broadcast(t, corpus, corpus_text, threshold)
     return hits.where(above(F.col("similarity"), threshold, strict))
 

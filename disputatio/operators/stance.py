@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disputatio.functions.labels import adjust_label, normalize_label
-from disputatio.functions.lexicons import CONTRA_CUES, PRO_CUES, Lexicon, word_list
+from disputatio.functions.lexicons import CONTRA_CUES, PRO_CUES, Lexicon, in_lexicon
 from disputatio.functions.text import words
 
 # Stance threshold, neutral rows after which a topic is given up, word for "any source".
@@ -29,21 +29,21 @@ class CueRule:
     contra: Lexicon = field(default_factory=lambda: CONTRA_CUES)
 
     def __call__(self, topic: Column, text: Column, lang: Column) -> Column:
-        pro, contra = word_list(self.pro, lang), word_list(self.contra, lang)
-
         def tally(found: Column) -> Column:
             return F.struct(
-                F.size(F.filter(found, lambda w: F.array_contains(pro, w))).alias("pro"),
-                F.size(F.filter(found, lambda w: F.array_contains(contra, w))).alias("contra"),
+                F.size(F.filter(found, lambda w: in_lexicon(self.pro, lang, w))).alias("pro"),
+                F.size(F.filter(found, lambda w: in_lexicon(self.contra, lang, w))).alias("contra"),
             )
 
         return once(once(words(text), tally), lambda n: stance_from_counts(n["pro"], n["contra"]))
 
     def cue_words(self, text: Column, lang: Column, label: Column) -> Column:
         """Cue words of the given stance in a text, joined by a comma."""
-        found = words(text)
-        listed = F.when(F.lower(label) == "pro", word_list(self.pro, lang)).otherwise(word_list(self.contra, lang))
-        return F.array_join(F.array_distinct(F.filter(found, lambda w: F.array_contains(listed, w))), ", ")
+        def cue(w: Column) -> Column:
+            is_pro = F.lower(label) == "pro"
+            return F.when(is_pro, in_lexicon(self.pro, lang, w)).otherwise(in_lexicon(self.contra, lang, w))
+
+        return F.array_join(F.array_distinct(F.filter(words(text), cue)), ", ")
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -51,6 +51,15 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def with_struct(df: DataFrame, value: Column, *columns: str) -> DataFrame:
+    """The named columns (default all) and the fields of a struct that is computed once per row.
+
+    The struct passes through a generator. From a plain projection Spark would copy it into every
+    filter on one of its fields and so compute it twice.
+    """
+    return df.select(*(columns or df.columns), F.inline_outer(F.array(value)))
+
+
 def stance_from_counts(pro: Column, contra: Column) -> Column:
     """Label and two-decimal score from cue counts; the score is rounded half up in whole numbers."""
     top, total = F.greatest(pro, contra), pro + contra

@@ -22,13 +22,12 @@ from disputatio.operators.reshape import (
     training_filter,
     with_input_text,
 )
-from disputatio.operators.stance import StanceRule
+from disputatio.operators.stance import StanceRule, with_struct
 
 
 def predict_stance(df: DataFrame, topic: Column, text: Column, lang: Column, rule: StanceRule) -> DataFrame:
     """Add ``label``, ``score`` and ``model_generation``."""
-    staged = df.withColumn("_result", rule(topic, text, lang))
-    return staged.select(*df.columns, "_result.*")
+    return with_struct(df, rule(topic, text, lang))
 
 
 def sweep_reports(

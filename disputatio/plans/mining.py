@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ from disputatio.operators.stance import (
     final_label,
     is_argument,
     passes_precheck,
+    with_struct,
 )
+from disputatio.session import checkpointed
 
 # Gets and returns a frame of hits; adds a costly second stance where the cheap one was not enough.
 HitClassifier = Callable[[DataFrame], DataFrame]
@@ -99,13 +102,39 @@ def classify(hits: DataFrame, options: MiningOptions) -> DataFrame:
 
     Spark does not move a filter below a Python stage, so the gate stands before it.
     """
-    staged = hits.withColumn("_stance", options.stance(F.col("topic_rewritten"), F.col("new_sentence"), F.col("lang")))
+    stance = options.stance(F.col("topic_rewritten"), F.col("new_sentence"), F.col("lang"))
+    staged = with_struct(hits, F.struct(stance.alias("_stance")))
     staged = staged.where(passes_precheck(F.col("_stance.score"), options.stance_threshold or 0.0, options.precheck))
     if options.classifier is not None:
         staged = options.classifier(staged)
     return staged.withColumn("label", final_label(F.col("_stance"), options.stance_threshold))
 
 
+def classify_in_waves(hits: DataFrame, options: MiningOptions, first: int = 8, growth: int = 4) -> DataFrame:
+    """Classify hits rank by rank as far as needed, for a classifier too costly to run on all of them.
+
+    Each wave takes the next ranks of the topic sentences that have not reached the neutral limit, and is
+    four times as deep as the one before, so 1000 ranks take five waves. The rows of a wave are kept in
+    the shared folder: neither the search nor the classifier runs twice.
+    """
+    hits = checkpointed(hits, "hits")
+    waves: list[DataFrame] = []
+    closed: DataFrame | None = None
+    low, high = 0, first
+    while low < options.depth:
+        rest = hits.where(F.col("rank") >= low)
+        if closed is not None:
+            rest = rest.join(closed, "topic_rewritten", "left_anti")
+            if rest.isEmpty():
+                break
+        waves.append(checkpointed(classify(rest.where(F.col("rank") < high), options), "wave"))
+        seen = reduce(DataFrame.unionByName, waves).where(~is_argument(F.col("label")))
+        counts = seen.groupBy("topic_rewritten").agg(F.count(F.lit(1)).alias("n"))
+        closed = counts.where(F.col("n") >= options.neutral_limit).select("topic_rewritten")
+        low, high = high, high * growth
+    return reduce(DataFrame.unionByName, waves)
+
+
 def stop_early(hits: DataFrame, topics: DataFrame, limit: int) -> DataFrame:
     """Join hits to the topics that asked for them, up to the neutral limit.
 
@@ -154,7 +183,8 @@ def find_arguments(
     columns = list(dict.fromkeys([*key, business, filename, "lang", "original_sentence", "new_sentence", "context"]))
     hits = search(topics, collection.select(*columns), key, options, options.depth, strict=False)
     hits = hits.where(allowed_source(F.col(business), options.sources))
-    kept = stop_early(classify(hits, options), topics, options.neutral_limit)
+    labelled = classify(hits, options) if options.classifier is None else classify_in_waves(hits, options)
+    kept = stop_early(labelled, topics, options.neutral_limit)
     rows = with_evidence(kept, options)
     return rows.select(
         "request_id",

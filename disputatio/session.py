@@ -58,10 +58,10 @@ def measure(df: DataFrame, *aggregates: Column) -> Row:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a frame read from very few files over all cores.
+    """Spread a table read from very few files over all cores.
 
-    Only the number of planned partitions is looked at, no job runs. A table of many files has more
-    partitions than cores and is left as it is.
+    Meant for a frame straight from a scan: its planned partitions are counted without running a job.
+    A table of many files has more partitions than cores and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:

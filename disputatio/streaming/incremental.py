@@ -46,7 +46,9 @@ def stream_matches(
         corpus_text="new_sentence",
         threshold=options.similarity_threshold,
     )
-    return classify(hits, options)
+    # the exchange evens out tasks with many matches and keeps the join's generated code small
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return classify(hits.repartition(tasks), options)
 
 
 def start_append(rows: DataFrame, out: str, checkpoint: str, name: str | None = None, available_now: bool = True) -> StreamingQuery:

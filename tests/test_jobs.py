@@ -7,7 +7,7 @@ from disputatio.functions.prompts import PROMPTS
 from disputatio.operators.context import prepare_sentences
 from disputatio.operators.generation import batch_generate, rewrite_sentences
 from disputatio.operators.ml import embed_hashed, embed_with
-from disputatio.operators.stance import CueRule
+from disputatio.operators.stance import CueRule, stance_from_generation
 from disputatio.plans.mining import MiningOptions, build_collection, find_arguments, mine_corpus, prepare_topics, search, stop_early
 from disputatio.session import checkpointed, work_dir
 from disputatio.streaming.incremental import ProgressListener, cancel, observed, start_append, stream_matches, stream_table
@@ -78,6 +78,36 @@ def test_costly_classifier_sees_only_gated_hits(spark):
     assert {r["label"] for r in rows} == {"contra", "neutral"}
 
 
+def test_waves_call_the_classifier_less_and_find_the_same(spark, tmp_path):
+    """Sixty equal hits per topic: one that is always neutral, one that never is."""
+    docs = [(i, "s", f"forest law number {chr(97 + i // 26)}{chr(97 + i % 26)}", "en") for i in range(60)]
+    docs += [(100 + i, "s", f"for bread tax value {chr(97 + i // 26)}{chr(97 + i % 26)}", "en") for i in range(60)]
+    asked = spark.createDataFrame([(1, "Forest law number. Forest law number. Bread tax value.")], "request long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string, lang string")
+    collection = build_collection(frame, ["doc_id", "source"], "text", "lang", html=False, method=None)
+    topics = prepare_topics(asked, "request", "text", method=None)
+    calls = str(tmp_path / "calls")
+
+    def model():
+        def answer(prompts):
+            with open(calls, "a") as f:
+                f.writelines(p + "\n" for p in prompts)
+            return prompts.map(lambda p: "Pro" if "for " in p else "Neutral")
+
+        return answer
+
+    def classifier(hits):
+        answered = batch_generate(hits.withColumn("_p", F.col("new_sentence")), "_p", model, "_g").drop("_p")
+        return answered.withColumn("_stance", stance_from_generation(F.col("_g"))).drop("_g")
+
+    rows = find_arguments(
+        topics, collection, ["doc_id", "sent_id"], "source", "doc_id", MiningOptions(similarity_threshold=0.3, stance=CUES, cues=CUES, classifier=classifier)
+    )
+    got = sorted((r["topic_pos"], r["num_arguments_analyzed"], r["label"], r["analysis_status"]) for r in rows.collect())
+    assert got == [(0, i, "neutral", i + 1) for i in range(3)] + [(2, i, "pro", 0) for i in range(60)]
+    assert len(open(calls).read().splitlines()) == 8 + 60
+
+
 def test_mine_corpus_gates(spark):
     topics, collection = inputs(spark, [(1, "The new forest law.")])
     rows = mine_corpus(topics, collection, ["doc_id", "sent_id"], OPTIONS).collect()

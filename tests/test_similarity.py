@@ -44,14 +44,14 @@ def brute(topics, corpus, threshold, k, strict=False):
 
 
 @pytest.mark.parametrize("threshold", [0.1, 0.25, 0.5, 0.8, 1.0])
-@pytest.mark.parametrize("bound", [1_000_000, 0])
+@pytest.mark.parametrize("bound", [64_000_000, 0])
 @pytest.mark.parametrize("strict", [False, True])
 def test_text_search_equals_brute_force(spark, threshold, bound, strict):
     topics, corpus = sorted(set(texts(12, 1) + ["the of alpha beta", "!"])), texts(60, 2, copies=30)
     t = spark.createDataFrame([(x,) for x in topics], "topic string")
     c = spark.createDataFrame(list(enumerate(corpus)), "id int, body string").repartition(5)
     got = text_top_k(
-        t, c, topic="topic", corpus_key=["id"], corpus_text="body", threshold=threshold, k=7, strict=strict, broadcast_tokens=bound, two_level=bound == 0
+        t, c, topic="topic", corpus_key=["id"], corpus_text="body", threshold=threshold, k=7, strict=strict, broadcast_bytes=bound, two_level=bound == 0
     )
     rows = {(r["topic"], r["id"], round(r["similarity"], 9), r["rank"], r["num_matches"]) for r in got.collect()}
     assert rows == brute(topics, corpus, threshold, 7, strict)
@@ -65,7 +65,7 @@ def test_text_matches_has_no_cut(spark):
     got = text_matches(t, c, topic="topic", corpus_text="body", threshold=0.2)
     assert {(r["topic"], r["id"]) for r in got.collect()} == {(a, b) for a, b, *_ in brute(topics, corpus, 0.2, 10**9)}
     with pytest.raises(ValueError):
-        text_matches(t, c, topic="topic", corpus_text="body", threshold=0.2, broadcast_tokens=0)
+        text_matches(t, c, topic="topic", corpus_text="body", threshold=0.2, broadcast_bytes=0)
     with pytest.raises(ValueError):
         text_matches(t, c, topic="topic", corpus_text="body", threshold=0)
 
