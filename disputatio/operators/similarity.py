@@ -77,28 +77,30 @@ def _signature(tokens: Column) -> Column:
     return F.coalesce(bits, F.lit(0).cast("long"))
 
 
-def _candidate(threshold: float) -> Column:
-    """Whether corpus set ``_c`` and topic set ``_t`` reach the threshold and first meet at ``_token``.
+def _matches(threshold: float, strict: bool) -> Column:
+    """Whether corpus set ``_c`` and topic set ``_t`` pass the threshold and first meet at ``_token``.
 
     The tests go from cheap to costly: set sizes; words left from the meeting place on, as none is
     shared before it; words that cannot be shared by the signatures (every bit of one side missing on
-    the other is at least one word it has alone); the shared words themselves; and that this is their
-    first one, so that each pair is kept once.
+    the other is at least one word it has alone); the similarity itself; and that this is the first
+    shared word, so that each pair is kept once. It is one conditional expression, as Spark may put the
+    parts of a plain conjunction in another order.
     """
     nl, nr = F.size("_c"), F.size("_t")
     needed = (nl + nr) * (threshold / (1 + threshold)) - SLACK
     only_c = F.bit_count(F.col("_cs").bitwiseAND(F.bitwise_not(F.col("_ts"))))
     only_t = F.bit_count(F.col("_ts").bitwiseAND(F.bitwise_not(F.col("_cs"))))
-    common = F.array_intersect("_c", "_t")
-    return (
+    possible = (
         (nr >= nl * threshold - SLACK)
         & (nl >= nr * threshold - SLACK)
         & (F.least(nl - F.col("_cp"), nr - F.col("_tp")) >= needed)
         & (nl - only_c >= needed)
         & (nr - only_t >= needed)
-        & (F.size(common) >= needed)
-        & (F.element_at(common, 1) == F.col("_token"))
     )
+    common = F.array_intersect("_c", "_t")
+    passed = above(overlap_similarity(F.col("_c"), F.col("_t")), threshold, strict)
+    first = F.element_at(common, 1) == F.col("_token")
+    return F.coalesce(F.when(possible, F.when(F.size(common) >= needed, F.when(passed, first))), F.lit(False))
 
 
 def text_top_k(
@@ -127,10 +129,9 @@ def text_top_k(
     """
     t, total = _topic_sets(topics, topic, threshold)
     if total <= broadcast_bytes:
-        hits = _text_hits_broadcast(t, corpus, corpus_text, threshold)
+        hits = _text_hits_broadcast(t, corpus, corpus_text, threshold, strict)
     else:
-        hits = _text_hits_shuffled(t, corpus, topic, corpus_key, corpus_text, threshold, k, two_level)
-    hits = hits.where(above(F.col("similarity"), threshold, strict))
+        hits = _text_hits_shuffled(t, corpus, topic, corpus_key, corpus_text, threshold, strict, k, two_level)
     best = [F.col("similarity").desc(), *[F.col(c) for c in corpus_key]]
     ranked = top_k_per_group(hits, [topic], best, k, "rank", two_level)
     if total > broadcast_bytes:
@@ -169,8 +170,7 @@ def text_matches(
     t, total = _topic_sets(topics, topic, threshold)
     if total > broadcast_bytes:
         raise ValueError(f"{total} bytes of topics exceed the bound of {broadcast_bytes}; search micro-batches with text_top_k")
-    hits = _text_hits_broadcast(t, corpus, corpus_text, threshold)
-    return hits.where(above(F.col("similarity"), threshold, strict))
+    return _text_hits_broadcast(t, corpus, corpus_text, threshold, strict)
 
 
 def with_num_matches(hits: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -178,14 +178,14 @@ def with_num_matches(hits: DataFrame, group: Sequence[str]) -> DataFrame:
     return hits.withColumn("num_matches", F.count(F.lit(1)).over(Window.partitionBy(*group)).cast("int"))
 
 
-def _text_hits_broadcast(t: DataFrame, corpus: DataFrame, text: str, threshold: float) -> DataFrame:
+def _text_hits_broadcast(t: DataFrame, corpus: DataFrame, text: str, threshold: float, strict: bool) -> DataFrame:
     wanted = t.withColumn("_ts", _signature(F.col("_t")))
     wanted = wanted.select("*", F.posexplode_outer(_prefix(F.col("_t"), threshold)).alias("_tp", "_token"))
     rows = corpus.withColumn("_c", _token_set(F.col(text))).withColumn("_cs", _signature(F.col("_c")))
     rows = rows.select("*", F.posexplode_outer(_prefix(F.col("_c"), threshold)).alias("_cp", "_token"))
     # the outer explode spares the size filter Spark would add, which computes every word set twice
     met = rows.join(F.broadcast(wanted), "_token")
-    met = met.where(_candidate(threshold))
+    met = met.where(_matches(threshold, strict))
     return met.withColumn("similarity", overlap_similarity(F.col("_c"), F.col("_t"))).drop(
         "_c", "_cs", "_cp", "_t", "_ts", "_tp", "_token"
     )
@@ -198,6 +198,7 @@ def _text_hits_shuffled(
     key: Sequence[str],
     text: str,
     threshold: float,
+    strict: bool,
     k: int,
     two_level: bool | None,
 ) -> DataFrame:
@@ -217,7 +218,7 @@ def _text_hits_shuffled(
     wanted = topic_sets.select("*", F.posexplode_outer(_prefix(F.col("_t"), threshold)).alias("_tp", "_token"))
     wanted = wanted.withColumn("_size", F.explode(sizes))
     pairs = sets.join(wanted, ["_token", "_size"])
-    pairs = pairs.where(_candidate(threshold))
+    pairs = pairs.where(_matches(threshold, strict))
     pairs = pairs.select("_c", "_t", overlap_similarity(F.col("_c"), F.col("_t")).alias("similarity"))
     hits = pairs.join(members.drop("_nth"), "_c").join(t, "_t")
     return hits.select(topic, *key, "similarity")
