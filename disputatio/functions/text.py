@@ -74,7 +74,7 @@ def escape_control_chars(text: Column) -> Column:
 def escape_all_strings(df: DataFrame) -> DataFrame:
     """Apply :func:`escape_control_chars` to every string column of a frame."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({n: escape_control_chars(F.col(n)) for n in names})
+    return df.withColumns({n: escape_control_chars(F.col(f"`{n}`")) for n in names})
 
 
 # Named entities and their characters; the ampersand comes last so nothing is decoded twice.
