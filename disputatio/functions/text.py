@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,11 @@ WORD = "[a-zà-ÿ]+"
 CASED_WORD = "[A-Za-zÀ-ÿ]+"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute a value once per row and use it several times within one expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def split_sentences(text: Column) -> Column:
     """Sentences of a text in order, as an array; blank pieces are dropped."""
     pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from disputatio.functions.text import plain_form, split_sentences
+from disputatio.functions.text import once, plain_form, split_sentences
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -25,12 +25,17 @@ def best_sentence(query: Column, context: Column, score: Callable[[Column, Colum
     ``back`` is the negative position, so the first of equally near sentences wins. An empty query
     gets the first sentence, an empty context a null.
     """
-    wanted = plain_form(query)
-    scored = F.transform(
-        split_sentences(context),
-        lambda s, i: F.struct(score(wanted, plain_form(s)).alias("score"), (-i).alias("back"), s.alias("sentence")),
-    )
-    return F.array_max(F.when(F.length(query) == 0, F.slice(scored, 1, 1)).otherwise(scored))
+
+    def pick(q: Column) -> Column:
+        scored = F.transform(
+            split_sentences(context),
+            lambda s, i: F.struct(
+                once(plain_form(s), lambda p: score(q["plain"], p)).alias("score"), (-i).alias("back"), s.alias("sentence")
+            ),
+        )
+        return F.array_max(F.when(F.length(q["raw"]) == 0, F.slice(scored, 1, 1)).otherwise(scored))
+
+    return once(F.struct(query.alias("raw"), plain_form(query).alias("plain")), pick)
 
 
 def with_best_sentence(df: DataFrame, query: str, context: str, prefix: str = "best") -> DataFrame:

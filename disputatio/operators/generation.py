@@ -18,16 +18,19 @@ ModelFactory = Callable[[], Callable[[pd.Series], pd.Series]]
 
 
 def batch_generate(
-    df: DataFrame, prompt: str, model: ModelFactory, output: str = "generation", keep: bool = False
+    df: DataFrame, prompt: str, model: ModelFactory, output: str = "generation", keep: bool = False, tasks: int | None = None
 ) -> DataFrame:
     """Add a model's answer to the prompt column of each row.
 
     Equal prompts are merged before the model sees them, so a prompt shared by many rows costs one
     call and one row of the shuffle. Answers come back by the prompt's hash. ``keep`` writes the answers
-    to the shared folder, so that a lost task never calls a costly model again.
+    to the shared folder, so that a lost task never calls a costly model again. Spark sizes tasks by bytes;
+    ``tasks`` sets their number where the model, not the text, is the cost.
     """
     hashed = df.withColumn("_prompt_id", F.sha2(F.col(prompt), 256))
-    unique = hashed.where(F.col(prompt).isNotNull()).groupBy("_prompt_id").agg(F.first(prompt).alias("_prompt"))
+    unique = hashed.where(F.col(prompt).isNotNull()).select("_prompt_id", F.col(prompt).alias("_prompt")).distinct()
+    if tasks is not None:
+        unique = unique.repartition(tasks, "_prompt_id")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = model()

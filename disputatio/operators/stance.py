@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from disputatio.functions.labels import adjust_label, normalize_label
 from disputatio.functions.lexicons import CONTRA_CUES, PRO_CUES, Lexicon, in_lexicon
-from disputatio.functions.text import words
+from disputatio.functions.text import once, words
 
 # Stance threshold, neutral rows after which a topic is given up, word for "any source".
 STANCE_THRESHOLD = 0.8
@@ -39,6 +39,7 @@ class CueRule:
 
     def cue_words(self, text: Column, lang: Column, label: Column) -> Column:
         """Cue words of the given stance in a text, joined by a comma."""
+
         def cue(w: Column) -> Column:
             is_pro = F.lower(label) == "pro"
             return F.when(is_pro, in_lexicon(self.pro, lang, w)).otherwise(in_lexicon(self.contra, lang, w))
@@ -46,11 +47,6 @@ class CueRule:
         return F.array_join(F.array_distinct(F.filter(words(text), cue)), ", ")
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Compute a value once and use it several times within one expression."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def with_struct(df: DataFrame, value: Column, *columns: str) -> DataFrame:
     """The named columns (default all) and the fields of a struct that is computed once per row.
 

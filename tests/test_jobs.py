@@ -1,12 +1,18 @@
 """End-to-end jobs: against brute force on small frames, as streams, and by the shape of their plans."""
 
+import math
+import re
+from collections import Counter
+
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from disputatio.functions.prompts import PROMPTS
 from disputatio.operators.context import prepare_sentences
 from disputatio.operators.generation import batch_generate, rewrite_sentences
-from disputatio.operators.ml import embed_hashed, embed_with
+from disputatio.operators.ml import embed_hashed, embed_with, predict, train_stance_classifier
+from disputatio.operators.ranking import top_k_per_group
 from disputatio.operators.stance import CueRule, stance_from_generation
 from disputatio.plans.mining import MiningOptions, build_collection, find_arguments, mine_corpus, prepare_topics, search, stop_early
 from disputatio.session import checkpointed, work_dir
@@ -130,7 +136,7 @@ def test_generation_merges_equal_prompts(spark, tmp_path):
         return answer
 
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"p{i}") for i in range(30)] + [(99, None)], "id int, prompt string").repartition(4)
-    rows = {r["id"]: r["generation"] for r in batch_generate(df, "prompt", model, keep=True).collect()}
+    rows = {r["id"]: r["generation"] for r in batch_generate(df, "prompt", model, keep=True, tasks=3).collect()}
     assert rows[1] == "HOT" and rows[3] == "P3" and rows[99] is None
     assert sorted(open(calls).read().split()).count("hot") == 1
 
@@ -152,6 +158,27 @@ def test_encoders(spark):
     assert [list(r["embedding"]) for r in rows] == [[3.0, 1.0], [5.0, 1.0], [0.0, 1.0]]
 
 
+def test_hashed_vectors_equal_brute_force(spark):
+    texts = ["The law helps the poor", "the tax", "A law, a tax", "..."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["embedding"] for r in embed_hashed(df, "text", 64).collect()}
+    place = HashingTF(numFeatures=64).indexOf
+    counts = [Counter(place(w) for w in re.findall("[a-z]+", t.lower())) for t in texts]
+    for i, tf in enumerate(counts):
+        weights = {j: n * math.log((len(texts) + 1) / (sum(j in c for c in counts) + 1)) for j, n in tf.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        want = [weights.get(j, 0.0) / norm if norm else 0.0 for j in range(64)]
+        assert list(got[i]) == pytest.approx(want, abs=1e-6)
+
+
+def test_trained_classifier_learns_a_clear_rule(spark):
+    rows = [(f"topic {i % 7} [SEP] {'we support it' if i % 2 else 'we reject it'} number {i}", i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "input_text string, label int")
+    model = train_stance_classifier(df, features=512)
+    scored = predict(model, df).collect()
+    assert all(r["predicted_label"] == r["label"] and 0.5 <= r["score"] <= 1 for r in scored)
+
+
 def test_checkpointed_uses_the_shared_folder(spark):
     df = checkpointed(spark.range(5))
     assert df.count() == 5
@@ -238,6 +265,18 @@ def test_search_plan_does_not_move_the_corpus(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "SortMergeJoin" not in text
 
 
+def test_top_k_is_cut_before_both_shuffles(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
+    text = plan(top_k_per_group(df, ["g"], [F.col("id")], 5, two_level=True))
+    assert text.count("Partial") == 2 and text.count("Exchange hashpartitioning") == 2
+
+
+def test_filters_and_columns_reach_the_scan(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    text = plan(prepare_sentences(docs, ["doc_id", "source"]).where(F.col("source") == "src1").select("doc_id", "new_sentence"))
+    assert "EqualTo(source,src1)" in text and "n_chars" not in text
+
+
 def test_sentences_need_no_shuffle(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").repartition(spark.sparkContext.defaultParallelism)
     text = plan(prepare_sentences(docs, ["doc_id"]))

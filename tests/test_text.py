@@ -7,6 +7,7 @@ from disputatio.functions.text import (
     ILLEGAL_CONTROL_CODES,
     capitalize_first,
     clean_whitespace,
+    escape_all_strings,
     escape_control_chars,
     split_sentences,
     strip_html,
@@ -51,6 +52,11 @@ def test_control_characters(spark):
     assert one(spark, raw, escape_control_chars) == want
 
 
+def test_all_string_columns_are_escaped(spark):
+    df = spark.createDataFrame([("a\x01", 1, "b\x1f")], "`Sem. Text` string, n int, t string")
+    assert tuple(escape_all_strings(df).first()) == ("a\\x01", 1, "b\\x1f")
+
+
 def test_whitespace_and_capitals(spark):
     assert one(spark, "a\n\n b\t c", clean_whitespace) == "a b c"
     assert one(spark, "über uns", capitalize_first) == "Über uns"
