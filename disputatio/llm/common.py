@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -23,9 +24,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to the shared folder and read it back: a lost executor costs a read, not a recomputation."""
-    path = shared_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # Shuffle files of jobs that nothing refers to any more go with the driver's next collection; have it now.
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 8_000_000) -> DataFrame:
+    """Mark a saved table for broadcast if its rows, counted now, stay below a bound in bytes; else Spark shuffles it."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
 def word_count(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from disputatio.llm.jaccard_join import jaccard_components
 from disputatio.llm.language_id import learn_pieces, predict_language
 from disputatio.llm.sentencepiece_codec import decode, encode
 
@@ -34,5 +35,24 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op7_sentencepiece": op7_sentencepiece}
-ORACLE: dict[str, str] = {}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
+OP10 = """WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))) END AS s FROM worded),
+classes AS (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT rep, len(s) AS n, unnest(s) AS token FROM classes),
+common AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM tokens a JOIN tokens b ON a.token = b.token AND a.rep <> b.rep
+  AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85 GROUP BY a.rep, b.rep),
+links AS (SELECT a, b FROM common WHERE 100 * k >= 85 * (n + m - k)),
+reach AS (SELECT rep AS node, rep AS other FROM classes UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+low AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+named AS (SELECT s, component_id FROM classes JOIN low ON rep = node)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM sets d LEFT JOIN named n ON d.s = n.s"""
+
+QUERIES = {"op3_language_id": op3_language_id, "op7_sentencepiece": op7_sentencepiece, "op10_jaccard_join": op10_jaccard_join}
+ORACLE = {"op10_jaccard_join": OP10}
