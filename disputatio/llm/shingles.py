@@ -45,15 +45,13 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array):
-        lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        self.data = np.frombuffer(b"".join(x + b" " for x in lowered.cast(pa.large_binary()).to_pylist()), np.uint8)
-        lengths = pc.binary_length(lowered).to_numpy(zero_copy_only=False) + 1
-        edge = np.concatenate([[0], np.cumsum(lengths)])
+        # Bytes have no letters but A-Z to lower; a space closes every row.
+        rows = [(x or "").encode().lower() + b" " for x in texts.to_pylist()]
+        self.data = np.frombuffer(b"".join(rows), np.uint8)
+        edge = np.cumsum([0, *map(len, rows)])
         space = np.concatenate([[True], _SPACES[self.data]])
         self.start = np.flatnonzero(space[:-1] & ~space[1:])
         self.end = np.flatnonzero(~space[:-1] & space[1:])
-        if len(space) and not space[-1]:
-            self.end = np.append(self.end, len(self.data))
         powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(self.data), _BASE)]))
         back = np.uint64(pow(int(_BASE), -1, 2**64))
         inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(self.data), back)]))

@@ -106,6 +106,8 @@ def test_words_and_bitmap():
     words = Words(pa.array(texts))
     counts = [words.first[i + 1] - words.first[i] for i in range(len(texts))]
     assert counts == [len((t or "").encode().split()) for t in texts]
+    part = Words(pa.array(["q" * 50, *texts, None]).slice(1, len(texts)))
+    assert (part.hash == words.hash).all() and (part.first == words.first).all()
     again = Words(pa.array(["zz a B c a"]))
     assert again.hash[1] == words.hash[0] == again.hash[4] and again.hash[2] == words.hash[1]
     rng = np.random.default_rng(0)
