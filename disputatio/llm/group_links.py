@@ -66,4 +66,4 @@ def linked_sets(members: DataFrame, sets: DataFrame, percent: int, allowed: Colu
     apart = (F.col("x.item") < F.col("y.item")) & (F.col("x.part") != F.col("y.part")) & allowed & may_link("x", "y", percent)
     pairs = a.join(b, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
     more = saved(verified(pairs.join(first, ["a", "b"], "left_anti"), sets, percent), "more")
-    return connected_components(links.union(more), "a", "b")
+    return parts if more.isEmpty() else connected_components(links.union(more), "a", "b")

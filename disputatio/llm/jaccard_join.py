@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from disputatio.llm.common import broadcast_if_small, saved
+from disputatio.llm.components import connected_components
 from disputatio.llm.group_links import BITS, linked_sets
 from disputatio.llm.shingles import Words, bitmap, fingerprint, mixed, slices
 
@@ -114,20 +115,25 @@ def allocate(rows: DataFrame) -> DataFrame:
     )
     counted = saved(counted.where((F.col("kind") == 0) | (F.col("n0") > 0)), "counted")
     plain = F.col("kind") == 0
-    costs = counted.groupBy("item", "band", "seg", "need").agg(
-        F.sum(F.when(plain, F.col("n0") - 1).otherwise(0)).alias("same"), F.sum(F.when(plain, F.col("n1")).otherwise(F.col("n0"))).alias("near")
+    costs = counted.groupBy("item", "band", "seg").agg(
+        F.max("need").alias("need"),
+        F.sum(F.when(plain, F.col("n0") - 1).otherwise(0)).alias("same"),
+        F.sum(F.when(plain, F.col("n1")).otherwise(F.col("n0"))).alias("near"),
     )
-    units = costs.select("item", "band", "seg", "need", F.posexplode(F.array("same", F.greatest("same", "near"))).alias("unit", "cost"))
-    cheapest = Window.partitionBy("item", "band").orderBy("cost", "unit", "seg")
-    bought = units.withColumn("place", F.row_number().over(cheapest)).where(F.col("place") <= F.col("need"))
-    asks = bought.groupBy("item", "band", "seg").agg(F.count(F.lit(1)).alias("ask"), F.sum("cost").alias("paid"))
-    free = bought.where("cost = 0").groupBy("item", "band").agg(F.count(F.lit(1)).alias("rank"))
-    # A set that got all its units for free has no partner and takes no further part.
-    open_ = asks.where("paid > 0").select("item", "band").distinct()
-    joined = counted.join(open_, ["item", "band"], "left_semi").join(asks.drop("paid"), ["item", "band", "seg"], "left").join(free, ["item", "band"], "left")
-    joined = saved(joined.withColumn("ask", F.coalesce("ask", F.lit(0))).withColumn("rank", F.coalesce("rank", F.lit(0))), "asked")
-    wanted = joined.where((F.col("ask") > 0) & (F.col("n0") + F.col("n1") > 1)).select("key").distinct()
-    return joined.join(wanted, "key").select("key", "item", "kind", "ask", "rank")
+    costs = costs.withColumn("near", F.greatest("same", "near"))
+    units = F.sort_array(F.flatten(F.collect_list(F.array("same", "near"))))
+    priced = costs.groupBy("item", "band").agg(F.max("need").alias("need"), units.alias("units"))
+    # A set that gets all its units for free has no partner and takes no further part.
+    priced = priced.select("item", "band", F.element_at("units", F.least("need", F.size("units"))).alias("price"), F.size(F.filter("units", lambda x: x == 0)).alias("rank"))
+    priced = saved(priced.where("price > 0"), "priced")
+    # Whatever costs no more than the dearest unit needed is bought.
+    worth = "(same > 0 AND same <= price) OR (near > 0 AND near <= price)"
+    asks = costs.join(priced, ["item", "band"]).where(worth).select("item", "band", "seg", F.when(F.col("near") <= F.col("price"), 2).otherwise(1).alias("ask"))
+    asks = saved(asks, "asks")
+    seen = counted.join(asks, ["item", "band", "seg"]).where((F.col("n0") + F.col("n1") > 1) & ((F.col("kind") == 0) | (F.col("ask") == 2)))
+    wanted = saved(seen.select("key").distinct(), "wanted")
+    members = counted.join(wanted, "key").join(priced.drop("price"), ["item", "band"]).join(asks, ["item", "band", "seg"], "left")
+    return members.select("key", "item", "kind", F.coalesce("ask", F.lit(0)).alias("ask"), "rank")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -251,17 +257,13 @@ def components_of_documents(sets_of: DataFrame, classes: DataFrame, through: Dat
     lowest = through.groupBy("set").agg(F.min("id").alias("low"))
     stars = through.join(lowest, "set").select("id", "low")
     members = sets_of.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "print", "second"]).select(F.col("doc_id").alias("id"), F.col("item").alias("low"))
-    several = members.groupBy("id").agg(F.count_distinct("low").alias("n")).where("n > 1").select("id")
+    several = saved(members.groupBy("id").agg(F.min("low").alias("low"), F.max("low").alias("high")).where("low < high"), "several")
     # Ids with several sets are rare and join their classes; all others hang on their class alone.
-    joining = members.join(several, "id", "left_semi")
-    parts = saved(connected(stars.union(joining)), "final")
+    if several.isEmpty():
+        parts = stars.toDF("node", "component")
+    else:
+        parts = saved(connected_components(stars.union(members.join(several.select("id"), "id", "left_semi")), "id", "low"), "final")
     found = members.withColumnRenamed("low", "item").join(parts.toDF("item", "component"), "item", "left")
     found = found.groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id")).withColumnRenamed("id", "doc_id")
     out = sets_of.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def connected(links: DataFrame) -> DataFrame:
-    from disputatio.llm.components import connected_components
-
-    return connected_components(links, "id", "low")

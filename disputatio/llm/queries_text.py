@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from disputatio.llm.jaccard_join import jaccard_components
 from disputatio.llm.language_id import learn_pieces, predict_language
+from disputatio.llm.pii import KINDS, find_personal_data, joined, train_span_model
+from disputatio.llm.quality import score_quality
 from disputatio.llm.sentencepiece_codec import decode, encode
+from disputatio.llm.substring_dedup import repeated_passages
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +28,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs.select("doc_id", "text", held_out().alias("held_out")), learned).drop("text")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = find_personal_data(docs.select("doc_id", "text"), train_span_model(docs))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
     return coded.select(
@@ -54,5 +73,8 @@ named AS (SELECT s, component_id FROM classes JOIN low ON rep = node)
 SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
 FROM sets d LEFT JOIN named n ON d.s = n.s"""
 
-QUERIES = {"op3_language_id": op3_language_id, "op7_sentencepiece": op7_sentencepiece, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {
+    "op3_language_id": op3_language_id, "op4_quality": op4_quality, "op6_pii": op6_pii,
+    "op7_sentencepiece": op7_sentencepiece, "op8_substring_dedup": op8_substring_dedup, "op10_jaccard_join": op10_jaccard_join,
+}
 ORACLE = {"op10_jaccard_join": OP10}
