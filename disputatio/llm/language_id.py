@@ -117,7 +117,8 @@ def learn_pieces(
         for batch in batches:
             for name, group in batch.groupby("lang"):
                 found = Counter(p for t in group["text"] for w in words_of(t) for p in parts_of(w))
-                yield pd.DataFrame({"lang": name, "part": list(found), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": name, "part": list(found), "n": list(found.values())})
 
     words = texts.select("lang", "text").mapInPandas(count, "lang string, part string, n long")
     words = saved(words.groupBy("lang", "part").agg(F.sum("n").alias("n")), "words")
