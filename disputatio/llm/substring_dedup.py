@@ -65,7 +65,7 @@ def repeated_passages(
     """One row per document: ``doc_id, n_words, removed_words, spans``.
 
     ``spans`` lists ``start:end`` (code points, end exclusive) of passages of more than ``least_words`` words that
-    stand elsewhere too; the document of smallest id keeps them. A passage is a run of neighbouring paragraphs that are repeats, where
+    stand elsewhere too; the document of smallest id (null counts as smallest) keeps them. A passage is a run of neighbouring paragraphs that are repeats, where
     one in between may differ; a paragraph is a sentence or line, or a part of a long one. As the paragraphs at both ends of a passage may
     hold other words too, up to ``edge`` words may lack there. Paragraphs repeat if they are equal (A-Z in either case) or, from ``shortest`` words on, their
     sets of ``size``-word shingles have a Jaccard similarity of ``percent`` or more. Components of such pairs are one paragraph.
