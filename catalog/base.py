@@ -44,7 +44,7 @@ def sql_sentence_list(text: str) -> str:
 
 
 def sql_words(text: str) -> str:
-    return f"regexp_extract_all(lower({text}), '[a-zà-ÿ]+')"
+    return f"regexp_extract_all(lower({text}), '\\p{{L}}+')"
 
 
 def sql_sentences(name: str, source: str, keys: str, text: str) -> str:
@@ -60,7 +60,7 @@ def sql_window(i: str, radius: int, lst: str = "lst") -> str:
 def sql_ambiguous(sentence: str, lang: str) -> str:
     from disputatio.functions.lexicons import AMBIGUOUS_WORDS
 
-    found = f"list_filter(regexp_extract_all({sentence}, '[A-Za-zÀ-ÿ]+'), lambda w: list_contains({sql_by_lang(AMBIGUOUS_WORDS, lang)}, lower(w)))"
+    found = f"list_filter(regexp_extract_all({sentence}, '\\p{{L}}+'), lambda w: list_contains({sql_by_lang(AMBIGUOUS_WORDS, lang)}, lower(w)))"
     return found
 
 
@@ -80,7 +80,10 @@ def sql_adjust(label: str, score: str, threshold) -> str:
 
 
 def sql_plain(text: str) -> str:
-    return f"regexp_replace(lower({text}), '[^a-z0-9 ]', '', 'g')"
+    folded = f"translate(lower({text}), 'äöüàâáãåçèéêëìíîïñòóôõøùúûýÿ', 'aouaaaaaceeeeiiiinooooouuuyy')"
+    for letter, pair in (("ß", "ss"), ("œ", "oe"), ("æ", "ae")):
+        folded = f"replace({folded}, '{letter}', '{pair}')"
+    return f"regexp_replace({folded}, '[^a-z0-9 ]', '', 'g')"
 
 
 def sql_edit_ratio(a: str, b: str) -> str:

@@ -81,7 +81,7 @@ def cue_model():
     contra = {w for ws in TEST_CONTRA.values() for w in ws}
 
     def answer(prompt: str) -> str:
-        found = re.findall("[a-zà-ÿ]+", prompt.split("Satz: ")[-1].lower())
+        found = re.findall(r"[^\W\d_]+", prompt.split("Satz: ")[-1].lower())
         p, c = sum(w in pro for w in found), sum(w in contra for w in found)
         return "Pro, weil es so ist" if p > c else "Das Label lautet: Contra" if c > p else "Keins von beiden."
 
@@ -233,7 +233,7 @@ ALL_CONTRA = sorted({w for ws in TEST_CONTRA.values() for w in ws})
 
 
 def sql_cue_answer(text: str) -> str:
-    found = f"regexp_extract_all(lower({text}), '[a-zà-ÿ]+')"
+    found = f"regexp_extract_all(lower({text}), '\\p{{L}}+')"
     p = f"len(list_filter({found}, lambda w: list_contains({sql_list(ALL_PRO)}, w)))"
     c = f"len(list_filter({found}, lambda w: list_contains({sql_list(ALL_CONTRA)}, w)))"
     return f"CASE WHEN {p} > {c} THEN 'Pro, weil es so ist' WHEN {c} > {p} THEN 'Das Label lautet: Contra' ELSE 'Keins von beiden.' END"
@@ -291,8 +291,8 @@ SELECT conv_id, turn, model, client, CASE WHEN client IN ('together', 'openai')
   CASE WHEN client IN ('transformers', 'vi') THEN 'max_new_tokens=4096.0;repetition_penalty=1.1;temperature=0.0'
   WHEN client = 'openai' THEN 'max_tokens=4096.0;temperature=0.0' ELSE 'max_tokens=4096.0;repetition_penalty=1.1;temperature=0.0' END AS parameters
   FROM conversations JOIN models ON (conv_id + turn) % {len(MODEL_REGISTRY)} = i""",
-    "fewshot_prompt": f"""WITH ex AS (SELECT string_agg('# Thema: ' || r_name || chr(10) || '# Argument: ' || n_name || chr(10) || '# Label: '
-  || ['pro', 'contra', 'neutral'][n_nationkey % 3 + 1] || chr(10) || chr(10), '' ORDER BY md5('42-' || n_nationkey)) AS examples
+    "fewshot_prompt": f"""WITH ex AS (SELECT string_agg('- Zu «' || r_name || '» heisst es «' || n_name || '»: '
+  || ['pro', 'contra', 'neutral'][n_nationkey % 3 + 1] || chr(10), '' ORDER BY md5('42-' || n_nationkey)) AS examples
   FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT item_id, {sql_template(PROMPTS['stance_few_shot'], examples='examples', topic_text="'Text ' || item_id", text_sample='text')} AS prompt FROM benchmark, ex""",
     "batch_generate": f"SELECT conv_id, turn, {sql_cue_answer('text')} AS generation FROM conversations",

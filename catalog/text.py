@@ -120,7 +120,7 @@ def sql_strip(html: str, separator: str) -> str:
     text = f"regexp_replace({text}, '(?s)<!--.*?-->', '', 'g')"
     if separator:
         text = f"regexp_replace({text}, '{BLOCKS}', {separator}, 'g')"
-    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    text = f"regexp_replace({text}, '</?[A-Za-z!?][^>]*>', '', 'g')"
     pairs = [("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&apos;", "chr(39)"), ("&middot;", "'·'"), ("&copy;", "'©'"), ("&amp;", "'&'")]
     for entity, char in pairs:
         text = f"replace({text}, '{entity}', {char})"

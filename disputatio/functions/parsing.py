@@ -12,25 +12,24 @@ SPEAKER = r"(\p{Lu}[\p{L}-]+ \p{Lu}[\p{L}-]+) \(([\p{L}-]+), ?([A-Z]{2})\)"
 SPEAKER_FIELDS = ("person", "party", "canton")
 
 
+# Quoted strings with escapes, and what may stand in a flat list or object: strings are taken whole, brackets inside them do not count.
+QUOTED = r""""(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'"""
+FLAT_LIST = rf"""\[((?:[^\[\]"']++|{QUOTED})*+)\]"""
+FLAT_OBJECT = rf"""\{{(?:[^{{}}"']++|{QUOTED})*+\}}"""
+
+
 def parse_dict_list(generation: Column) -> Column:
     """Objects of the first flat list in a model answer, as ``array<map<string,string>>``.
 
-    Back-ticks go, ``null`` becomes an empty string, words hyphenated at a line end are joined.
-    Elements that are not objects are dropped; an answer that does not parse gives an empty array.
+    An answer without a list is searched for objects itself. Code fences are left out, words hyphenated at a line end are
+    joined, null values are empty strings. What is not an object is left out; an answer without any gives an empty array.
     """
-    text = F.regexp_replace(generation, "`", "")
-    text = F.regexp_replace(text, "null", "''")
-    text = F.regexp_replace(text, "-\n", "")
-    text = F.regexp_replace(text, "\n", " ")
-    text = F.regexp_replace(text, r"\] ?\]", "]")
-    first = F.regexp_extract(text, r"(\[[^\[\]]*\])", 1)
-    body = F.trim(F.when(first != "", first).otherwise(text))
-    body = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body))
-    body = F.when(body.endswith("]"), body).otherwise(F.concat(body, F.lit("]")))
-    items = F.from_json(body, "array<string>")
-    objects = F.filter(items, lambda i: i.startswith("{"))
-    parsed = F.transform(objects, lambda i: F.from_json(i, "map<string,string>"))
-    return F.coalesce(F.filter(parsed, lambda m: m.isNotNull()), F.from_json(F.lit("[]"), "array<map<string,string>>"))
+    line = F.translate(F.replace(F.replace(generation, F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" ")), "`", "")
+    found = F.regexp_extract(line, FLAT_LIST, 1)
+    objects = F.regexp_extract_all(F.when(found == "", line).otherwise(found), F.lit(FLAT_OBJECT), F.lit(0))
+    parsed = F.filter(F.transform(objects, lambda o: F.from_json(o, "map<string,string>")), lambda m: m.isNotNull())
+    filled = F.transform(parsed, lambda m: F.transform_values(m, lambda _, v: F.coalesce(v, F.lit(""))))
+    return F.coalesce(filled, F.array().cast("array<map<string,string>>"))
 
 
 def parse_fields(generation: Column, fields: Sequence[str]) -> Column:

@@ -24,7 +24,7 @@ PROMPTS: dict[str, str] = {
     ),
     "stance_few_shot": (
         "Ordne das Argument dem Thema zu: pro, contra oder neutral. Beispiele:\n{examples}"
-        "Nun du, nur das Label:\n# Thema: {topic_text}\n# Argument: {text_sample}\n# Label: "
+        "Antworte für diesen Fall mit einem Wort.\nZu «{topic_text}» heisst es «{text_sample}»: "
     ),
     "is_argument": (
         "Bezieht der Satz Stellung zum Thema, dafür oder dagegen? Antworte mit Ja oder Nein.\n"
@@ -65,8 +65,7 @@ PROMPTS: dict[str, str] = {
     "translate": "Übersetze ins Deutsche und gib nur die Übersetzung zurück.\nText: {text}\n",
 }
 
-MAX_EXAMPLES = 1000
-FEW_SHOT_EXAMPLE = "# Thema: {thema}\n# Argument: {argument}\n# Label: {label}\n\n"
+FEW_SHOT_EXAMPLE = "- Zu «{thema}» heisst es «{argument}»: {label}\n"
 
 # Chat templates of models that need one.
 CHAT_TEMPLATES = {
@@ -103,10 +102,8 @@ def fill_template_column(template: Column, slot: str, value: Column) -> Column:
 def few_shot_examples(examples: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """One row with all examples as text, in a repeatable shuffled order: by the hash of seed and key.
 
-    All examples go into one prompt, so their number is checked.
+    All examples go into one prompt; the caller chooses those that fit one.
     """
-    if examples.limit(MAX_EXAMPLES + 1).count() > MAX_EXAMPLES:
-        raise ValueError(f"more than {MAX_EXAMPLES} examples do not fit a prompt")
     text = render_prompt(FEW_SHOT_EXAMPLE, {n: F.col(n) for n in ("thema", "argument", "label")})
     order = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
     rows = examples.select(F.struct(order.alias("o"), F.col(key).alias("k"), text.alias("t")).alias("e"))

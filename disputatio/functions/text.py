@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
-WORD = "[a-zà-ÿ]+"
-CASED_WORD = "[A-Za-zÀ-ÿ]+"
+# A word is a run of letters of any alphabet.
+WORD = CASED_WORD = r"\p{L}+"
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,9 +44,17 @@ def token_set(text: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda s: s["w"])
 
 
+# Letters with accents and the letters they stand for; letters that stand for two.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
+BASE_LETTERS = "aaaaaaceeeeiiiinoooooouuuuyy"
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe"}
+
+
 def plain_form(text: Column) -> Column:
-    """Lower-cased text reduced to ``[a-z0-9 ]``: the form edit distances are taken on."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9 ]", "")
+    """Lower-cased text reduced to ``[a-z0-9 ]``, accented letters to their base: the form edit distances are taken on."""
+    folded = F.translate(F.lower(text), ACCENTED, BASE_LETTERS)
+    folded = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), folded)
+    return F.regexp_replace(folded, "[^a-z0-9 ]", "")
 
 
 def strip_whitespace(text: Column) -> Column:
@@ -83,47 +92,30 @@ def escape_all_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({n: escape_control_chars(F.col(f"`{n}`")) for n in names})
 
 
-# Named entities and their characters; the ampersand comes last so nothing is decoded twice.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&middot;": "·",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&hellip;": "…",
-    "&laquo;": "«",
-    "&raquo;": "»",
-    "&auml;": "ä",
-    "&ouml;": "ö",
-    "&uuml;": "ü",
-    "&Auml;": "Ä",
-    "&Ouml;": "Ö",
-    "&Uuml;": "Ü",
-    "&szlig;": "ß",
-    "&eacute;": "é",
-    "&egrave;": "è",
-    "&agrave;": "à",
-    "&ccedil;": "ç",
-    "&amp;": "&",
-}
+# A character reference: decimal, hexadecimal or by name.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 BLOCK_END = r"(?i)</(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|title)\s*>|<br\s*/?>"
 
 
-def _decode_numeric(text: Column) -> Column:
-    """Decode decimal references such as ``&#8211;`` whatever their number."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,6});"), F.lit(1)))
+def decode_references(text: Column) -> Column:
+    """Decode character references from left to right, each once; unknown ones stay as they are.
+
+    Names are those of the public table of HTML 4, and ``apos``.
+    """
+    names = F.create_map(*[F.lit(x) for n, c in sorted({**name2codepoint, "apos": 39}.items()) for x in (n, chr(c))])
 
-    def put(acc: Column, code: Column) -> Column:
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char)
+    def char(ref: Column) -> Column:
+        body = F.substr(ref, F.lit(2), F.length(ref) - 2)
+        digits = F.regexp_replace(body, "^#[xX]?", "")
+        code = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        fits = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        decoded = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(F.when(fits, code)), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(body.startswith("#"), decoded).otherwise(F.try_element_at(names, body)), ref)
 
-    return F.when(text.contains("&#"), F.aggregate(codes, text, put)).otherwise(text)
+    chars = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), char)
+    pieces = F.zip_with(F.split(text, REFERENCE, -1), chars, lambda g, c: F.concat(g, F.coalesce(c, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def strip_html(html: Column, separator: str = "\n") -> Column:
@@ -136,6 +128,5 @@ def strip_html(html: Column, separator: str = "\n") -> Column:
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     if separator:
         text = F.regexp_replace(text, BLOCK_END, separator)
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = _decode_numeric(text)
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), text)
+    text = F.regexp_replace(text, r"</?[A-Za-z!?][^>]*>", "")
+    return decode_references(text)

@@ -10,8 +10,10 @@ from disputatio.functions.text import (
     escape_all_strings,
     escape_control_chars,
     split_sentences,
+    plain_form,
     strip_html,
     token_set,
+    words,
 )
 from disputatio.operators.context import ambiguous_words, prepare_sentences, sentence_contexts
 
@@ -38,6 +40,8 @@ def test_token_set_is_longest_first(spark):
         ("x<script>var a = '<p>';</script>y<STYLE type=a>p{}</STYLE>z", "", "xyz"),
         ("a &amp;lt; b &lt; c&nbsp;d &quot;e&quot;", "", 'a &lt; b < c d "e"'),
         ("&#8211;&#228;&#128512;", "", "–ä😀"),
+        ("3 < 5 and 7 > 2", "", "3 < 5 and 7 > 2"),
+        ("&#x2013;&Eacute;&euro;&sect; &#38;lt; &nope; &#0; &#xD800;", "", "–É€§ &lt; &nope; &#0; &#xD800;"),
         ("<!-- <p>no</p> -->yes<br/>no", "\n", "yes\nno"),
     ],
 )
@@ -69,6 +73,8 @@ def test_whitespace_and_capitals(spark):
         ("[{'segment': 'a'}, {'segment': 'b'}]", [{"segment": "a"}, {"segment": "b"}]),
         ("```\n[{\"a\": null}] ]```", [{"a": ""}]),
         ("no list here", []),
+        ('[{"a": "annulliert"}, {"b": null}]', [{"a": "annulliert"}, {"b": ""}]),
+        ('Hier: [{"a": "Art. [3] gilt {so}"}] und [{"z": "nein"}]', [{"a": "Art. [3] gilt {so}"}]),
         ("x ['text', {'a': 'wo-\nrt'}]", [{"a": "wort"}]),
         ("{'a': 'b'}", [{"a": "b"}]),
     ],
@@ -151,7 +157,7 @@ def test_few_shot_examples_are_repeatable(spark):
     df = spark.createDataFrame(rows, "id int, thema string, argument string, label string")
     first = few_shot_examples(df, "id").first()["examples"]
     assert first == few_shot_examples(df.repartition(3), "id").first()["examples"]
-    assert first.count("# Label: pro") == 8
+    assert first.count(": pro\n") == 8
     assert first != few_shot_examples(df, "id", seed=7).first()["examples"]
 
 
@@ -164,3 +170,8 @@ def test_route_prompts(spark):
     assert got["a/b"] == ("<s> [INST] hi [/INST]", {"max_new_tokens": 4096.0, "temperature": 0.0, "repetition_penalty": 1.1})
     assert got["c"] == ("hi", {"max_tokens": 4096.0, "temperature": 0.0})
     assert got["d"][0] == "hi"
+
+
+def test_german_words(spark):
+    assert one(spark, "Die große Straße, œuvre cœur 3÷4×5", words) == ["die", "große", "straße", "œuvre", "cœur"]
+    assert one(spark, "für größere Löhne", plain_form) == "fur grossere lohne"
