@@ -162,7 +162,7 @@ def q_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_confidence_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence_head(predictions(spark, sf_dir).select("doc_id", "label", "score"), "score", ["doc_id"])
+    return confidence_head(predictions(spark, sf_dir).select("doc_id", "label", "score"), "score", ["doc_id"], n=20)
 
 
 def q_evaluate_stance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from disputatio.operators.reshape import (
 )
 from disputatio.operators.stance import allowed_source
 from disputatio.plans.evaluation import prepare_corpus
-from disputatio.sources.collection import as_entries, new_entries, scan_collection, upsert
+from disputatio.sources.collection import SOURCE_URL, as_entries, new_entries, scan_collection, upsert
 
 NAMES = {"source": "Quelle", "sentence": "Meinung", "label": "Haltung", "score": "Sicherheit"}
 
@@ -110,7 +110,11 @@ def q_collection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_collection(entries(spark, sf_dir), ["document", "metadata.original_sentence", "metadata.business_id"])
 
 
-URL = "https://www.parlament.ch/de/ratsbetrieb/suche-curia-vista/geschaeft?AffairId="
+def q_collection_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_collection(entries(spark, sf_dir), ["document"], limit=100, offset=50)
+
+
+URL = SOURCE_URL
 
 QUERIES = {
     "extract_fields": q_extract_fields,
@@ -127,6 +131,7 @@ QUERIES = {
     "collection_upsert": q_collection_upsert,
     "new_entries": q_new_entries,
     "collection_scan": q_collection_scan,
+    "collection_page": q_collection_page,
 }
 
 
@@ -159,5 +164,6 @@ SELECT source, 'modified', strftime(make_timestamp((doc_id * 86400 + 3600) * 100
     "collection_upsert": f"""{_entries_sql()} SELECT id, document, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'existing' ELSE 'added' END AS origin,
   '{URL}' || source AS url FROM en""",
     "new_entries": f"{_entries_sql()} SELECT source AS business_id, count(*) AS n FROM en WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source",
-    "collection_scan": f"{_entries_sql()} SELECT id, document, sentence AS original_sentence, source AS business_id FROM en ORDER BY id LIMIT 10000",
+    "collection_scan": f"{_entries_sql()} SELECT id, document, sentence AS original_sentence, source AS business_id FROM en",
+    "collection_page": f"{_entries_sql()} SELECT id, document FROM en ORDER BY id LIMIT 100 OFFSET 50",
 }

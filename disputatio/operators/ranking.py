@@ -40,15 +40,8 @@ def top_k_per_group(
     return ranked.withColumn(rank, F.col(rank) - 1)
 
 
-def top_k(df: DataFrame, order: Sequence[Column], k: int, two_level: bool | None = None) -> DataFrame:
-    """Best ``k`` rows of a whole frame, merged in strands on a wide cluster."""
-    if two_level is None:
-        two_level = _wide(df)
-    if two_level:
-        strands = df.withColumn("_strand", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        first = Window.partitionBy("_strand").orderBy(*order)
-        df = strands.withColumn("_first", F.row_number().over(first)).where(F.col("_first") <= k)
-        df = df.drop("_strand", "_first")
+def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """Best ``k`` rows of a whole frame: every task keeps k rows, which are merged."""
     return df.orderBy(*order).limit(k)
 
 

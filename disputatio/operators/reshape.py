@@ -75,8 +75,8 @@ def dynamic_project(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in chosen]) if chosen else df
 
 
-def confidence_head(df: DataFrame, confidence: str, key: Sequence[str], minimum: float = 0.5, n: int | None = 20) -> DataFrame:
-    """Rows above a confidence; the first ``n`` of them by key, or all with ``n=None``."""
+def confidence_head(df: DataFrame, confidence: str, key: Sequence[str], minimum: float = 0.5, n: int | None = None) -> DataFrame:
+    """Rows above a confidence: all, or the first ``n`` by key."""
     rows = df.where(F.col(confidence) > minimum)
     return rows if n is None else top_k(rows, [F.col(c) for c in key], n)
 

@@ -29,7 +29,7 @@ SLACK = 1e-9
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, summed in double precision."""
+    """Cosine of two arrays, summed in double precision; a zero vector has cosine 0 with everything."""
     a, b = a.cast("array<double>"), b.cast("array<double>")
     zero = F.lit(0.0)
 
@@ -40,7 +40,7 @@ def cosine(a: Column, b: Column) -> Column:
     norms = F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), zero, add)) * F.sqrt(
         F.aggregate(F.transform(b, lambda x: x * x), zero, add)
     )
-    return dot / norms
+    return F.when(norms == 0, zero).otherwise(F.try_divide(dot, norms))
 
 
 def above(similarity: Column, threshold: float, strict: bool = False) -> Column:
@@ -129,7 +129,7 @@ def text_top_k(
     """
     t, total = _topic_sets(topics, topic, threshold)
     if total <= broadcast_bytes:
-        hits = _text_hits_broadcast(t, corpus, corpus_text, threshold, strict)
+        hits = _text_hits_by_word(t, corpus, corpus_text, threshold, strict)
     else:
         hits = _text_hits_shuffled(t, corpus, topic, corpus_key, corpus_text, threshold, strict, k, two_level)
     best = [F.col("similarity").desc(), *[F.col(c) for c in corpus_key]]
@@ -164,13 +164,10 @@ def text_matches(
 ) -> DataFrame:
     """All pairs above the threshold, without the top-k cut: the form that also runs on a stream.
 
-    Only for topics within the checked bound; a stream with more of them uses :func:`text_top_k` on
-    its micro-batches.
+    Topics within the checked bound are broadcast; beyond it both sides are shuffled by word, on a stream per micro-batch.
     """
     t, total = _topic_sets(topics, topic, threshold)
-    if total > broadcast_bytes:
-        raise ValueError(f"{total} bytes of topics exceed the bound of {broadcast_bytes}; search micro-batches with text_top_k")
-    return _text_hits_broadcast(t, corpus, corpus_text, threshold, strict)
+    return _text_hits_by_word(t, corpus, corpus_text, threshold, strict, total <= broadcast_bytes)
 
 
 def with_num_matches(hits: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -178,13 +175,13 @@ def with_num_matches(hits: DataFrame, group: Sequence[str]) -> DataFrame:
     return hits.withColumn("num_matches", F.count(F.lit(1)).over(Window.partitionBy(*group)).cast("int"))
 
 
-def _text_hits_broadcast(t: DataFrame, corpus: DataFrame, text: str, threshold: float, strict: bool) -> DataFrame:
+def _text_hits_by_word(t: DataFrame, corpus: DataFrame, text: str, threshold: float, strict: bool, small: bool = True) -> DataFrame:
     wanted = t.withColumn("_ts", _signature(F.col("_t")))
     wanted = wanted.select("*", F.posexplode_outer(_prefix(F.col("_t"), threshold)).alias("_tp", "_token"))
     rows = corpus.withColumn("_c", _token_set(F.col(text))).withColumn("_cs", _signature(F.col("_c")))
     rows = rows.select("*", F.posexplode_outer(_prefix(F.col("_c"), threshold)).alias("_cp", "_token"))
     # the outer explode spares the size filter Spark would add, which computes every word set twice
-    met = rows.join(F.broadcast(wanted), "_token")
+    met = rows.join(F.broadcast(wanted) if small else wanted, "_token")
     met = met.where(_matches(threshold, strict))
     return met.withColumn("similarity", overlap_similarity(F.col("_c"), F.col("_t"))).drop(
         "_c", "_cs", "_cp", "_t", "_ts", "_tp", "_token"

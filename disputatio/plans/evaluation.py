@@ -49,7 +49,7 @@ def evaluate_stance(
     lang: Column,
     rule: StanceRule,
     minimum: float = 0.5,
-    rows: int | None = 20,
+    rows: int | None = None,
     thresholds: Sequence[float] = THRESHOLDS,
 ) -> DataFrame:
     """Classify the confident rows and report each threshold in percent."""

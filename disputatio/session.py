@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -32,13 +30,9 @@ def build_session(app_name: str = "disputatio", master: str | None = None, **con
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only where the setting is missing (a local test session) a temporary folder stands in.
+    Only where the setting is missing the warehouse, which executors share too, stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = os.path.join(tempfile.gettempdir(), "disputatio-work")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from disputatio.operators.ranking import top_k
 
-# Read limit of a full collection read, address of a source.
-READ_LIMIT = 10_000
+# Fixed value: address of a source.
 SOURCE_URL = "https://www.parlament.ch/de/ratsbetrieb/suche-curia-vista/geschaeft?AffairId="
 
 COLLECTION_SCHEMA = (
@@ -74,7 +73,11 @@ def add_to_collection(spark: SparkSession, table: str, entries: DataFrame) -> No
     new_entries(existing, once).select(*columns).write.insertInto(table)
 
 
-def scan_collection(entries: DataFrame, columns: list[str], limit: int | None = READ_LIMIT, key: str = "id") -> DataFrame:
-    """Chosen columns of the collection in id order, up to the read limit."""
+def scan_collection(entries: DataFrame, columns: list[str], limit: int | None = None, offset: int = 0, key: str = "id") -> DataFrame:
+    """Chosen columns of the whole collection; with a limit or an offset, that part of it in id order."""
     chosen = entries.select(key, *columns)
-    return chosen if limit is None else top_k(chosen, [F.col(key)], limit)
+    if limit is None and not offset:
+        return chosen
+    if limit is None:
+        return chosen.orderBy(key).offset(offset)
+    return top_k(chosen, [F.col(key)], offset + limit).orderBy(key).offset(offset)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def resolve_text(spark: SparkSession, text: str, separator: str = "\n") -> DataF
 
     An existing file of another kind is an error.
     """
-    if "\n" not in text and len(text) < 4096 and _exists(spark, text):
+    if "\n" not in text and _exists(spark, text):
         if not text.endswith("txt"):
             raise ValueError("only text files can be read")
         return spark.read.text(text, wholetext=True).select(strip_html(F.col("value"), separator).alias("text"))
@@ -39,7 +40,7 @@ def resolve_text(spark: SparkSession, text: str, separator: str = "\n") -> DataF
 def _exists(spark: SparkSession, path: str) -> bool:
     if os.path.exists(path):
         return True
-    if "://" not in path:
+    if not re.match(r"[a-z][a-z0-9+.-]*://\S+$", path):
         return False
     probe = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
     try:

@@ -61,7 +61,7 @@ def test_top_k(spark, two_level):
         mine = sorted((r["rank"], r["id"]) for r in got if r["g"] == g)
         assert [i for _, i in mine] == [i for _, i in want[g]]
         assert [r for r, _ in mine] == list(range(5))
-    assert [r["id"] for r in top_k(df, [F.col("id")], 4, two_level).collect()] == [0, 1, 2, 3]
+    assert [r["id"] for r in top_k(df, [F.col("id")], 4).collect()] == [0, 1, 2, 3]
 
 
 def test_running_counts(spark):
