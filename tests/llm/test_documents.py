@@ -78,7 +78,9 @@ def test_repeated_passages(spark, frame):
         assert 0.7 * len(long) < len(cut(i)) < 1.3 * len(long)
     assert all(by[i].removed_words == 0 for i in range(2, 60, 3) if i != 8)
     assert by[None].removed_words == 0 and by[8].removed_words == by[8].n_words
-    assert by[100].removed_words == by[100].n_words and by[101].removed_words > 0.8 * by[101].n_words
+    assert by[100].removed_words == by[100].n_words
+    # The edit leaves 56 words behind it, of which the paragraph it touches is lost.
+    assert 30 < by[101].removed_words < by[101].n_words
     assert by[102].n_words == by[103].n_words == 0 and by[104].n_words == 30000 and by[104].removed_words == 0
     assert repeated_passages(frame([], DOCS)).collect() == []
 
