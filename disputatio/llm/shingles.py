@@ -64,15 +64,18 @@ class Words:
         return distinct_shingles(self.hash[self.first[row] : self.first[row + 1]], size)
 
 
-def distinct_shingles(words: np.ndarray, size: int) -> np.ndarray:
-    if not len(words):
-        return words
-    width = min(size, len(words))
-    out = np.full(len(words) - width + 1, np.uint64(width))
+def rolled(words: np.ndarray, width: int) -> np.ndarray:
+    """The shingle of ``width`` words that starts at each word, as long as one fits."""
+    count = max(0, len(words) - width + 1)
+    out = np.full(count, np.uint64(width))
     for i in range(width):
-        out = out * _STEP + words[i : len(words) - width + 1 + i]
+        out = out * _STEP + words[i : count + i]
         out = out ^ (out >> np.uint64(32))
-    return np.unique(mixed(out, 2))
+    return mixed(out, 2)
+
+
+def distinct_shingles(words: np.ndarray, size: int) -> np.ndarray:
+    return np.unique(rolled(words, min(size, len(words)))) if len(words) else words
 
 
 def fingerprint(tokens: np.ndarray, salt: int) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from disputatio.llm.common import broadcast_if_small, saved
 from disputatio.llm.group_links import BITS, linked_sets
-from disputatio.llm.shingles import Words, bitmap, distinct_shingles, mixed, slices
+from disputatio.llm.shingles import Words, bitmap, distinct_shingles, mixed, rolled, slices
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -58,6 +58,12 @@ class Paragraphs(Words):
     def tokens(self, unit: int, size: int) -> np.ndarray:
         return distinct_shingles(self.hash[self.since[unit] : self.until[unit]], size)
 
+    def all_shingles(self, units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of paragraphs of ``size`` or more words, one paragraph after another, and where each begins."""
+        counts = self.until[units] - self.since[units] - size + 1
+        edge = np.cumsum(counts) - counts
+        return rolled(self.hash, size)[np.repeat(self.since[units] - edge, counts) + np.arange(counts.sum())], edge
+
 
 def repeated_passages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, least_words: int = 50, edge: int = 10, shortest: int = 8, band_rows: int = 2, recall: float = 0.995
@@ -101,14 +107,13 @@ def repeated_passages(
         for batch in batches:
             for _, part in slices(batch.column(0)):
                 p, names, keys = Paragraphs(part), [], []
-                lengths = p.until - p.since
-                chosen = np.flatnonzero(lengths >= shortest)
+                # Paragraphs without a whole shingle are alike only if they are equal, which makes them one class.
+                chosen = np.flatnonzero(p.until - p.since >= max(shortest, size))
                 chosen = chosen[np.unique(p.name[chosen], return_index=True)[1]]
-                sets = [p.tokens(u, size) for u in chosen.tolist()]
-                if sets:
-                    flat, edge = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets[:-1]])
+                if len(chosen):
+                    flat, edge = p.all_shingles(chosen, size)
                     for band in range(bands):
-                        key = np.full(len(sets), np.uint64(band))
+                        key = np.full(len(chosen), np.uint64(band))
                         for r in range(band_rows):
                             key = mixed(key + np.minimum.reduceat(mixed(flat, 20 + band * band_rows + r), edge), 13)
                         names.append(p.name[chosen])
