@@ -1,12 +1,16 @@
 """Quality, repeated passages and the pipeline on small inputs."""
 
+import itertools
 import random
+import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from disputatio.llm.quality import VOTES, label_model, score_quality
+from disputatio.llm.quality import VOTES, Kinds, Texts, label_model, pattern_of, score_quality, votes_of
 from disputatio.llm.substring_dedup import repeated_passages, tuned_bands
 from tests.llm.test_jaccard import brute
 from tests.llm.test_pii import plain
@@ -45,6 +49,51 @@ def test_quality_of_odd_texts(spark, frame):
     assert score_quality(frame([], DOCS)).collect() == []
 
 
+def plain_votes(text):
+    t = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    n, size = max(len(words), 1), max(len(t), 1)
+    kinds = [unicodedata.category(c) for c in t]
+    letters, short = sum(k[0] == "L" for k in kinds), len(words) < 30
+    per_sentence = n / (sum(c in ".!?" for c in t) + 1)
+    alarm = [
+        sum(c in "*&%$#!|~^<>{}[]=\\" for c in t) / size > 0.05,
+        kinds.count("Lu") / max(letters, 1) > 0.5,
+        not short and 1 - len(set(words)) / n > 0.85,
+        t.count("|") / n > 0.2,
+        not 2 <= letters / n <= 12,
+        letters / size < 0.6,
+    ]
+    length = -1 if len(words) < 3 else int(len(words) > 50)
+    sentences = 0 if short else -1 if per_sentence > 100 else int(3 < per_sentence < 40)
+    return [-int(a) for a in alarm] + [length, sentences]
+
+
+def plain_tokens(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    kind = lambda c: {"Lu": "A", "Ll": "a"}.get(unicodedata.category(c), "0" if "0" <= c <= "9" else None)
+    shape = lambda w: "".join(k or "".join(g) for k, g in itertools.groupby(w, kind))
+    return [("word", w) for w in words] + [("shape", shape(w)) for w in words]
+
+
+def test_quality_votes_and_tokens_match_a_plain_version():
+    odd = [None, "", " \n", "ÀÉ Größe ǅ x", "a" * 50, "日本語 テキスト。", "\x1f\u00a0 one|two || three", "😀 A1b22C.", "same " * 40, "A!! B?? " * 60, "one two three. " * 40, "x\ty\x0bz\x0c"]
+    rng = random.Random(9)
+    odd += ["".join(rng.choice("aBß7 .!|é\n\t%語") for _ in range(rng.randrange(400))) for _ in range(200)]
+    texts = Texts(pa.array(odd, pa.string()), Kinds())
+    assert texts.votes().tolist() == [plain_votes(t) for t in odd]
+    assert (votes_of(pattern_of(texts.votes())) == texts.votes()).all()
+    row, bucket = texts.tokens(1 << 60)
+    names = {}
+    for i, t in enumerate(odd):
+        got = bucket[row == i].tolist()
+        want = plain_tokens(t)
+        assert len(got) == len(want)
+        for b, w in zip(got, want):
+            assert names.setdefault(w, b) == b
+    assert len(set(names.values())) == len(names)
+
+
 def sentence(rng, n):
     return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "."
 
