@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from catalog.base import (
     spread_table,
 )
 from disputatio.functions.parsing import SPEAKER
+from disputatio.functions.prompts import PROMPTS
+from disputatio.operators.context import PROMPT_RADIUS
 from disputatio.operators.ranking import running_counts
 from disputatio.operators.reshape import all_topics_exhausted, progress_summary
 from disputatio.operators.stance import is_argument
@@ -55,6 +59,15 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_topics(spread_table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def digest_model():
+    """A stand-in for a model: answers with the digest of the prompt."""
+    return lambda prompts: prompts.map(lambda p: hashlib.md5(p.encode()).hexdigest())
+
+
+def q_rewrite_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare_topics(spread_table(spark, sf_dir, "benchmark"), "item_id", "text", "llm", digest_model)
+
+
 def q_find_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_arguments(topics(spark, sf_dir), collection(spark, sf_dir), KEY, "source", "doc_id", OPTIONS)
 
@@ -99,7 +112,7 @@ def q_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = running_counts(_kept(spark, sf_dir), ["request_id"], [F.col("topic_pos"), F.col("rank")], is_argument(F.col("label")))
+    rows = running_counts(_kept(spark, sf_dir), ["request_id"], ["topic_pos"], [F.col("rank")], is_argument(F.col("label")))
     return rows.select("request_id", "topic_pos", "rank", "label", "analyzed_so_far", "arguments_so_far")
 
 
@@ -198,9 +211,24 @@ def sql_find(threshold: float = 0.8, where: str = "TRUE", precheck: bool = False
     return f"{sql_hits(1000)},{sql_labelled(threshold, where, precheck)},{SQL_KEPT},{sql_evidence('kept')}"
 
 
+def sql_prompt(template: str, slots: dict[str, str]) -> str:
+    parts = []
+    for literal, slot, _, _ in Formatter().parse(template):
+        parts += ["'" + literal.replace("'", "''") + "'"] if literal else []
+        parts += [f"coalesce({slots[slot]}, '')"] if slot is not None else []
+    return " || ".join(parts)
+
+
+SQL_REWRITE = f"""WITH {sql_sentences("ts", "benchmark", "item_id", "text")},
+found AS (SELECT item_id, sent_id, sentence, {sql_ambiguous("sentence", "NULL")} AS words, {sql_window("sent_id", PROMPT_RADIUS)} AS near FROM ts)
+SELECT item_id AS request_id, sent_id AS topic_pos, sentence AS topic_original, CASE WHEN len(words) > 0
+  THEN md5({sql_prompt(PROMPTS["rewrite"], {"sentence": "sentence", "context": "near", "ambiguous_words": "array_to_string(list_filter(words, lambda w, i: list_position(words, w) = i), ', ')"})})
+  ELSE sentence END AS topic_rewritten FROM found"""
+
 SQL_SHORT = f"{sql_hits(1000)},{sql_labelled(0.8)},{SQL_KEPT}"
 
 QUERIES = {
+    "rewrite_with_model": q_rewrite_with_model,
     "find_arguments": q_find_arguments,
     "find_arguments_some_sources": q_find_arguments_some_sources,
     "mine_corpus": q_mine_corpus,
@@ -212,6 +240,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "rewrite_with_model": SQL_REWRITE,
     "find_arguments": f"{sql_find()} {SQL_ARGUMENT_ROW}",
     "find_arguments_some_sources": f"{sql_find(0.6, 'source IN (' + repr('src1') + ', ' + repr('src3') + ', ' + repr('src5') + ', ' + repr('src7') + ')', True)} {SQL_ARGUMENT_ROW}",
     "mine_corpus": f"""{sql_hits(10, strict=True)},{sql_labelled(0.8, "length(new_sentence) > 10 AND len(" + sql_words("new_sentence") + ") >= 5")},

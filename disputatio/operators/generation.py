@@ -52,16 +52,19 @@ def generate_from_template(
 
 
 def rewrite_sentences(prepared: DataFrame, model: ModelFactory, template: str = PROMPTS["rewrite"]) -> DataFrame:
-    """Let a model write the missing ``new_sentence`` values of ``prepare_sentences(method="llm")``."""
+    """Let a model write the missing ``new_sentence`` values of ``prepare_sentences(method="llm")``.
+
+    Only the sentences a model has to write are shuffled. Where it answers nothing, the sentence stays as it was.
+    """
     slots = {
         "sentence": F.col("original_sentence"),
         "context": F.col("prompt_context"),
         "ambiguous_words": F.col("ambiguous_words"),
     }
-    todo = prepared.withColumn("_todo", F.when(F.col("new_sentence").isNull(), render_prompt(template, slots)))
-    done = batch_generate(todo, "_todo", model, "_written")
-    written = done.withColumn("new_sentence", F.coalesce("new_sentence", "_written"))
-    return written.drop("_todo", "_written", "ambiguous_words", "prompt_context")
+    todo = prepared.where(F.col("new_sentence").isNull()).withColumn("_todo", render_prompt(template, slots))
+    done = batch_generate(todo, "_todo", model, "_written").withColumn("new_sentence", F.coalesce("_written", "original_sentence"))
+    written = prepared.where(F.col("new_sentence").isNotNull()).unionByName(done.drop("_todo", "_written"))
+    return written.drop("ambiguous_words", "prompt_context")
 
 
 def translate_columns(

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from disputatio.session import checkpointed
+
 SALTS = 64
 
 
@@ -82,15 +85,23 @@ def early_stop(
     return kept.drop("_cut", *[f"_{g}" for g in group])
 
 
-def running_counts(df: DataFrame, group: Sequence[str], order: Sequence[Column], hit: Column) -> DataFrame:
-    """Rows seen and hits found so far within a group.
+def running_counts(df: DataFrame, group: Sequence[str], part: Sequence[str], order: Sequence[Column], hit: Column) -> DataFrame:
+    """Rows seen and hits found so far within a group, which is ordered by the columns ``part`` and then by ``order``.
 
-    A group is one request's hits, at most k per topic sentence, so it stays small.
+    Rows are counted per part, the counts are summed up over the parts before, and only the rows of one part stand in
+    one window (a topic sentence has at most k of them, a request any number). The rows are written first, as they are read twice.
     """
-    so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns(
+    rows = checkpointed(df.withColumn("_hit", F.coalesce(hit.cast("int"), F.lit(0))), "counted")
+    per_part = rows.groupBy(*group, *part).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_hit").alias("_hits"))
+    earlier = Window.partitionBy(*group).orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, *part]
+    before = per_part.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_rows", "_hits")])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.join(before, same).withColumns(
         {
-            "analyzed_so_far": F.count(F.lit(1)).over(so_far),
-            "arguments_so_far": F.sum(hit.cast("int")).over(so_far),
+            "analyzed_so_far": F.col("_rows") + F.count(F.lit(1)).over(so_far),
+            "arguments_so_far": F.col("_hits") + F.sum("_hit").over(so_far),
         }
     )
+    return counted.drop("_hit", "_rows", "_hits", *[f"_{k}" for k in keys])

@@ -13,6 +13,7 @@ from disputatio.functions.parsing import SPEAKER_FIELDS, speaker
 from disputatio.functions.text import escape_all_strings, strip_html
 from disputatio.operators.context import prepare_sentences
 from disputatio.operators.evidence import with_best_sentence
+from disputatio.operators.generation import ModelFactory, rewrite_sentences
 from disputatio.operators.ranking import running_counts
 from disputatio.operators.reshape import DISPLAY_NAMES, chosen_names, rename_project
 from disputatio.operators.similarity import SEARCH_DEPTH, SHORT_SEARCH_DEPTH, SIMILARITY_THRESHOLD, text_top_k
@@ -60,20 +61,29 @@ def build_collection(
     html: bool = True,
     separator: str = "\n",
     method: str | None = "context",
+    model: ModelFactory | None = None,
 ) -> DataFrame:
     """Documents to prepared sentences: markup removed, sentences split, contexts added, ambiguous ones rewritten.
 
-    Everything happens on the document's own row, so the job is one scan without a shuffle.
+    Everything happens on the document's own row, so the job is one scan without a shuffle. ``method="llm"`` lets
+    ``model`` rewrite; only ambiguous sentences then move.
     """
     plain = strip_html(F.col(text), separator) if html else F.col(text)
     columns = [c for c in dict.fromkeys([*keys, *([lang] if lang else [])])]
     rows = documents.select(*columns, plain.alias("_plain"))
-    return prepare_sentences(rows, columns, "_plain", lang, method)
+    return _rewritten(rows, columns, "_plain", lang, method, model)
 
 
-def prepare_topics(requests: DataFrame, request: str, text: str, method: str | None = "context") -> DataFrame:
+def _rewritten(rows: DataFrame, keys: Sequence[str], text: str, lang: str | None, method: str | None, model: ModelFactory | None) -> DataFrame:
+    if (method == "llm") != (model is not None):
+        raise ValueError("the method 'llm' needs a model, and no other method takes one")
+    prepared = prepare_sentences(rows, keys, text, lang, method)
+    return prepared if model is None else rewrite_sentences(prepared, model)
+
+
+def prepare_topics(requests: DataFrame, request: str, text: str, method: str | None = "context", model: ModelFactory | None = None) -> DataFrame:
     """Topic sentences of each request: ``request_id, topic_pos, topic_original, topic_rewritten``."""
-    prepared = prepare_sentences(requests, [request], text, None, method)
+    prepared = _rewritten(requests, [request], text, None, method, model)
     return prepared.select(
         F.col(request).alias("request_id"),
         F.col("sent_id").alias("topic_pos"),
@@ -140,12 +150,14 @@ def stop_early(hits: DataFrame, topics: DataFrame, limit: int) -> DataFrame:
 
     Equal topic sentences of one request share a counter. The hits of a sentence are the same for each
     of its copies, so copy number ``j`` starts with ``j`` times the sentence's neutral hits, and both
-    counts are taken once per sentence, over at most ``k`` hits.
+    counts are taken once per sentence, over at most ``k`` hits. The first copy stops last, so hits
+    beyond its stop are dropped before the join; later copies are cut after it.
     """
     per_text = Window.partitionBy("topic_rewritten")
     upto = per_text.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     neutral = (~is_argument(F.col("label"))).cast("int")
     counted = hits.withColumns({"_upto": F.sum(neutral).over(upto), "_all": F.sum(neutral).over(per_text), "_self": neutral})
+    counted = counted.where(F.col("_upto") - F.col("_self") < limit)
     copies = Window.partitionBy("request_id", "topic_rewritten").orderBy("topic_pos")
     asked = topics.withColumn("_copy", F.row_number().over(copies) - 1)
     before = F.col("_copy") * F.col("_all") + F.col("_upto") - F.col("_self")
@@ -249,8 +261,7 @@ def present_results(arguments: DataFrame, chosen: Sequence[str] = ()) -> DataFra
 
     Counts include the rows without a stance, which are not shown.
     """
-    order = [F.col("topic_pos"), F.col("num_arguments_analyzed")]
-    counted = running_counts(arguments, ["request_id"], order, is_argument(F.col("label")))
+    counted = running_counts(arguments, ["request_id"], ["topic_pos"], [F.col("num_arguments_analyzed")], is_argument(F.col("label")))
     shown = counted.where(is_argument(F.col("label")))
     names = chosen_names(chosen) if chosen else DISPLAY_NAMES
     keep = {"request_id": "request_id", "topic_pos": "topic_pos", "num_arguments_analyzed": "rank"}

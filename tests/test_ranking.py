@@ -66,5 +66,16 @@ def test_top_k(spark, two_level):
 
 def test_running_counts(spark):
     df = spark.createDataFrame([("r", i, s) for i, s in enumerate("pxpp")], "g string, pos int, s string")
-    rows = running_counts(df, ["g"], [F.col("pos")], F.col("s") == "p").orderBy("pos").collect()
+    rows = running_counts(df, ["g"], ["pos"], [F.col("s")], F.col("s") == "p").orderBy("pos").collect()
     assert [(r["analyzed_so_far"], r["arguments_so_far"]) for r in rows] == [(1, 1), (2, 1), (3, 2), (4, 3)]
+
+
+def test_running_counts_of_a_request_with_most_rows(spark):
+    rows = [("hot" if i % 4 else f"g{i % 7}", i % 5 if i % 11 else None, i, i % 3 == 0 if i % 13 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, part int, pos int, hit boolean").repartition(5)
+    got = {r["pos"]: (r["analyzed_so_far"], r["arguments_so_far"]) for r in running_counts(df, ["g"], ["part"], [F.col("pos")], F.col("hit")).collect()}
+    want, seen = {}, {}
+    for g, _, pos, hit in sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2])):
+        n, h = seen.get(g, (0, 0))
+        want[pos] = seen[g] = (n + 1, h + bool(hit))
+    assert got == want
