@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from disputatio.llm.common import broadcast_if_small, saved
 from disputatio.llm.components import connected_components
-from disputatio.llm.group_links import BITS, linked_sets
+from disputatio.llm.group_links import BITS, linked_sets, may_link
 from disputatio.llm.shingles import Words, bitmap, fingerprint, mixed, slices
 
 # Upper over lower edge of a size band.
@@ -99,15 +99,16 @@ def still_open(rows: DataFrame) -> DataFrame:
     return counts.where("n > room").select("item", "band")
 
 
-def allocate(rows: DataFrame) -> DataFrame:
+def allocate(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows of the keys at which candidates meet, with what each set asks for there.
 
     ``rows`` has a row per segment (``kind`` 0) and one per segment without one of its tokens (``kind`` 1). A set buys
     ``need`` units, the largest allowed difference and one: one unit for looking up a segment as it is, a second one
-    for looking it up with one token more or less. If no lookup finds a set, the two differ by at least as many
+    for looking it up with one token more or less. A segment with a single token (``lone``) sells one unit only: without that
+    token it is empty and has no key. If no lookup finds a set, the two differ by at least as many
     tokens as units were bought. Units are bought by cost, which is the number of rows a lookup meets; those that meet none are free.
-    ``ask`` is 0, 1 or 2 units for the row's segment; ``rank`` orders sets by the units they got for free. There are
-    about six units on sale for each one needed; that a hash leaves fewer than needed has a chance far below one in a billion.
+    ``ask`` is 0, 1 or 2 units for the row's segment; ``rank`` orders sets by the units they got for free. A set that a hash
+    left with fewer units on sale than it needs (all its tokens in very few segments) meets, under a key of its own, every set that sizes and bitmaps allow.
     """
     by_key = Window.partitionBy("key")
     counted = rows.withColumn("n0", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(by_key)).withColumn(
@@ -119,21 +120,30 @@ def allocate(rows: DataFrame) -> DataFrame:
         F.max("need").alias("need"),
         F.sum(F.when(plain, F.col("n0") - 1).otherwise(0)).alias("same"),
         F.sum(F.when(plain, F.col("n1")).otherwise(F.col("n0"))).alias("near"),
+        F.max("lone").alias("lone"),
     )
-    costs = costs.withColumn("near", F.greatest("same", "near"))
-    units = F.sort_array(F.flatten(F.collect_list(F.array("same", "near"))))
+    # No second unit is null, which no comparison below takes for bought.
+    costs = costs.withColumn("near", F.when(~F.col("lone"), F.greatest("same", "near"))).drop("lone")
+    units = F.sort_array(F.filter(F.flatten(F.collect_list(F.array("same", "near"))), lambda x: x.isNotNull()))
     priced = costs.groupBy("item", "band").agg(F.max("need").alias("need"), units.alias("units"))
     # A set that gets all its units for free has no partner and takes no further part.
-    priced = priced.select("item", "band", F.element_at("units", F.least("need", F.size("units"))).alias("price"), F.size(F.filter("units", lambda x: x == 0)).alias("rank"))
-    priced = saved(priced.where("price > 0"), "priced")
+    priced = priced.select("item", "band", F.element_at("units", F.least("need", F.size("units"))).alias("price"), F.size(F.filter("units", lambda x: x == 0)).alias("rank"), (F.size("units") < F.col("need")).alias("short"))
+    priced = saved(priced.where("price > 0 OR short"), "priced")
     # Whatever costs no more than the dearest unit needed is bought.
     worth = "(same > 0 AND same <= price) OR (near > 0 AND near <= price)"
     asks = costs.join(priced, ["item", "band"]).where(worth).select("item", "band", "seg", F.when(F.col("near") <= F.col("price"), 2).otherwise(1).alias("ask"))
     asks = saved(asks, "asks")
     seen = counted.join(asks, ["item", "band", "seg"]).where((F.col("n0") + F.col("n1") > 1) & ((F.col("kind") == 0) | (F.col("ask") == 2)))
     wanted = saved(seen.select("key").distinct(), "wanted")
-    members = counted.join(wanted, "key").join(priced.drop("price"), ["item", "band"]).join(asks, ["item", "band", "seg"], "left")
-    return members.select("key", "item", "kind", F.coalesce("ask", F.lit(0)).alias("ask"), "rank")
+    members = counted.join(wanted, "key").join(priced.drop("price", "short"), ["item", "band"]).join(asks, ["item", "band", "seg"], "left")
+    members = members.select("key", "item", "kind", F.coalesce("ask", F.lit(0)).alias("ask"), "rank")
+    short = priced.where("short").select("item").distinct()
+    if short.isEmpty():
+        return members
+    traits = sets.select("item", "n", *BITS)
+    x, y = broadcast_if_small(saved(traits.join(short, "item"), "short"), 60).alias("x"), traits.alias("y")
+    met = y.join(x, may_link("x", "y", percent)).select(F.xxhash64("x.item", F.lit("short")).alias("key"), F.col("y.item").alias("item"))
+    return members.union(met.select("key", "item", F.lit(0).alias("kind"), F.lit(1).alias("ask"), F.lit(0).alias("rank")))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -222,7 +232,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     left = saved(still_open(sets.select("item", "bands", "tokens").mapInArrow(fine, row)).groupBy("item").agg(F.collect_set("band").alias("bands")), "left")
 
     def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "item", "band", "seg", "kind", "need"]
+        names = ["key", "item", "band", "seg", "kind", "need", "lone"]
         for batch in batches:
             for item, some, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 tokens = np.frombuffer(blob, np.uint64)
@@ -231,18 +241,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                         continue
                     place, sums, used = segments(tokens, band, most, FINE)
                     without = key_of(sums[place] - mixed(tokens, 6), place, band)
-                    alone = np.bincount(place, minlength=len(sums))[place] == 1
+                    single = np.bincount(place, minlength=len(sums)) == 1
+                    alone = single[place]
                     keys = np.concatenate([key_of(sums[used], used, band), without[~alone]])
                     seg = np.concatenate([used, place[~alone]])
                     kind = np.repeat([0, 1], [len(used), len(keys) - len(used)])
                     fill = lambda v, t: np.full(len(keys), v, t)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (keys, fill(item, np.int64), fill(band, np.int32), seg.astype(np.int32), kind.astype(np.int32), fill(own + 1, np.int32))], names
-                    )
+                    columns = (keys, fill(item, np.int64), fill(band, np.int32), seg.astype(np.int32), kind.astype(np.int32), fill(own + 1, np.int32), single[seg])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     last = sets.drop("bands").join(left, "item")
-    near = last.select("item", "bands", "tokens").mapInArrow(neighbourhoods, "key long, item long, band int, seg int, kind int, need int")
-    members = saved(allocate(near), "members")
+    near = last.select("item", "bands", "tokens").mapInArrow(neighbourhoods, "key long, item long, band int, seg int, kind int, need int, lone boolean")
+    members = saved(allocate(near, sets, percent), "members")
     same = (F.col("x.kind") == 0) & (F.col("y.kind") == 0) & (F.greatest("x.ask", "y.ask") >= 1)
     off_by_one = (F.col("x.kind") != F.col("y.kind")) & (F.greatest("x.ask", "y.ask") == 2)
     parts = linked_sets(members, sets, percent, same | off_by_one)

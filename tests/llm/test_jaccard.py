@@ -128,3 +128,24 @@ def test_components(spark):
     linked = {x for a, b in links if a is not None and a != b for x in (a, b)}
     assert got == {x: label[x] for x in linked}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+def isolated_pairs(rng, sizes, percent, size, copies):
+    """Texts in pairs that share words with nobody else: a text and its beginning, at the threshold and just below it."""
+    rows, want = [], {}
+    for n in sizes:
+        most = n - -(-percent * n // 100)
+        for lost in [most] * copies + [most + 1]:
+            words = [f"w{rng.randrange(10**12)}" for _ in range(n + size - 1)]
+            at = len(rows)
+            rows += [(at, " ".join(words)), (at + 1, " ".join(words[: len(words) - lost]))]
+            want[at], want[at + 1] = at, at if lost <= most else at + 1
+    return rows, want
+
+
+@pytest.mark.parametrize(("percent", "size"), [(85, 4), (80, 5)])
+def test_isolated_pairs_at_the_threshold(spark, frame, percent, size):
+    """Only tokens from segments of a single one are missing in many of them."""
+    rows, want = isolated_pairs(random.Random(7), [n for n in range(4, 320) if n - -(-percent * n // 100) > 0], percent, size, 5)
+    got = {r.doc_id: r.component_id for r in jaccard_components(frame(rows, DOCS), size=size, percent=percent).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
