@@ -91,11 +91,12 @@ def still_open(rows: DataFrame) -> DataFrame:
 
     If more segments than the largest allowed difference are held by no other set, every other set differs by more
     than that: there is no partner. ``room`` is the number of segments beyond that; a set with more shared segments stays open.
+    Below 0, a partner need not share a segment: the set stays open without asking.
     Equal rows, from copies of one text, count once.
     """
     by_key = Window.partitionBy("key")
-    shared = rows.withColumn("low", F.min("item").over(by_key)).withColumn("high", F.max("item").over(by_key)).where("low < high")
-    counts = shared.groupBy("item", "band").agg(F.count_distinct("key").alias("n"), F.max("room").alias("room"))
+    shared = rows.withColumn("low", F.min("item").over(by_key)).withColumn("high", F.max("item").over(by_key)).where("low < high OR room < 0")
+    counts = shared.groupBy("item", "band").agg(F.count_distinct(F.when(F.col("low") < F.col("high"), F.col("key"))).alias("n"), F.max("room").alias("room"))
     return counts.where("n > room").select("item", "band")
 
 

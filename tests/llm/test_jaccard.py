@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from disputatio.llm.components import connected_components
-from disputatio.llm.jaccard_join import Bands, jaccard_components
+from disputatio.llm.jaccard_join import COARSE, Bands, jaccard_components, segment_rows
 from disputatio.llm.shingles import Words, bitmap
 
 DOCS = "doc_id long, text string"
@@ -149,3 +149,26 @@ def test_isolated_pairs_at_the_threshold(spark, frame, percent, size):
     rows, want = isolated_pairs(random.Random(7), [n for n in range(4, 320) if n - -(-percent * n // 100) > 0], percent, size, 5)
     got = {r.doc_id: r.component_id for r in jaccard_components(frame(rows, DOCS), size=size, percent=percent).collect()}
     assert [i for i in want if got[i] != want[i]] == []
+
+
+def without_shared_coarse_segment(rng, percent, size, sizes, wanted):
+    """Texts in linked pairs of which some share no coarse segment, with the number of such pairs."""
+    bands, rows, apart = Bands(percent), [], 0
+    while apart < wanted:
+        n = rng.choice(sizes)
+        lost = n - -(-percent * n // 100)
+        words = [f"w{rng.randrange(10**12)}" for _ in range(n + size - 1)]
+        pair = [" ".join(words), " ".join(words[: len(words) - lost])]
+        found = Words(pa.array(pair))
+        keys = [{k for _, keys, _ in segment_rows(found.shingles(i, size), bands, COARSE) for k in keys.tolist()} for i in range(2)]
+        if not keys[0] & keys[1]:
+            rows += [(2 * apart, pair[0]), (2 * apart + 1, pair[1])]
+            apart += 1
+    return rows
+
+
+@pytest.mark.parametrize(("percent", "size", "sizes"), [(80, 5, [5, 6]), (50, 4, [2, 3, 4, 6])])
+def test_sets_in_too_few_segments(spark, frame, percent, size, sizes):
+    """Sets with fewer segments than they need may share none; at 50 % some lack units in the fine round, too."""
+    rows = without_shared_coarse_segment(random.Random(8), percent, size, sizes, 20)
+    assert got_rows(jaccard_components(frame(rows, DOCS), size=size, percent=percent)) == brute(rows, percent, size)
