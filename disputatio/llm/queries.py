@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_mixing", "queries_vectors", "queries_text", "queries_secrets", "queries_repair"]
+MODULES = ["queries_mixing", "queries_vectors", "queries_text", "queries_secrets", "queries_repair", "queries_phrases"]
 
 
 def _merged(name: str) -> dict:
