@@ -187,75 +187,83 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def count_pairs(docs: DataFrame, words: Sketch) -> DataFrame:
-    """``h1, h2, n`` of neighbouring words, for pairs whose words both pass the sketch."""
+    """``pair, n``: a hash of two neighbouring words and its count, for pairs whose words both pass the sketch."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(2)
+        counter = Counter(1)
         for batch in batches:
             codes = lang_codes(batch.column(0))
             for at, part in slices(batch.column(1)):
                 p = Pieces(part, codes[at : at + len(part)])
                 often = words.has(p.hash)
                 here = np.flatnonzero((p.piece[1:] == p.piece[:-1]) & often[1:] & often[:-1])
-                counter.add(np.stack([p.hash[here], p.hash[here + 1]], axis=1))
+                counter.add(paired(p.hash[here], p.hash[here + 1])[:, None])
                 if counter.full:
-                    yield _as_batch(*counter.taken())
-        yield _as_batch(*counter.taken())
+                    yield _as_batch(*counter.taken()).rename_columns(["pair", "n"])
+        yield _as_batch(*counter.taken()).rename_columns(["pair", "n"])
 
-    return docs.mapInArrow(counted, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 class Groups:
     """Prefixes grouped by a memory budget: a prefix of too many occurrences is made one word longer, the others share groups.
 
-    Counts of pairs bound those of the suffixes below them. Prefixes over the budget are at most their total divided by it,
-    and all others meet in some eight cells for each budget in the total, so what the driver holds is bounded by total / budget.
+    The count of a word bounds the suffixes that begin with it, that of a pair those below the pair. Prefixes over the budget
+    are at most the total divided by it, and all others meet in some eight cells for each budget in the total, so what the
+    driver holds is bounded by total / budget.
     """
 
-    def __init__(self, pairs: DataFrame, budget: int):
-        total = pairs.agg(F.sum("n")).first()[0] or 0
-        self.cells = 1 << max(10, (8 * total // budget).bit_length())
-        by_word = pairs.groupBy("h1").agg(F.sum("n").alias("n"))
-        self.heavy_words = _keys(by_word.where(F.col("n") > budget).select("h1"))
-        heavy = pairs.where(F.col("n") > budget).select("h1", "h2", "n").toArrow()
-        self.heavy_pairs = paired(*(heavy.column(i).to_numpy().view(np.uint64) for i in (0, 1)))
-        order = np.argsort(self.heavy_pairs)
-        self.heavy_pairs, share = self.heavy_pairs[order], heavy.column(2).to_numpy()[order]
-
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cell, light = self.cell(np.stack([column(batch, "h1"), column(batch, "h2")], axis=1))
-                sums = np.bincount(cell[light], batch.column("n").to_numpy()[light], self.cells).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], ["cell", "n"])
-
-        sums = np.zeros(self.cells, np.int64)
-        found = pairs.mapInArrow(summed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        sums[found.column(0).to_numpy()] = found.column(1).to_numpy()
-        # Neighbouring cells fill a group until the budget is reached.
-        self.of_cell = (np.cumsum(sums) - sums) // budget
-        self.first_heavy = int(self.of_cell[-1]) + 1
+    def __init__(self, words: DataFrame, pairs: DataFrame, budget: int):
+        self.heavy_words = _sorted(words, "h1", budget)[0]
+        self.heavy_pairs, share = _sorted(pairs, "pair", budget)
+        self.word_group, last = _packed(words, "h1", self.heavy_words, budget)
+        self.pair_group, end = _packed(pairs, "pair", self.heavy_pairs, budget)
+        self.pair_group += last
         self.spread = share // budget + 1
-        self.offset = self.first_heavy + np.cumsum(self.spread) - self.spread
-        self.count = int(self.first_heavy + self.spread.sum())
-
-    def cell(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cell of each row's prefix (of one word, or two where the first is heavy), and which pairs are no heavy prefix."""
-        pair = paired(rows[:, 0], rows[:, 1])
-        longer = _among(self.heavy_words, rows[:, 0])[0]
-        return (mixed(np.where(longer, pair, rows[:, 0]), 35) % np.uint64(self.cells)).astype(np.int64), ~_among(self.heavy_pairs, pair)[0]
+        self.offset = last + end + np.cumsum(self.spread) - self.spread
+        self.count = int(last + end + self.spread.sum())
 
     def of(self, rows: np.ndarray) -> np.ndarray:
-        """The group of every row, from its first two words, or three where the pair is heavy."""
-        cell, _ = self.cell(rows)
-        heavy, at = _among(self.heavy_pairs, paired(rows[:, 0], rows[:, 1]))
-        group = self.of_cell[cell]
-        if len(self.heavy_pairs):
-            group = np.where(heavy, self.offset[at] + (mixed(rows[:, 2], 36) % self.spread[at].astype(np.uint64)).astype(np.int64), group)
+        """The group of every row by its prefix: its first word, two where that is heavy, three where these are."""
+        pair = paired(rows[:, 0], rows[:, 1])
+        longer, _ = _among(self.heavy_words, rows[:, 0])
+        group = np.where(longer, self.pair_group[_cell(pair, len(self.pair_group))], self.word_group[_cell(rows[:, 0], len(self.word_group))])
+        heavy, at = _among(self.heavy_pairs, pair)
+        if heavy.any():
+            third = (mixed(rows[:, 2], 36) % self.spread[at].astype(np.uint64)).astype(np.int64)
+            group = np.where(longer & heavy, self.offset[at] + third, group)
         return group
 
 
-def _keys(table: DataFrame) -> np.ndarray:
-    return np.sort(table.toArrow().column(0).to_numpy().view(np.uint64))
+def _cell(keys: np.ndarray, cells: int) -> np.ndarray:
+    return (mixed(keys, 35) % np.uint64(cells)).astype(np.int64)
+
+
+def _sorted(table: DataFrame, key: str, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys over the budget in order, and their counts."""
+    found = table.where(F.col("n") > budget).select(key, "n").toArrow()
+    keys = found.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column(1).to_numpy()[order]
+
+
+def _packed(table: DataFrame, key: str, heavy: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
+    """The group of every cell, neighbouring cells filling a group until the budget is reached, and the number of groups."""
+    cells = 1 << max(10, (8 * (table.agg(F.sum("n")).first()[0] or 0) // budget).bit_length())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = column(batch, key), batch.column("n").to_numpy()
+            light = ~_among(heavy, keys)[0]
+            sums = np.zeros(cells, np.int64)
+            np.add.at(sums, _cell(keys[light], cells), n[light])
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], ["cell", "n"])
+
+    sums = np.zeros(cells, np.int64)
+    found = table.select(key, "n").mapInArrow(summed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sums[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    group = (np.cumsum(sums) - sums) // budget
+    return group, int(group[-1]) + 1
 
 
 def _among(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +274,7 @@ def _among(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def suffixes(docs: DataFrame, pairs: Sketch, groups: Groups) -> DataFrame:
-    """``h1 … h4, n, group``: the words from each place on, three or four of them, as far as every pair in a row passes the sketch."""
+    """``h1 … h4, n, group``: the words from each place on, two to four of them, as far as every pair in a row passes the sketch."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(DEPTH)
@@ -281,12 +289,14 @@ def suffixes(docs: DataFrame, pairs: Sketch, groups: Groups) -> DataFrame:
                 p = Pieces(part, codes[at : at + len(part)])
                 follows = p.piece[1:] == p.piece[:-1]
                 follows[follows] = pairs.has(paired(p.hash[:-1][follows], p.hash[1:][follows]))
-                here = np.flatnonzero(follows[:-1] & follows[1:])
+                follows = np.concatenate([follows, np.zeros(DEPTH, bool)])
+                here = np.flatnonzero(follows)
                 keys = np.zeros((len(here), DEPTH), np.uint64)
-                for i in range(3):
-                    keys[:, i] = p.hash[here + i]
-                four = np.flatnonzero(np.append(follows, False)[np.minimum(here + 2, len(follows))])
-                keys[four, 3] = p.hash[here[four] + 3]
+                reached = np.ones(len(here), bool)
+                keys[:, 0] = p.hash[here]
+                for i in range(1, DEPTH):
+                    reached &= follows[here + i - 1]
+                    keys[reached, i] = p.hash[here[reached] + i]
                 counter.add(keys)
                 if counter.full:
                     yield rows()
@@ -296,11 +306,11 @@ def suffixes(docs: DataFrame, pairs: Sketch, groups: Groups) -> DataFrame:
     return docs.mapInArrow(counted, f"{schema}, n long, group long")
 
 
-def subtree_counts(suffix_rows: DataFrame, least: int) -> DataFrame:
-    """Counts of all phrases of three and four words with ``least`` or more, each group of prefixes on its own.
+def subtree_counts(suffix_rows: DataFrame, groups: Groups, least: int) -> DataFrame:
+    """Counts of all phrases of two to four words with ``least`` or more, each group of prefixes on its own.
 
     In sorted order every node of a suffix tree is a run of suffixes; the tree is cut at four words, and a node's count is the
-    sum over the leaves of its run.
+    sum over the leaves of its run. Only a heavy pair lies in several groups; its counts are added up in the end.
     """
     schema = ", ".join(f"{k} long" for k in KEY) + ", n long"
 
@@ -310,15 +320,18 @@ def subtree_counts(suffix_rows: DataFrame, least: int) -> DataFrame:
         order = np.lexsort(rows.T[::-1])
         rows, n = rows[order], n[order]
         out = []
-        for depth in (3, 4):
+        for depth in range(2, DEPTH + 1):
             nodes = edges(rows[:, :depth])
             keys, totals = rows[nodes].copy(), np.add.reduceat(n, nodes)
             keys[:, depth:] = 0
             kept = (totals >= least) & (keys[:, depth - 1] > 0)
+            if depth == 2:
+                kept |= _among(groups.heavy_pairs, paired(keys[:, 0], keys[:, 1]))[0]
             out.append(_as_batch(keys[kept], totals[kept]))
         return pa.Table.from_batches(out)
 
-    return suffix_rows.groupBy("group").applyInArrow(counted, schema)
+    found = suffix_rows.groupBy("group").applyInArrow(counted, schema)
+    return found.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def exact(name: str) -> Column:
@@ -338,7 +351,7 @@ def collocations(
     ``n`` is the number of all words of the language.
 
     Counting goes down level by level, and only where it can still pay: a phrase cannot stand more often than its parts. Words and pairs are counted with
-    sums in every task; sketches of bounded size tell the tasks which of them are frequent. The suffixes that are left, cut at four words, are dealt
+    sums in every task; sketches of bounded size tell the tasks which of them are frequent (pairs go by a hash until then). The suffixes that are left, cut at four words, are dealt
     to groups of prefixes of ``budget`` occurrences at most (``Groups``); a prefix of more is made longer. Each group builds its part of the suffix tree alone.
     A group holds one row for each different suffix and task. Words are told apart by 64-bit hashes of language and word.
 
@@ -351,11 +364,10 @@ def collocations(
     words = saved(all_words.where(F.col("n") >= least), "frequent")
     often = Sketch(words.count(), sketch_bits).fill(words.select("h1"), lambda b: column(b, "h1"))
     pairs = saved(count_pairs(rows, often).where(F.col("n") >= least), "pairs")
-    linked = Sketch(pairs.count(), sketch_bits).fill(pairs.select("h1", "h2"), lambda b: paired(column(b, "h1"), column(b, "h2")))
-    groups = Groups(pairs, budget)
-    long_ = saved(subtree_counts(suffixes(rows, linked, groups), least), "phrases")
+    linked = Sketch(pairs.count(), sketch_bits).fill(pairs.select("pair"), lambda b: column(b, "pair"))
+    groups = Groups(words, pairs, budget)
+    phrases = saved(subtree_counts(suffixes(rows, linked, groups), groups, least), "phrases")
     none = F.lit(0).cast("long")
-    phrases = pairs.select("h1", "h2", none.alias("h3"), none.alias("h4"), "n").unionByName(long_)
     counts = words.select("h1", *[none.alias(k) for k in KEY[1:]], "n").unionByName(phrases)
     counts = broadcast_if_small(saved(counts, "counts"), 40)
     return ranked(phrases, counts, words, sizes, top, covered)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from disputatio.llm.phrases import Groups, Sketch, collocations, count_pairs, count_words, column, paired
+from disputatio.llm.phrases import Groups, Sketch, collocations, column, count_pairs, count_words, paired, suffixes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,16 +93,22 @@ def test_groups_keep_to_the_budget(spark):
     words = count_words(docs).cache()
     everything = Sketch(words.count(), 20).fill(words.select("h1"), lambda b: column(b, "h1"))
     pairs = count_pairs(docs, everything).cache()
+    linked = Sketch(pairs.count(), 20).fill(pairs.select("pair"), lambda b: column(b, "pair"))
     budget = 60
-    groups = Groups(pairs, budget)
-    table = pairs.toArrow()
-    keys = np.stack([column(table.combine_chunks().to_batches()[0], c) for c in ("h1", "h2")], axis=1)
-    n = table.column("n").to_numpy()
-    light = ~np.isin(paired(keys[:, 0], keys[:, 1]), groups.heavy_pairs)
-    load = np.bincount(groups.of(np.concatenate([keys, keys[:, :1]], axis=1))[light], n[light])
-    assert n.max() > budget and groups.count > 10
+    groups = Groups(words, pairs, budget)
+    table = suffixes(docs, linked, groups).toArrow()
+    keys = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2", "h3")], axis=1)
+    pair = paired(keys[:, 0], keys[:, 1])
+    of, n = table.column("group").to_numpy(), table.column("n").to_numpy()
+    heavy = np.isin(pair, groups.heavy_pairs)
+    load = np.bincount(of[~heavy], n[~heavy])
+    assert words.agg(F.max("n")).first()[0] > budget and groups.count > 10 and heavy.any()
     # A group is filled to the budget by whole cells, the last of which may pass it.
     assert load.max() <= 3 * budget
+    # Prefixes of one word lie in one group, of heavy words in one per pair, of heavy pairs in one per three words.
+    light = ~np.isin(keys[:, 0], groups.heavy_words)
+    for kind, key in ((light, keys[:, :1]), (~light & ~heavy, keys[:, :2]), (~light & heavy, keys)):
+        assert len(np.unique(np.column_stack([key[kind], of[kind].astype(np.uint64)]), axis=0)) == len(np.unique(key[kind], axis=0))
     words.unpersist(), pairs.unpersist()
 
 
