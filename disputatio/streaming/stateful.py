@@ -9,6 +9,7 @@ same top-k search as in :func:`disputatio.operators.ranking.early_stop`.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,19 @@ from pyspark.sql.streaming import StreamingQuery
 from disputatio.operators.ranking import top_k_per_group
 
 
+def _joined(rows: DataFrame, side: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Left join on the group, where null is a group, too."""
+    named = side.withColumnsRenamed({g: f"_{g}" for g in group})
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    return rows.join(named, same, "left").drop(*[f"_{g}" for g in group])
+
+
 def stop_with_state(
     rows: DataFrame, counts: DataFrame | None, group: Sequence[str], order: Sequence[Column], neutral: Column, limit: int
 ) -> DataFrame:
     """Rows of one batch up to the neutral row that reaches the limit, given the counts so far."""
     if counts is not None:
-        rows = rows.join(counts.withColumnRenamed("neutrals", "_before"), list(group), "left")
+        rows = _joined(rows, counts.withColumnRenamed("neutrals", "_before"), group)
         rows = rows.withColumn("_before", F.coalesce("_before", F.lit(0))).where(F.col("_before") < limit)
     else:
         rows = rows.withColumn("_before", F.lit(0))
@@ -30,7 +38,7 @@ def stop_with_state(
     neutrals = rows.where(neutral).select(*group, "_before", at)
     first = top_k_per_group(neutrals, group, [F.col("_at")], limit, "_nth")
     cut = first.where(F.col("_nth") == limit - 1 - F.col("_before")).select(*group, F.col("_at").alias("_cut"))
-    joined = rows.join(cut, list(group), "left")
+    joined = _joined(rows, cut, group)
     return joined.where(F.col("_cut").isNull() | (F.struct(*order) <= F.col("_cut"))).drop("_cut", "_before")
 
 
