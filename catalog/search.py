@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import table
+from disputatio.operators.ball_index import build_ball_index, vector_threshold_join
 from disputatio.operators.reshape import zip_explode
 from disputatio.operators.similarity import (
     above,
@@ -15,9 +16,11 @@ from disputatio.operators.similarity import (
     cosine_top_k,
     with_num_matches,
 )
+from disputatio.session import work_dir
 
 THRESHOLD = 0.1
 SHORT_THRESHOLD = 0.2
+CLOSE = 0.4
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +94,20 @@ def q_lsh_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("similarity", F.round("similarity", 6))
 
 
+def q_vector_threshold_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label's centroid against all vectors, from an index built first; what the approximate join finds in part."""
+    index = build_ball_index(corpus(spark, sf_dir), work_dir(spark, "balls"))
+    return vector_threshold_join(topics(spark, sf_dir), index, SHORT_THRESHOLD).withColumn("similarity", F.round("similarity", 6))
+
+
+def q_vector_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of vectors with a cosine of 0.4 or more, each once."""
+    rows = corpus(spark, sf_dir)
+    index = build_ball_index(rows, work_dir(spark, "balls"))
+    found = vector_threshold_join(rows.withColumnRenamed("corpus_id", "topic_id"), index, CLOSE)
+    return found.where("topic_id < corpus_id").withColumn("similarity", F.round("similarity", 6))
+
+
 SQL_BASE = """WITH cells AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS d FROM embeddings),
 topics AS (SELECT label AS topic_id, list(a ORDER BY d) AS cv FROM (SELECT label, d, avg(v) AS a FROM cells GROUP BY ALL) GROUP BY label),
 sims AS (SELECT topic_id, vec_id AS corpus_id, label, round(list_cosine_similarity(cv, embedding::DOUBLE[]), 10) AS similarity FROM topics, embeddings)"""
@@ -112,6 +129,8 @@ QUERIES = {
     "hit_projection": q_hit_projection,
     "zip_explode": q_zip_explode,
     "lsh_similarity_join": q_lsh_similarity_join,
+    "vector_threshold_join": q_vector_threshold_join,
+    "vector_self_join": q_vector_self_join,
 }
 
 ALL, TEN = sql_ranked(THRESHOLD, 1000), sql_ranked(SHORT_THRESHOLD, 10, ">")
@@ -126,5 +145,9 @@ ORACLE = {
 FROM sims WHERE label = topic_id AND similarity >= {SHORT_THRESHOLD}""",
     "hit_projection": f"""{ALL} SELECT CAST(topic_id AS BIGINT) AS topic_id, corpus_id, CAST(label AS VARCHAR) AS business_id,
 'vector-' || corpus_id AS filename, floor(similarity * 100 + 0.5) / 100 AS similarity FROM hits""",
+    "vector_threshold_join": f"""{SQL_BASE} SELECT CAST(topic_id AS BIGINT) AS topic_id, corpus_id, round(similarity, 6) AS similarity FROM sims
+WHERE similarity >= {SHORT_THRESHOLD}""",
+    "vector_self_join": f"""SELECT a.vec_id AS topic_id, b.vec_id AS corpus_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 10) >= {CLOSE}""",
     "zip_explode": f"{ALL} SELECT CAST(topic_id AS BIGINT) AS topic_id, rank AS pos, corpus_id, round(1 - similarity, 6) AS distance FROM hits",
 }
