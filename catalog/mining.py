@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import lru_cache
 from string import Formatter
 
@@ -34,6 +35,7 @@ from disputatio.operators.context import PROMPT_RADIUS
 from disputatio.operators.ranking import running_counts
 from disputatio.operators.reshape import all_topics_exhausted, progress_summary
 from disputatio.operators.stance import is_argument
+from disputatio.operators.text_index import build_text_index, extend_text_index, indexed_top_k
 from disputatio.plans.mining import (
     MiningOptions,
     build_collection,
@@ -45,6 +47,7 @@ from disputatio.plans.mining import (
     search,
     stop_early,
 )
+from disputatio.session import work_dir
 
 OPTIONS = MiningOptions(similarity_threshold=TEXT_THRESHOLD, stance=TEST_CUES, cues=TEST_CUES)
 KEY = ["doc_id", "sent_id"]
@@ -72,6 +75,17 @@ def q_find_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_arguments(topics(spark, sf_dir), collection(spark, sf_dir), KEY, "source", "doc_id", OPTIONS)
 
 
+def q_indexed_find_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over a saved index, written for the English sentences and then extended by the others."""
+    sentences = collection(spark, sf_dir)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    name = f"index_{uuid.uuid4().hex}"
+    build_text_index(sentences.where(english), KEY, "new_sentence", name, work_dir(spark, name))
+    index = extend_text_index(spark, name, sentences.where(~english), KEY, "new_sentence")
+    found = lambda asked: indexed_top_k(asked, index, topic="topic_rewritten", threshold=TEXT_THRESHOLD, k=OPTIONS.depth)
+    return find_arguments(topics(spark, sf_dir), sentences, KEY, "source", "doc_id", OPTIONS, searcher=found)
+
+
 def q_find_arguments_some_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = MiningOptions(
         similarity_threshold=TEXT_THRESHOLD, stance=TEST_CUES, cues=TEST_CUES, sources=("src1", "src3", "src5", "src7"), precheck=True, stance_threshold=0.6
@@ -230,6 +244,7 @@ SQL_SHORT = f"{sql_hits(1000)},{sql_labelled(0.8)},{SQL_KEPT}"
 QUERIES = {
     "rewrite_with_model": q_rewrite_with_model,
     "find_arguments": q_find_arguments,
+    "indexed_find_arguments": q_indexed_find_arguments,
     "find_arguments_some_sources": q_find_arguments_some_sources,
     "mine_corpus": q_mine_corpus,
     "present_results": q_present_results,
@@ -242,6 +257,7 @@ QUERIES = {
 ORACLE = {
     "rewrite_with_model": SQL_REWRITE,
     "find_arguments": f"{sql_find()} {SQL_ARGUMENT_ROW}",
+    "indexed_find_arguments": f"{sql_find()} {SQL_ARGUMENT_ROW}",
     "find_arguments_some_sources": f"{sql_find(0.6, 'source IN (' + repr('src1') + ', ' + repr('src3') + ', ' + repr('src5') + ', ' + repr('src7') + ')', True)} {SQL_ARGUMENT_ROW}",
     "mine_corpus": f"""{sql_hits(10, strict=True)},{sql_labelled(0.8, "length(new_sentence) > 10 AND len(" + sql_words("new_sentence") + ") >= 5")},
 asked AS (SELECT request_id, topic_pos, topic_original, labelled.* FROM topics JOIN labelled USING (topic_rewritten)),{sql_evidence('asked', True)}

@@ -122,7 +122,7 @@ def build_ball_index(corpus: DataFrame, path: str, pivots: np.ndarray | None = N
 def open_ball_index(spark: SparkSession, path: str) -> BallIndex:
     """The index as it was written."""
     found = spark.read.parquet(f"{path}/pivots").orderBy("ball").toArrow()
-    pivots = np.array(found.column("vector").to_pylist(), dtype=np.float64).reshape(found.num_rows, -1)
+    pivots = np.array(found.column("vector").to_pylist(), dtype=np.float64) if found.num_rows else np.zeros((0, 1))
     return BallIndex(spark.read.schema(INDEXED).parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/slices"), pivots)
 
 

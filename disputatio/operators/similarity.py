@@ -65,7 +65,7 @@ def _prefix(tokens: Column, threshold: float) -> Column:
     return F.slice(tokens, 1, size - F.ceil(size * threshold - SLACK).cast("int") + 1)
 
 
-def _signature(tokens: Column) -> Column:
+def signature(tokens: Column) -> Column:
     """64 bits, one set for each word by its hash."""
     bits = F.aggregate(
         tokens,
@@ -176,9 +176,9 @@ def with_num_matches(hits: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _text_hits_by_word(t: DataFrame, corpus: DataFrame, text: str, threshold: float, strict: bool, small: bool = True) -> DataFrame:
-    wanted = t.withColumn("_ts", _signature(F.col("_t")))
+    wanted = t.withColumn("_ts", signature(F.col("_t")))
     wanted = wanted.select("*", F.posexplode_outer(_prefix(F.col("_t"), threshold)).alias("_tp", "_token"))
-    rows = corpus.withColumn("_c", _token_set(F.col(text))).withColumn("_cs", _signature(F.col("_c")))
+    rows = corpus.withColumn("_c", _token_set(F.col(text))).withColumn("_cs", signature(F.col("_c")))
     rows = rows.select("*", F.posexplode_outer(_prefix(F.col("_c"), threshold)).alias("_cp", "_token"))
     # the outer explode spares the size filter Spark would add, which computes every word set twice
     met = rows.join(F.broadcast(wanted) if small else wanted, "_token")
@@ -204,9 +204,9 @@ def _text_hits_shuffled(
     members = corpus.select(*key, _token_set(F.col(text)).alias("_c")).where(F.size("_c") > 0)
     members = top_k_per_group(members, ["_c"], [F.col(c) for c in key], k, "_nth", two_level)
     sets = members.where(F.col("_nth") == 0).select("_c", F.size("_c").alias("_size"))
-    sets = sets.withColumn("_cs", _signature(F.col("_c")))
+    sets = sets.withColumn("_cs", signature(F.col("_c")))
     sets = sets.select("*", F.posexplode_outer(_prefix(F.col("_c"), threshold)).alias("_cp", "_token"))
-    topic_sets = t.select("_t").distinct().withColumn("_ts", _signature(F.col("_t")))
+    topic_sets = t.select("_t").distinct().withColumn("_ts", signature(F.col("_t")))
     n = F.size("_t")
     sizes = F.sequence(
         F.greatest(F.ceil(n * threshold - SLACK), F.lit(1)).cast("int"),

@@ -33,6 +33,8 @@ from disputatio.session import checkpointed
 
 # Gets and returns a frame of hits; adds a costly second stance where the cheap one was not enough.
 HitClassifier = Callable[[DataFrame], DataFrame]
+# Gets distinct topic sentences, returns their hits.
+Searcher = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -184,16 +186,22 @@ def with_evidence(rows: DataFrame, options: MiningOptions, for_all: bool = False
 
 
 def find_arguments(
-    topics: DataFrame, collection: DataFrame, key: Sequence[str], business: str, filename: str, options: MiningOptions = MiningOptions()
+    topics: DataFrame, collection: DataFrame, key: Sequence[str], business: str, filename: str, options: MiningOptions = MiningOptions(), searcher: Searcher | None = None
 ) -> DataFrame:
     """Arguments for each topic sentence of each request.
 
+    ``searcher`` replaces the text search: it gets the distinct topic sentences and returns ``topic_rewritten``, the key,
+    ``similarity``, ``rank`` and ``num_matches``; the collection is then read for the hits only.
+
     ``topics`` comes from :func:`prepare_topics`; ``collection`` has the key, ``business`` and ``filename``
     columns, ``lang`` and the prepared sentence. Source filter and stop come after the search, so
     rank and number of matches count all hits.
     """
     columns = list(dict.fromkeys([*key, business, filename, "lang", "original_sentence", "new_sentence", "context"]))
-    hits = search(topics, collection.select(*columns), key, options, options.depth, strict=False)
+    if searcher is None:
+        hits = search(topics, collection.select(*columns), key, options, options.depth, strict=False)
+    else:
+        hits = searcher(topics.select("topic_rewritten").distinct()).join(collection.select(*columns), list(key))
     hits = hits.where(allowed_source(F.col(business), options.sources))
     labelled = classify(hits, options) if options.classifier is None else classify_in_waves(hits, options)
     kept = stop_early(labelled, topics, options.neutral_limit)
