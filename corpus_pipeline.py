@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputatio.llm.common import broadcast_if_small, saved
+from disputatio.llm.common import broadcast_if_small, identified, saved, scratch
 from disputatio.llm.jaccard_join import jaccard_components
 from disputatio.llm.language_id import UNKNOWN, learn_pieces, predict_language
 from disputatio.llm.mixing import mix
@@ -25,10 +25,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share an id are one document, of which one row stays. Rows without an id all stay.
     """
-    found = saved(jaccard_components(docs, size=5, percent=80), "groups")
-    gone = saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    with scratch(spark):
+        found = saved(jaccard_components(docs, size=5, percent=80), "groups")
+        gone = saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone", keep=True)
+        several = saved(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several", keep=True)
     kept = docs.join(broadcast_if_small(gone, 16), "doc_id", "left_anti")
-    several = saved(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
     if not several.isEmpty():
         several = broadcast_if_small(several, 16)
         kept = kept.join(several, "doc_id", "left_anti").unionByName(kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -43,10 +44,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take whole documents as often as the mix wants them, in the order of training."""
-    mixed = mix(docs, carry=docs.columns, whole_documents=True)
-    taken = mixed.select(*[F.col(f"_carried_{c}").alias(c) for c in docs.columns], F.explode("positions").alias("_at"))
-    return taken.orderBy("_at", "doc_id").select(*docs.columns)
+    """Take whole documents as often as the mix wants them, in the order of training.
+
+    The mix is planned on sizes alone; texts join the plan once it stands, and are sorted.
+    """
+    rows = identified(docs, "_row")
+    mixed = mix(rows, carry=["_row"], whole_documents=True)
+    plan = saved(mixed.where("taken > 0").select(F.col("_carried__row").alias("_row"), F.explode("positions").alias("_at")), "plan")
+    return rows.join(plan, "_row").orderBy("_at", "doc_id").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
