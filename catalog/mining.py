@@ -32,6 +32,7 @@ from catalog.base import (
 from disputatio.functions.parsing import SPEAKER
 from disputatio.functions.prompts import PROMPTS
 from disputatio.operators.context import PROMPT_RADIUS
+from disputatio.operators.counted import count_documents, embed_counted, vector_search
 from disputatio.operators.ranking import running_counts
 from disputatio.operators.reshape import all_topics_exhausted, progress_summary
 from disputatio.operators.stance import is_argument
@@ -47,7 +48,7 @@ from disputatio.plans.mining import (
     search,
     stop_early,
 )
-from disputatio.session import work_dir
+from disputatio.session import checkpointed, work_dir
 
 OPTIONS = MiningOptions(similarity_threshold=TEXT_THRESHOLD, stance=TEST_CUES, cues=TEST_CUES)
 KEY = ["doc_id", "sent_id"]
@@ -86,6 +87,20 @@ def q_indexed_find_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_arguments(topics(spark, sf_dir), sentences, KEY, "source", "doc_id", OPTIONS, searcher=found)
 
 
+VECTOR_THRESHOLD = 0.5
+
+
+def q_find_arguments_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The argument search by cosine of hashed word vectors instead of shared words."""
+    entries = checkpointed(collection(spark, sf_dir), "collection")
+    weights = count_documents(entries, "new_sentence")
+    number = F.col("doc_id") * (1 << 20) + F.col("sent_id")
+    vectors = embed_counted(entries.select(*KEY, "new_sentence"), KEY, "new_sentence", weights).withColumn("number", number)
+    vectors = checkpointed(vectors, "vectors")
+    found = lambda asked: vector_search(asked, vectors, KEY, "number", "embedding", weights, VECTOR_THRESHOLD, OPTIONS.depth)
+    return find_arguments(topics(spark, sf_dir), entries, KEY, "source", "doc_id", OPTIONS, searcher=found)
+
+
 def q_find_arguments_some_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = MiningOptions(
         similarity_threshold=TEXT_THRESHOLD, stance=TEST_CUES, cues=TEST_CUES, sources=("src1", "src3", "src5", "src7"), precheck=True, stance_threshold=0.6
@@ -177,6 +192,29 @@ hits AS MATERIALIZED (SELECT topic_rewritten, doc_id, sent_id, similarity, CAST(
   CAST(count(*) OVER (PARTITION BY topic_rewritten) AS INTEGER) AS num_matches FROM ranked WHERE rn <= {depth})"""
 
 
+def _sql_vector(name: str, source: str, key: str, text: str) -> str:
+    """CTEs of the nonzero components of hashed vectors, as ``name``."""
+    return f"""{name}_tf AS (SELECT {key}, word, count(*) AS tf FROM (SELECT {key}, unnest({sql_words(text)}) AS word FROM {source}) GROUP BY ALL),
+{name}_raw AS (SELECT {key}, ('0x' || substr(md5(word), 1, 7))::INTEGER % 64 AS d,
+  sum(tf * CASE WHEN substr(md5(word), 8, 1) < '8' THEN 1 ELSE -1 END * ln(((SELECT count(*) FROM coll) + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) ORDER BY word) AS v
+  FROM {name}_tf LEFT JOIN df USING (word) GROUP BY ALL),
+{name} AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY {key})) AS norm FROM {name}_raw)"""
+
+
+def sql_vector_hits(depth: int) -> str:
+    """CTEs up to the ranked hits by cosine."""
+    tables = sql_hits(depth).split("tt AS (")[0]
+    return f"""{tables}df AS (SELECT word, count(*) AS df FROM (SELECT doc_id, sent_id, unnest(list_distinct({sql_words("new_sentence")})) AS word FROM coll) GROUP BY word),
+tt AS (SELECT DISTINCT topic_rewritten FROM topics),
+{_sql_vector("tv", "tt", "topic_rewritten", "topic_rewritten")}, {_sql_vector("cv", "coll", "doc_id, sent_id", "new_sentence")},
+sims AS (SELECT topic_rewritten, doc_id, sent_id, round(sum(t.v * c.v) / (any_value(t.norm) * any_value(c.norm)), 10) AS similarity
+  FROM tv t JOIN cv c USING (d) WHERE t.norm >= 1e-9 AND c.norm >= 1e-9 GROUP BY topic_rewritten, doc_id, sent_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_rewritten ORDER BY similarity DESC, doc_id, sent_id) AS rn
+  FROM sims WHERE similarity >= {VECTOR_THRESHOLD}),
+hits AS MATERIALIZED (SELECT topic_rewritten, doc_id, sent_id, similarity, CAST(rn - 1 AS INTEGER) AS rank,
+  CAST(count(*) OVER (PARTITION BY topic_rewritten) AS INTEGER) AS num_matches FROM ranked WHERE rn <= {depth})"""
+
+
 def sql_labelled(threshold: float, where: str = "TRUE", precheck: bool = False) -> str:
     pro, contra = sql_stance(sql_words("new_sentence"), "lang")
     gate = f"score >= {threshold}" if precheck else "TRUE"
@@ -245,6 +283,7 @@ QUERIES = {
     "rewrite_with_model": q_rewrite_with_model,
     "find_arguments": q_find_arguments,
     "indexed_find_arguments": q_indexed_find_arguments,
+    "find_arguments_by_vector": q_find_arguments_by_vector,
     "find_arguments_some_sources": q_find_arguments_some_sources,
     "mine_corpus": q_mine_corpus,
     "present_results": q_present_results,
@@ -258,6 +297,7 @@ ORACLE = {
     "rewrite_with_model": SQL_REWRITE,
     "find_arguments": f"{sql_find()} {SQL_ARGUMENT_ROW}",
     "indexed_find_arguments": f"{sql_find()} {SQL_ARGUMENT_ROW}",
+    "find_arguments_by_vector": f"{sql_vector_hits(1000)},{sql_labelled(0.8)},{SQL_KEPT},{sql_evidence('kept')} {SQL_ARGUMENT_ROW}",
     "find_arguments_some_sources": f"{sql_find(0.6, 'source IN (' + repr('src1') + ', ' + repr('src3') + ', ' + repr('src5') + ', ' + repr('src7') + ')', True)} {SQL_ARGUMENT_ROW}",
     "mine_corpus": f"""{sql_hits(10, strict=True)},{sql_labelled(0.8, "length(new_sentence) > 10 AND len(" + sql_words("new_sentence") + ") >= 5")},
 asked AS (SELECT request_id, topic_pos, topic_original, labelled.* FROM topics JOIN labelled USING (topic_rewritten)),{sql_evidence('asked', True)}

@@ -23,6 +23,7 @@ from disputatio.operators.metrics import (
     multiclass_metrics,
     threshold_confusion,
 )
+from disputatio.operators.counted import count_documents, embed_counted, predict_counted, train_counted
 from disputatio.operators.ml import assign_set, embed_hashed, predict, train_stance_classifier
 from disputatio.operators.reshape import confidence_head, label_union, split_by_set, training_filter, with_input_text
 from disputatio.operators.stance import is_argument, passes_precheck, says_yes, with_struct
@@ -218,7 +219,25 @@ def q_train_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(multiclass_metrics(confusion_counts(scored, "label", "predicted_label", ["set"]), ["set"]))
 
 
+def q_train_classifier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the counted model for the rows it was not trained on."""
+    rows = with_input_text(arguments(spark, sf_dir).where(F.col("stance") != 0), "topic", "argument", "stance")
+    parts = split_by_set(checkpointed(rows.select("doc_id", "set", "input_text", "label"), "training"))
+    rest = parts["dev"].unionByName(parts["test"])
+    found = predict_counted(train_counted(parts["train"]), rest, ["doc_id", "set", "label"])
+    return found.withColumn("margin", F.round("margin", 5))
+
+
 def q_embed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all sentences, components in millionths."""
+    rows = checkpointed(explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id"]), "sentences")
+    found = embed_counted(rows, ["doc_id", "sent_id"], "sentence", count_documents(rows, "sentence"))
+    parts = F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+    return found.select("doc_id", "sent_id", F.array_join(parts, ",").alias("vector"))
+
+
+def q_embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of MLlib's hashing."""
     rows = explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id"])
     return embed_hashed(rows, "sentence").drop("sentence")
 
@@ -309,7 +328,9 @@ QUERIES = {
     "prepare_training_set": q_prepare_training_set,
     "split_sizes": q_split_sizes,
     "train_classifier": q_train_classifier,
+    "train_classifier_counts": q_train_classifier_counts,
     "embed_sentences": q_embed_sentences,
+    "embed_hashed": q_embed_hashed,
 }
 
 ORACLE = {
@@ -346,5 +367,26 @@ SELECT threshold, class, round(round(precision * 100, 2), 6) AS precision, round
     "split_by_set": f"{ARGS} SELECT doc_id, set, stance FROM ar",
     "prepare_training_set": f"""{ARGS} SELECT doc_id, stance, quality_score, set, topic || ' [SEP] ' || argument AS input_text, CASE WHEN stance = -1 THEN 0 ELSE 1 END AS label
   FROM ar WHERE stance IN (-1, 1) AND quality_score > 0.5""",
+    "train_classifier_counts": f"""{ARGS},
+r AS (SELECT doc_id, set, CASE WHEN stance = -1 THEN 0 ELSE 1 END AS label, {sql_words("topic || ' [SEP] ' || argument")} AS ws FROM ar WHERE stance <> 0),
+seen AS (SELECT label, unnest(ws) AS word FROM r WHERE set = 'train'),
+model AS (SELECT l.label, word, ln((count(*) FILTER (s.label = l.label) + 1) / (any_value(total) + any_value(size))::DOUBLE) AS weight
+  FROM seen s, (SELECT label, count(*) AS total FROM seen GROUP BY label) l, (SELECT count(DISTINCT word) AS size FROM seen) GROUP BY l.label, word),
+prior AS (SELECT label, ln(count(*) / (sum(count(*)) OVER ())::DOUBLE) AS p FROM r WHERE set = 'train' GROUP BY label),
+asked AS (SELECT doc_id, set, label, unnest(ws) AS word FROM r WHERE set <> 'train'),
+sums AS (SELECT doc_id, m.label AS guess, sum(weight) AS s FROM asked JOIN model m USING (word) GROUP BY doc_id, m.label),
+scores AS (SELECT r.doc_id, r.set, r.label, prior.label AS guess, p + coalesce(s, 0) AS s FROM r CROSS JOIN prior LEFT JOIN sums ON sums.doc_id = r.doc_id AND guess = prior.label WHERE r.set <> 'train')
+SELECT doc_id, set, label, CAST(first(guess ORDER BY s DESC, guess) AS INTEGER) AS predicted_label, round(max(s) - min(s), 5) AS margin FROM scores GROUP BY doc_id, set, label""",
+    "embed_sentences": f"""WITH {sql_sentences("s", "documents", "doc_id", "text")},
+w AS (SELECT doc_id, sent_id, unnest({sql_words("sentence")}) AS word FROM s),
+tf AS (SELECT doc_id, sent_id, word, count(*) AS tf FROM w GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+v AS (SELECT doc_id, sent_id, ('0x' || substr(md5(word), 1, 7))::INTEGER % 64 AS d,
+  sum(tf * CASE WHEN substr(md5(word), 8, 1) < '8' THEN 1 ELSE -1 END * ln(((SELECT count(*) FROM s) + 1.0::DOUBLE) / (df + 1)) ORDER BY word) AS v
+  FROM tf JOIN df USING (word) GROUP BY ALL),
+norm AS (SELECT doc_id, sent_id, sqrt(sum(v * v)) AS n FROM v GROUP BY ALL),
+cells AS (SELECT s.doc_id, s.sent_id, i AS d, CASE WHEN coalesce(n, 0) < 1e-9 THEN 0 ELSE coalesce(v.v, 0) / n END AS x
+  FROM s CROSS JOIN range(64) r(i) LEFT JOIN v ON v.doc_id = s.doc_id AND v.sent_id = s.sent_id AND v.d = i LEFT JOIN norm ON norm.doc_id = s.doc_id AND norm.sent_id = s.sent_id)
+SELECT doc_id, sent_id, string_agg(CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY d) AS vector FROM cells GROUP BY doc_id, sent_id""",
     "split_sizes": f"{ARGS} SELECT set, count(*) AS n FROM ar WHERE stance IN (-1, 1) AND quality_score > 0.5 GROUP BY set",
 }
