@@ -102,6 +102,11 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * np.uint64(3) + mixed(b, 33), 34)
 
 
+def bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A pair of words as a number of 40 bits; one that several pairs share only lets more of them pass."""
+    return paired(a, b) >> np.uint64(24)
+
+
 class Counter:
     """Counts of rows of hashes, summed inside a task before they move; handed on when many different ones are held."""
 
@@ -178,7 +183,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                         words[key] = [langs[at + int(p.row[i])], p.word(i), m]
                     else:
                         known[2] += m
-                if len(words) > 300_000:
+                if len(words) > 500_000:
                     yield rows()
         yield rows()
 
@@ -187,17 +192,17 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def count_pairs(docs: DataFrame, words: Sketch) -> DataFrame:
-    """``pair, n``: a hash of two neighbouring words and its count, for pairs whose words both pass the sketch."""
+    """``pair, n``: a bucket of two neighbouring words and its count, for pairs whose words both pass the sketch."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(1)
+        counter = Counter(1, 2_000_000)
         for batch in batches:
             codes = lang_codes(batch.column(0))
             for at, part in slices(batch.column(1)):
                 p = Pieces(part, codes[at : at + len(part)])
                 often = words.has(p.hash)
                 here = np.flatnonzero((p.piece[1:] == p.piece[:-1]) & often[1:] & often[:-1])
-                counter.add(paired(p.hash[here], p.hash[here + 1])[:, None])
+                counter.add(bucket(p.hash[here], p.hash[here + 1])[:, None])
                 if counter.full:
                     yield _as_batch(*counter.taken()).rename_columns(["pair", "n"])
         yield _as_batch(*counter.taken()).rename_columns(["pair", "n"])
@@ -225,7 +230,7 @@ class Groups:
 
     def of(self, rows: np.ndarray) -> np.ndarray:
         """The group of every row by its prefix: its first word, two where that is heavy, three where these are."""
-        pair = paired(rows[:, 0], rows[:, 1])
+        pair = bucket(rows[:, 0], rows[:, 1])
         longer, _ = _among(self.heavy_words, rows[:, 0])
         group = np.where(longer, self.pair_group[_cell(pair, len(self.pair_group))], self.word_group[_cell(rows[:, 0], len(self.word_group))])
         heavy, at = _among(self.heavy_pairs, pair)
@@ -288,7 +293,7 @@ def suffixes(docs: DataFrame, pairs: Sketch, groups: Groups) -> DataFrame:
             for at, part in slices(batch.column(1)):
                 p = Pieces(part, codes[at : at + len(part)])
                 follows = p.piece[1:] == p.piece[:-1]
-                follows[follows] = pairs.has(paired(p.hash[:-1][follows], p.hash[1:][follows]))
+                follows[follows] = pairs.has(bucket(p.hash[:-1][follows], p.hash[1:][follows]))
                 follows = np.concatenate([follows, np.zeros(DEPTH, bool)])
                 here = np.flatnonzero(follows)
                 keys = np.zeros((len(here), DEPTH), np.uint64)
@@ -326,7 +331,7 @@ def subtree_counts(suffix_rows: DataFrame, groups: Groups, least: int) -> DataFr
             keys[:, depth:] = 0
             kept = (totals >= least) & (keys[:, depth - 1] > 0)
             if depth == 2:
-                kept |= _among(groups.heavy_pairs, paired(keys[:, 0], keys[:, 1]))[0]
+                kept |= _among(groups.heavy_pairs, bucket(keys[:, 0], keys[:, 1]))[0]
             out.append(_as_batch(keys[kept], totals[kept]))
         return pa.Table.from_batches(out)
 
@@ -351,7 +356,7 @@ def collocations(
     ``n`` is the number of all words of the language.
 
     Counting goes down level by level, and only where it can still pay: a phrase cannot stand more often than its parts. Words and pairs are counted with
-    sums in every task; sketches of bounded size tell the tasks which of them are frequent (pairs go by a hash until then). The suffixes that are left, cut at four words, are dealt
+    sums in every task; sketches of bounded size tell the tasks which of them are frequent (pairs go by a hash of 40 bits until then, and are counted exactly in the end). The suffixes that are left, cut at four words, are dealt
     to groups of prefixes of ``budget`` occurrences at most (``Groups``); a prefix of more is made longer. Each group builds its part of the suffix tree alone.
     A group holds one row for each different suffix and task. Words are told apart by 64-bit hashes of language and word.
 

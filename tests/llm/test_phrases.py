@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from disputatio.llm.phrases import Groups, Sketch, collocations, column, count_pairs, count_words, paired, suffixes
+from disputatio.llm.phrases import Groups, Sketch, bucket, collocations, column, count_pairs, count_words, suffixes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,7 +98,7 @@ def test_groups_keep_to_the_budget(spark):
     groups = Groups(words, pairs, budget)
     table = suffixes(docs, linked, groups).toArrow()
     keys = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2", "h3")], axis=1)
-    pair = paired(keys[:, 0], keys[:, 1])
+    pair = bucket(keys[:, 0], keys[:, 1])
     of, n = table.column("group").to_numpy(), table.column("n").to_numpy()
     heavy = np.isin(pair, groups.heavy_pairs)
     load = np.bincount(of[~heavy], n[~heavy])
@@ -107,7 +107,7 @@ def test_groups_keep_to_the_budget(spark):
     assert load.max() <= 3 * budget
     # Prefixes of one word lie in one group, of heavy words in one per pair, of heavy pairs in one per three words.
     light = ~np.isin(keys[:, 0], groups.heavy_words)
-    for kind, key in ((light, keys[:, :1]), (~light & ~heavy, keys[:, :2]), (~light & heavy, keys)):
+    for kind, key in ((light, keys[:, :1]), (~light & ~heavy, pair[:, None]), (~light & heavy, np.column_stack([pair, keys[:, 2]]))):
         assert len(np.unique(np.column_stack([key[kind], of[kind].astype(np.uint64)]), axis=0)) == len(np.unique(key[kind], axis=0))
     words.unpersist(), pairs.unpersist()
 
