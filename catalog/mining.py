@@ -244,7 +244,8 @@ def sql_evidence(source: str, for_all: bool = False) -> str:
 split AS (SELECT *, {sentences} AS cl FROM {source}),
 matched AS (SELECT *, CASE WHEN {wanted} AND len(cl) > 0 THEN ({best}).s ELSE '' END AS reasoning_segment FROM split),
 cued AS (SELECT *, list_filter({sql_words("reasoning_segment")}, lambda w: list_contains({cues}, w)) AS cw2 FROM matched),
-spoken AS (SELECT *, coalesce(regexp_extract_all(original_sentence, '{SPEAKER}', 0)[-1], regexp_extract_all(context, '{SPEAKER}', 0)[-1], '') AS who FROM cued),
+spoken AS (SELECT *, coalesce(regexp_extract_all(original_sentence, '{SPEAKER}', 0)[-1], regexp_extract_all(
+  CASE WHEN instr(context, original_sentence) > 0 THEN left(context, instr(context, original_sentence) - 1) ELSE context END, '{SPEAKER}', 0)[-1], '') AS who FROM cued),
 evident AS (SELECT *,
   CASE WHEN label IN ('pro', 'contra') THEN array_to_string(list_filter(cw2, lambda w, i: list_position(cw2, w) = i), ', ') ELSE '' END AS reasoning,
   CASE WHEN label IN ('pro', 'contra') THEN regexp_extract(who, '{SPEAKER}', 1) ELSE '' END AS person,

@@ -38,11 +38,11 @@ MODEL_REGISTRY = [
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn with the answer that follows it in the conversation."""
+    """Every turn with the one that follows it in the conversation; the last one is followed by itself."""
     rows = spread_table(spark, sf_dir, "conversations")
-    asked = rows.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
-    answered = rows.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return asked.join(answered, ["conv_id", "turn"])
+    following = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("_next"))
+    pairs = rows.select("conv_id", "turn", F.col("text").alias("question")).join(following, ["conv_id", "turn"], "left")
+    return pairs.select("conv_id", "turn", "question", F.coalesce("_next", "question").alias("answer"))
 
 
 def q_render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,8 +226,8 @@ def sql_template(template: str, **slots: str) -> str:
     return " || ".join(p for p in parts if p != "''")
 
 
-SQL_EXCHANGES = """WITH x AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a
-  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+SQL_EXCHANGES = """WITH x AS (SELECT u.conv_id, u.turn, u.text AS question, coalesce(a.text, u.text) AS answer FROM conversations u LEFT JOIN conversations a
+  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)"""
 ALL_PRO = sorted({w for ws in TEST_PRO.values() for w in ws})
 ALL_CONTRA = sorted({w for ws in TEST_CONTRA.values() for w in ws})
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import sql_ambiguous, sql_sentences, sql_window, spread_table, table
-from disputatio.functions.parsing import SPEAKER, speaker
+from disputatio.functions.parsing import SPEAKER, mention_fields, speaker
 from disputatio.functions.text import capitalize_first, clean_whitespace, escape_all_strings, strip_html
 from disputatio.operators.context import (
     PROMPT_RADIUS,
@@ -105,6 +105,16 @@ def q_extract_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("who", speaker(F.col("sentence"), F.col("context"))).select("c_custkey", "sentence", "context", "who.*")
 
 
+def q_speaker_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as minutes: one sentence per item, those of returned items name who speaks; the speaker holds until the next one is named."""
+    who = F.concat(F.lit("Anna Muster (M-"), F.col("l_returnflag"), F.lit(", Z"), F.col("l_linestatus"), F.lit(")"))
+    said = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 3 == 0, F.concat(F.lit("Nach "), who, F.lit(" genug."))).otherwise("Das ist richtig.")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", said.alias("said")).alias("item"))
+    minutes = items.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["said"]), " ").alias("text"))
+    rows = prepare_sentences(minutes, ["l_orderkey"], "text", None, None, speakers=True)
+    return rows.select("l_orderkey", "sent_id", mention_fields(F.col("mention")).alias("who")).select("l_orderkey", "sent_id", "who.*")
+
+
 def q_build_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread_table(spark, sf_dir, "pages").withColumn("business_id", F.regexp_extract("url", "^https?://([^/]+)", 1))
     rows = build_collection(pages, ["page_id", "business_id"], "html")
@@ -153,6 +163,7 @@ QUERIES = {
     "capitalize_first": q_capitalize_first,
     "escape_control_chars": q_escape_control_chars,
     "extract_speaker": q_extract_speaker,
+    "speaker_carried": q_speaker_carried,
     "build_collection": q_build_collection,
 }
 
@@ -176,6 +187,12 @@ SELECT doc_id, sent_id, sentence FROM s WHERE EXISTS (SELECT 1 FROM marked m WHE
     "escape_control_chars": """WITH t AS (SELECT *, CAST(c_custkey % 31 + 1 AS INTEGER) AS code FROM customer),
 e AS (SELECT *, CASE WHEN code IN (9, 10, 13) THEN chr(code) ELSE '\\x' || lpad(lower(to_hex(code)), 2, '0') END AS ch FROM t)
 SELECT c_custkey, c_name || ch || c_mktsegment || ch AS text FROM e""",
+    "speaker_carried": f"""WITH named AS (SELECT l_orderkey, l_linenumber,
+  CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 'Anna Muster (M-' || l_returnflag || ', Z' || l_linestatus || ')' END AS mention FROM lineitem),
+said AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, coalesce('Nach ' || mention || ' genug.', 'Das ist richtig.')) - 1 AS n, mention FROM named),
+carried AS (SELECT l_orderkey, n, coalesce(last_value(mention IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY n ROWS UNBOUNDED PRECEDING), '') AS who FROM said)
+SELECT l_orderkey, CAST(n AS INTEGER) AS sent_id, regexp_extract(who, '{SPEAKER}', 1) AS person, regexp_extract(who, '{SPEAKER}', 2) AS party,
+  regexp_extract(who, '{SPEAKER}', 3) AS canton FROM carried""",
     "extract_speaker": f"""WITH r AS (SELECT c_custkey, c_nationkey, 'Die Vorlage kam von ' || c_name AS unnamed,
   substr(c_mktsegment, 1, 1) || lower(substr(c_mktsegment, 2)) || ' ' || substr(r_name, 1, 1) || lower(replace(substr(r_name, 2), ' ', ''))
   || ' (M-' || substr(c_mktsegment, 1, 1) || ', ' || upper(substr(r_name, 1, 2)) || ')' AS mention

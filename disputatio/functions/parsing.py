@@ -44,12 +44,32 @@ def parse_evidence(generation: Column) -> Column:
     return parse_fields(generation, ("reasoning_segment", "reasoning"))
 
 
+def _last_mention(text: Column) -> Column:
+    """The last mention of a speaker in a text, or null."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(SPEAKER), F.lit(0)), F.lit(-1))
+
+
+def mention_fields(mention: Column) -> Column:
+    """``person, party, canton`` of a mention; empty fields of an empty or missing one."""
+    who = F.coalesce(mention, F.lit(""))
+    return F.struct(*[F.regexp_extract(who, SPEAKER, i + 1).alias(n) for i, n in enumerate(SPEAKER_FIELDS)])
+
+
 def speaker(sentence: Column, context: Column) -> Column:
-    """Speaker named in the sentence, or else the last one named in its context.
+    """Speaker named in the sentence, or else the last one named before it in its context.
+
+    What the context says after the sentence does not count; a context that does not hold the sentence is taken to stand before
+    it. The result has empty fields where nobody is named.
+    """
+    at = F.instr(context, sentence)
+    before = F.when(at > 0, F.substring(context, 1, at - 1)).otherwise(context)
+    return mention_fields(F.coalesce(_last_mention(sentence), _last_mention(before)))
+
+
+def mentions_carried(sentences: Column) -> Column:
+    """For every sentence of a document the last mention in it or any sentence before it; empty strings where there is none.
 
-    The result has empty fields where nobody is named.
+    Only sentences that name somebody are looked through for each sentence.
     """
-    own = F.regexp_extract_all(sentence, F.lit(SPEAKER), F.lit(0))
-    around = F.regexp_extract_all(context, F.lit(SPEAKER), F.lit(0))
-    mention = F.coalesce(F.try_element_at(own, F.lit(-1)), F.try_element_at(around, F.lit(-1)), F.lit(""))
-    return F.struct(*[F.regexp_extract(mention, SPEAKER, i + 1).alias(n) for i, n in enumerate(SPEAKER_FIELDS)])
+    named = F.filter(F.transform(sentences, lambda s, i: F.struct(i.alias("at"), _last_mention(s).alias("who"))), lambda m: m["who"].isNotNull())
+    return F.transform(sentences, lambda _, i: F.coalesce(F.array_max(F.filter(named, lambda m: m["at"] <= i))["who"], F.lit("")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disputatio.functions.lexicons import AMBIGUOUS_WORDS, Lexicon, in_lexicon
+from disputatio.functions.parsing import mentions_carried
 from disputatio.functions.text import CASED_WORD, split_sentences
 
 # Sentences taken before a sentence; one fewer (itself included) is taken from it on.
@@ -100,9 +101,12 @@ def prepare_sentences(
     force: bool = False,
     exact: bool = False,
     lexicon: Lexicon = AMBIGUOUS_WORDS,
+    speakers: bool = False,
 ) -> DataFrame:
     """Sentences with rewritten text and general context.
 
+    ``speakers`` adds ``mention``, the last mention of a speaker in the document up to the sentence.
+
     Output: the keys, ``sent_id, original_sentence, new_sentence, context``; with ``method="llm"``
     also ``ambiguous_words`` and ``prompt_context``, the inputs of the rewriting prompt, and
     ``new_sentence`` is null where a model still has to write it.
@@ -130,7 +134,11 @@ def prepare_sentences(
             fields.append(F.array_join(found, ", ").alias("ambiguous_words"))
             fields.append(F.when(rewrite, neighbours(sentences, i, PROMPT_RADIUS, exact)).alias("prompt_context"))
         fields.append(neighbours(sentences, i, GENERAL_RADIUS, exact).alias("context"))
+        if speakers:
+            fields.append(F.get("_mentions", i).alias("mention"))
         return F.struct(*fields)
 
+    if speakers:
+        lists = lists.withColumn("_mentions", mentions_carried(sentences))
     rows = lists.select(*keys, F.transform(sentences, row).alias("_rows"))
     return _unpack(rows, keys)

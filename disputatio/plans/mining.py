@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from disputatio.functions.parsing import SPEAKER_FIELDS, speaker
+from disputatio.functions.parsing import SPEAKER_FIELDS, mention_fields, speaker
 from disputatio.functions.text import escape_all_strings, strip_html
 from disputatio.operators.context import prepare_sentences
 from disputatio.operators.evidence import with_best_sentence
@@ -64,22 +64,25 @@ def build_collection(
     separator: str = "\n",
     method: str | None = "context",
     model: ModelFactory | None = None,
+    speakers: bool = False,
 ) -> DataFrame:
     """Documents to prepared sentences: markup removed, sentences split, contexts added, ambiguous ones rewritten.
 
+    With ``speakers`` every sentence carries the last ``mention`` of a speaker so far, which the argument search then takes.
+
     Everything happens on the document's own row, so the job is one scan without a shuffle. ``method="llm"`` lets
     ``model`` rewrite; only ambiguous sentences then move.
     """
     plain = strip_html(F.col(text), separator) if html else F.col(text)
     columns = [c for c in dict.fromkeys([*keys, *([lang] if lang else [])])]
     rows = documents.select(*columns, plain.alias("_plain"))
-    return _rewritten(rows, columns, "_plain", lang, method, model)
+    return _rewritten(rows, columns, "_plain", lang, method, model, speakers)
 
 
-def _rewritten(rows: DataFrame, keys: Sequence[str], text: str, lang: str | None, method: str | None, model: ModelFactory | None) -> DataFrame:
+def _rewritten(rows: DataFrame, keys: Sequence[str], text: str, lang: str | None, method: str | None, model: ModelFactory | None, speakers: bool = False) -> DataFrame:
     if (method == "llm") != (model is not None):
         raise ValueError("the method 'llm' needs a model, and no other method takes one")
-    prepared = prepare_sentences(rows, keys, text, lang, method)
+    prepared = prepare_sentences(rows, keys, text, lang, method, speakers=speakers)
     return prepared if model is None else rewrite_sentences(prepared, model)
 
 
@@ -180,7 +183,8 @@ def with_evidence(rows: DataFrame, options: MiningOptions, for_all: bool = False
     segment = F.coalesce(F.col("_found_sentence"), F.lit(""))
     reasoning = F.when(stance, options.cues.cue_words(segment, F.col("lang"), F.col("label"))).otherwise("")
     named = found.withColumns({"reasoning_segment": segment, "reasoning": reasoning})
-    named = named.withColumn("_who", F.when(stance, speaker(F.col("original_sentence"), F.col("context"))))
+    who = mention_fields(F.col("mention")) if "mention" in rows.columns else speaker(F.col("original_sentence"), F.col("context"))
+    named = named.withColumn("_who", F.when(stance, who))
     named = named.withColumns({n: F.coalesce(F.col(f"_who.{n}"), F.lit("")) for n in SPEAKER_FIELDS})
     return named.drop("_where", "_found_sentence", "_found_pos", "_found_score", "_who")
 
@@ -197,7 +201,7 @@ def find_arguments(
     columns, ``lang`` and the prepared sentence. Source filter and stop come after the search, so
     rank and number of matches count all hits.
     """
-    columns = list(dict.fromkeys([*key, business, filename, "lang", "original_sentence", "new_sentence", "context"]))
+    columns = list(dict.fromkeys([*key, business, filename, "lang", "original_sentence", "new_sentence", "context", *(["mention"] if "mention" in collection.columns else [])]))
     if searcher is None:
         hits = search(topics, collection.select(*columns), key, options, options.depth, strict=False)
     else:
@@ -238,7 +242,7 @@ def mine_corpus(
 
     Short sentences and, on request, undebatable ones are dropped after the search.
     """
-    columns = list(dict.fromkeys([*key, "lang", "original_sentence", "new_sentence", "context"]))
+    columns = list(dict.fromkeys([*key, "lang", "original_sentence", "new_sentence", "context", *(["mention"] if "mention" in collection.columns else [])]))
     hits = search(topics, collection.select(*columns), key, options, SHORT_SEARCH_DEPTH, strict=True)
     hits = hits.where(F.length("new_sentence") > options.min_length)
     if options.debatable is not None:
