@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mining", "text", "search", "stances", "prompts", "tables", "streams"]
+MODULES = ["mining", "text", "search", "stances", "prompts", "tables", "streams", "files"]
 
 
 def _merged(name: str) -> dict:
