@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, found by MinHash banding of short paragraphs."""
+"""Passages that repeat across documents, found by MinHash banding of short paragraphs and read word by word."""
 
 from __future__ import annotations
 
@@ -7,15 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from disputatio.llm.common import broadcast_if_small, saved
+from disputatio.llm.common import broadcast_if_small, identified, saved, scratch, word_count
 from disputatio.llm.group_links import BITS, linked_sets
 from disputatio.llm.shingles import Words, bitmap, distinct_shingles, mixed, rolled, slices
 
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?")] = True
+BLANKS = " \t\n\x0b\x0c\r"
+# Words between two cuts of the finer paragraphs at most, and words of a finer paragraph at least.
+FINE, LEAST = 16, 16
+# Words between two cuts of the coarser paragraphs at most.
+COARSE = 64
+# Unlike words that may stand between two stretches of one passage.
+EDIT = 4
+_POWER = 0xD6E8FEB86659FD93
 
 
 def tuned_bands(similarity: float, rows: int, recall: float) -> int:
@@ -23,150 +29,245 @@ def tuned_bands(similarity: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-# Paragraphs of more words are cut, after about every eighth pair of words, by the pair's hash.
-LONG, CUT = 16, 8
+def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """Minimum or maximum of every window of ``width`` (a power of two) values."""
+    reach = 1
+    while reach < width:
+        values = best(values[:-reach], values[reach:]) if len(values) > reach else values[:0]
+        reach *= 2
+    return values
 
 
 class Paragraphs(Words):
-    """Paragraphs of a part of a text column: words up to the end of a sentence or line.
+    """Words of a part of a text column with the places where their own hashes cut them.
 
-    Long ones are cut where the words themselves say so, so that a passage inside a long sentence is cut alike wherever it stands.
+    A cut is a pair of words whose hash is the least of some ``width`` neighbouring pairs of its row. So the same words are cut
+    alike wherever they stand, no paragraph between two cuts has more than ``width`` words, and there is a cut in any ``width`` pairs.
     """
 
     def __init__(self, texts: pa.Array):
         super().__init__(texts)
-        lines = np.concatenate([[0], np.cumsum(self.data == 0x0A)])
-        following = np.append(self.start[1:], len(self.data))
-        closes = _ENDS[self.data[self.end - 1]] | (lines[following] > lines[self.end])
-        last = self.first[1:] - 1
-        closes[last[last >= self.first[:-1]]] = True
-        until = np.flatnonzero(closes) + 1
-        lengths = np.diff(np.concatenate([[0], until]))
-        pairs = mixed(self.hash * np.uint64(3) + np.concatenate([self.hash[:1], self.hash[:-1]]), 14)
-        closes |= (pairs % np.uint64(CUT) == 0) & np.repeat(lengths > LONG, lengths)
-        self.until = np.flatnonzero(closes) + 1
-        self.since = np.concatenate([[0], self.until[:-1]])
-        self.unit = np.searchsorted(self.since, self.first)
-        letters = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
-        self.place = letters
-        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(self.hash), np.uint64(0xD6E8FEB86659FD93))]))
-        inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(self.hash), np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64)))]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hash * powers[:-1], dtype=np.uint64)])
-        whole = (sums[self.until] - sums[self.since]) * inverse[self.since]
-        self.name = mixed(whole + mixed((self.until - self.since).astype(np.uint64), 11), 12).view(np.int64)
-
-    def tokens(self, unit: int, size: int) -> np.ndarray:
-        return distinct_shingles(self.hash[self.since[unit] : self.until[unit]], size)
-
-    def all_shingles(self, units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The shingles of paragraphs of ``size`` or more words, one paragraph after another, and where each begins."""
-        counts = self.until[units] - self.since[units] - size + 1
-        edge = np.cumsum(counts) - counts
-        return rolled(self.hash, size)[np.repeat(self.since[units] - edge, counts) + np.arange(counts.sum())], edge
+        self.row = np.searchsorted(self.first, np.arange(len(self.hash)), "right") - 1
+        self.pair = mixed(self.hash * np.uint64(3) + np.concatenate([self.hash[:1], self.hash[:-1]]), 14) | np.uint64(1)
+        self.pair[self.first[:-1][self.first[:-1] < len(self.pair)]] = np.uint64(2**64 - 1)
+        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(self.hash), np.uint64(_POWER))]))
+        self.inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(self.hash), np.uint64(pow(_POWER, -1, 2**64)))]))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hash * powers[:-1], dtype=np.uint64)])
+
+    def cuts(self, width: int) -> np.ndarray:
+        least = _sliding(self.pair, width, np.minimum)
+        least = np.where(self.row[: len(least)] == self.row[len(self.row) - len(least) :], least, np.uint64(0))
+        around = np.zeros(width - 1, np.uint64)
+        return np.flatnonzero(_sliding(np.concatenate([around, least, around]), width, np.maximum)[: len(self.pair)] == self.pair) if len(least) else np.zeros(0, np.int64)
+
+    def spans(self, width: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, end and name of the paragraphs from every cut to the first one ``least`` or more words on, in the same row.
+
+        Where words repeat over and over, so that neighbours are equal, one of them is given for every ``width`` words.
+        """
+        at = self.cuts(width)
+        following = np.searchsorted(at, at + least)
+        at, until = at[following < len(at)], at[following[following < len(at)]]
+        inside = self.row[at] == self.row[until]
+        at, until = at[inside], until[inside]
+        whole = (self.sums[until] - self.sums[at]) * self.inverse[at]
+        name = mixed(whole + mixed((until - at).astype(np.uint64), 11), 12)
+        if len(at):
+            again = (name[1:] == name[:-1]) & (self.row[at[1:]] == self.row[at[:-1]]) & (at[1:] // width == at[:-1] // width)
+            keep = np.concatenate([[True], ~again])
+            at, until, name = at[keep], until[keep], name[keep]
+        return at, until, name.view(np.int64)
+
+
+def _chained(rows: DataFrame, keys: list[str], since: str, until: str, apart: int, shift: Column | None = None) -> DataFrame:
+    """Number the chains of spans of equal keys: a span begins a new one if it lies ``apart`` or more words behind all before it."""
+    by = Window.partitionBy(*keys).orderBy(since, until)
+    far = F.col(since) - F.max(until).over(by.rowsBetween(Window.unboundedPreceding, -1)) >= apart
+    if shift is not None:
+        far = far | (F.abs(shift - F.lag(shift).over(by)) > EDIT)
+    return rows.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("_chain", F.sum("_new").over(by)).drop("_new")
 
 
 def repeated_passages(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, least_words: int = 50, edge: int = 10, shortest: int = 8, band_rows: int = 2, recall: float = 0.995
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, least_words: int = 50, band_rows: int = 1, recall: float = 0.995
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, removed_words, spans``.
 
-    ``spans`` lists ``start:end`` (code points, end exclusive) of passages of more than ``least_words`` words that
-    stand elsewhere too; the document of smallest id (null counts as smallest) keeps them. A passage is a run of neighbouring paragraphs that are repeats, where
-    one in between may differ; a paragraph is a sentence or line, or a part of a long one. As the paragraphs at both ends of a passage may
-    hold other words too, up to ``edge`` words may lack there. Paragraphs repeat if they are equal (A-Z in either case) or, from ``shortest`` words on, their
-    sets of ``size``-word shingles have a Jaccard similarity of ``percent`` or more. Components of such pairs are one paragraph.
+    ``spans`` lists ``start:end`` (code points, end exclusive) of passages of more than ``least_words`` words (A-Z in either case)
+    that stand in a document of smaller id, too (null is smallest; for equal ids the text's hash decides). The words of a passage
+    were found in one and the same other document in the same order, but for up to four unlike words between two stretches and
+    for unlike words of coarser paragraphs that are linked. What repeats inside one document only, or piecemeal in several others, is left alone.
+
+    Paragraphs are cut by their own words, at two scales. Equal ones of the finer scale meet by name; a passage of 51 words
+    contains one of them wherever it lies. Coarser ones meet in bands of MinHash minima, as many as the recall asks for, and are linked if
+    their sets of ``size``-word shingles have a Jaccard similarity of ``percent`` or more, without forming all pairs of a band
+    (``linked_sets``). Each class (component) points to its first place. Paragraphs in one document that follow
+    each other in the document pointed to are a run; its ends are extended word by word.
 
-    Equal paragraphs are one class before anything meets. Bands of MinHash minima, as many as the recall asks for, propose
-    pairs; those are verified exactly, without forming all pairs of a bucket (``linked_sets``). Null and empty texts have
-    no words. Equal rows are one document; rows of one id with other texts are documents of their own.
+    Equal texts are one text before anything meets: all but the first are cut whole if they are longer than ``least_words``. Null and empty texts have no words
+    and no spans. Equal rows are one document; rows of one id with other texts are documents of their own.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("print")).where("text IS NOT NULL")
+    with scratch(docs.sparkSession):
+        return saved(_passages(docs, doc_id, text, size, percent, least_words, band_rows, recall), "passages", keep=True)
+
+
+def _passages(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, least_words: int, band_rows: int, recall: float) -> DataFrame:
     bands = tuned_bands(percent / 100, band_rows, recall)
+    rows = identified(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "_row").withColumn("print", F.xxhash64("text"))
+    lengths = [word_count(F.col("text")).alias("n_words"), (F.length("text") - F.length(F.ltrim("text", F.lit(BLANKS)))).alias("begin"), F.length(F.rtrim("text", F.lit(BLANKS))).alias("stop")]
+    every = saved(rows.select("doc_id", "print", F.col("text").isNull().alias("missing"), *lengths).distinct(), "every")
+    first = rows.where("text IS NOT NULL").groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_row")).alias("first"))
+    several = broadcast_if_small(saved(first.where("n > 1").select("print", "first"), "several"), 200)
+    texts = rows.where("text IS NOT NULL").join(several, "print", "left").where("first IS NULL OR _row = first._row").select("doc_id", "print", "text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "print", "unit", "words", "start", "end", "item"]
-        for batch in batches:
-            for at, part in slices(batch.column(1)):
-                p = Paragraphs(part)
-                counts = np.diff(p.unit)
-                row = np.repeat(np.arange(len(part)), counts)
-                kept = batch.slice(at, len(part))
-                head = p.place[np.concatenate([[0], np.cumsum([len((x or "").encode()) + 1 for x in part.to_pylist()])])]
-                start, end = p.place[p.start[p.since]] - head[row], p.place[p.end[p.until - 1]] - head[row]
-                unit = np.arange(len(row)) - np.repeat(p.unit[: len(part)], counts)
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column(0).take(pa.array(row)), kept.column(2).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (unit, p.until - p.since, start, end)), pa.array(p.name)], names
-                )
-
-    units = saved(rows.mapInArrow(cut, "doc_id long, print long, unit int, words int, start int, end int, item long"), "units")
-    units = units.dropDuplicates(["doc_id", "print", "unit"]) if _has_equal_rows(rows) else units
-    classes = units.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "print", "unit")).alias("first"))
-    classes = saved(classes, "classes")
+    def named(width: int, least: int):
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, part in slices(batch.column(2)):
+                    p = Paragraphs(part)
+                    since, until, name = p.spans(width, least)
+                    row = p.row[since]
+                    own = batch.slice(at, len(part)).select(["doc_id", "print"]).take(pa.array(row))
+                    places = [pa.array(x.astype(np.int32)) for x in (since - p.first[row], until - p.first[row])]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *places, pa.array(name)], ["doc_id", "print", "since", "until", "item"])
+
+        return texts.mapInArrow(cut, "doc_id long, print long, since int, until int, item long")
+
+    fine, coarse = named(FINE, LEAST), named(COARSE, size)
+    shared = fine.groupBy("item").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("item")
+    shared = broadcast_if_small(saved(shared, "shared"), 16)
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in slices(batch.column(0)):
                 p, names, keys = Paragraphs(part), [], []
-                # Paragraphs without a whole shingle are alike only if they are equal, which makes them one class.
-                chosen = np.flatnonzero(p.until - p.since >= max(shortest, size))
-                chosen = chosen[np.unique(p.name[chosen], return_index=True)[1]]
+                since, until, name = p.spans(COARSE, size)
+                chosen = np.unique(name, return_index=True)[1]
                 if len(chosen):
-                    flat, edge = p.all_shingles(chosen, size)
+                    counts = until[chosen] - since[chosen] - size + 1
+                    edge = np.cumsum(counts) - counts
+                    flat = rolled(p.hash, size)[np.repeat(since[chosen] - edge, counts) + np.arange(counts.sum())]
                     for band in range(bands):
                         key = np.full(len(chosen), np.uint64(band))
                         for r in range(band_rows):
                             key = mixed(key + np.minimum.reduceat(mixed(flat, 20 + band * band_rows + r), edge), 13)
-                        names.append(p.name[chosen])
+                        names.append(name[chosen])
                         keys.append(key.view(np.int64))
                 empty = np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [empty])), pa.array(np.concatenate(names or [empty]))], ["key", "item"])
 
-    proposed = rows.select("text").mapInArrow(minima, "key long, item long")
-    by_key = Window.partitionBy("key")
-    shared = proposed.withColumn("low", F.min("item").over(by_key)).withColumn("high", F.max("item").over(by_key)).where("low < high").select("key", "item")
-    members = saved(shared.distinct().withColumn("rank", F.lit(0)), "members")
-    # The tokens of proposed paragraphs are read where each stands first.
-    places = members.select("item").distinct().join(classes, "item").select("item", "first.*")
-    places = saved(places.groupBy("doc_id", "print").agg(F.collect_list("unit").alias("wanted")), "places")
+    proposed = texts.select("text").mapInArrow(minima, "key long, item long")
+    # Keys that hold unlike paragraphs are few; paragraphs are dealt by key once, as partial sums.
+    keys = proposed.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").select("key")
+    keys = broadcast_if_small(saved(keys, "keys"), 16)
+    members = saved(proposed.join(keys, "key").distinct().withColumn("rank", F.lit(0)), "members")
+    wanted = broadcast_if_small(saved(members.select("item").distinct(), "wanted"), 16)
+    # Tokens of proposed paragraphs are read where each stands first.
+    places = coarse.join(wanted, "item").groupBy("item").agg(F.min(F.struct("print", "since", "until")).alias("at")).select("item", "at.*")
+    places = saved(places.groupBy("print").agg(F.collect_list(F.struct("item", "since", "until")).alias("wanted")), "places")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(0)):
-                p, out = Paragraphs(part), []
-                for i, some in enumerate(batch.column(1).slice(at, len(part)).to_pylist()):
-                    for unit in some:
-                        tokens = p.tokens(int(p.unit[i]) + unit, size)
-                        out.append((int(p.name[p.unit[i] + unit]), len(tokens), tokens.tobytes(), *bitmap(tokens)))
+                p, out = Words(part), []
+                for head, some in zip(p.first.tolist(), batch.column(1).slice(at, len(part)).to_pylist()):
+                    for x in some:
+                        tokens = distinct_shingles(p.hash[head + x["since"] : head + x["until"]], size)
+                        out.append((x["item"], len(tokens), tokens.tobytes(), *bitmap(tokens)))
                 kinds = [pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * 4
                 columns = list(zip(*out)) if out else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item", "n", "tokens", *BITS])
 
-    found = rows.join(broadcast_if_small(places, 40), ["doc_id", "print"]).select("text", "wanted")
-    sets = found.mapInArrow(gather, "item long, n long, tokens binary, " + ", ".join(f"{w} long" for w in BITS))
-    sets = saved(sets.dropDuplicates(["item"]), "sets")
-    parts = saved(linked_sets(members, sets, percent, F.lit(True)), "parts")
-
-    of_item = classes.join(parts, F.col("item") == F.col("node"), "left").withColumn("part", F.coalesce("component", "item"))
-    groups = of_item.groupBy("part").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
-    repeats = saved(of_item.select("item", "part").join(groups, "part").select("item", "first"), "repeats")
-    # Repeats inside the document where a paragraph stands first are its own affair.
-    elsewhere = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print")))
-    again = units.join(repeats, "item").where(elsewhere)
-    by_doc = Window.partitionBy("doc_id", "print").orderBy("unit")
-    new = F.coalesce(F.col("unit") - F.lag("unit").over(by_doc) > 2, F.lit(True)).cast("int")
-    runs = again.withColumn("new", new).withColumn("run", F.sum("new").over(by_doc)).groupBy("doc_id", "print", "run").agg(
-        F.sum("words").alias("words"), F.min("start").alias("start"), F.max("end").alias("end")
+    sets = texts.join(broadcast_if_small(places, 100), "print").select("text", "wanted")
+    sets = saved(sets.mapInArrow(gather, "item long, n long, tokens binary, " + ", ".join(f"{w} long" for w in BITS)), "sets")
+    parts = broadcast_if_small(saved(linked_sets(members, sets, percent, F.lit(True)).withColumnRenamed("node", "item"), "parts"), 24)
+
+    again = fine.join(shared, "item").withColumn("class", F.struct(F.lit(0).alias("scale"), "item")).drop("item")
+    again = again.unionByName(coarse.join(parts, "item").withColumn("class", F.struct(F.lit(1).alias("scale"), F.col("component").alias("item"))).drop("item", "component"))
+    again = saved(again, "again")
+    heads = again.groupBy("class").agg(F.min(F.struct("doc_id", "print", "since", "until")).alias("head"))
+    heads = broadcast_if_small(saved(heads, "heads"), 64)
+    pointed = again.join(heads, "class").where("print <> head.print").select(
+        F.col("class.scale").alias("scale"), "print", "since", "until", F.col("head.print").alias("other"), F.col("head.since").alias("there"), F.col("head.until").alias("there_until")
+    )
+    # Equal paragraphs lie word for word at the same distance, linked ones about so; mixed, the ends of a run might not be the same word in both.
+    kinds = ["print", "other", "scale"]
+    runs = _chained(pointed, kinds, "since", "until", EDIT + 1, F.col("since") - F.col("there")).groupBy(*kinds, "_chain").agg(
+        F.min("since").alias("since"), F.max("until").alias("until"), F.min("there").alias("there"), F.max("there_until").alias("there_until")
     )
-    runs = runs.where(F.col("words") > least_words - 2 * edge).groupBy("doc_id", "print").agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("print")).distinct()
-    sizes = units.groupBy("doc_id", "print").agg(F.sum("words").alias("n_words"))
-    out = every
-    for part in (sizes, runs):
-        named = part.withColumnsRenamed({"doc_id": "_id", "print": "_print"})
-        out = out.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left").drop("_id", "_print")
-    listed = F.transform(F.coalesce("spans", F.array()), lambda x: F.concat_ws(":", x["start"], x["end"]))
-    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("removed_words", F.lit(0)).alias("removed_words"), F.array_join(listed, ",").alias("spans"))
-
-
-def _has_equal_rows(rows: DataFrame) -> bool:
-    return not rows.groupBy("doc_id", "print").count().where("count > 1").isEmpty()
+    runs = saved(runs.drop("scale", "_chain").distinct(), "runs")
+    edges = _edges(texts, runs, least_words + 1 - LEAST)
+    mine = edges.select("print", "since", "until", *(F.col(c).alias(f"my_{c}") for c in ("before", "after", "starts", "ends")))
+    theirs = broadcast_if_small(
+        edges.join(runs.select(F.col("other").alias("print"), F.col("there").alias("since"), F.col("there_until").alias("until")).distinct(), ["print", "since", "until"], "left_semi").select(
+            F.col("print").alias("other"), F.col("since").alias("there"), F.col("until").alias("there_until"), "before", "after"
+        ),
+        400,
+    )
+    both = runs.join(mine, ["print", "since", "until"]).join(theirs, ["other", "there", "there_until"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, start, end = [], [], [], []
+            for a, x, s, b, y, e in zip(*(batch.column(c).to_pylist() for c in ("my_before", "before", "my_starts", "my_after", "after", "my_ends"))):
+                left.append(_alike(np.frombuffer(a, np.uint32)[::-1], np.frombuffer(x, np.uint32)[::-1]))
+                right.append(_alike(np.frombuffer(b, np.uint32), np.frombuffer(y, np.uint32)))
+                start.append(np.frombuffer(s, np.int32)[-1 - left[-1]])
+                end.append(np.frombuffer(e, np.int32)[right[-1]])
+            columns = [pa.array(np.array(c, np.int32)) for c in (left, right, start, end)]
+            yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("other"), batch.column("since"), batch.column("until"), *columns], ["print", "other", "since", "until", "left", "right", "start", "end"])
+
+    read = both.mapInArrow(extend, "print long, other long, since int, until int, left int, right int, start int, end int")
+    read = read.select("print", "other", (F.col("since") - F.col("left")).alias("since"), (F.col("until") + F.col("right")).alias("until"), "start", "end")
+    hull = [F.min("since").alias("since"), F.max("until").alias("until"), F.min("start").alias("start"), F.max("end").alias("end")]
+    long = _chained(read, ["print", "other"], "since", "until", EDIT + 1).groupBy("print", "other", "_chain").agg(*hull).where(F.col("until") - F.col("since") > least_words).drop("_chain")
+    long = _chained(long, ["print"], "since", "until", 1).groupBy("print", "_chain").agg(*hull)
+    cut = long.groupBy("print").agg(
+        F.sum(F.col("until") - F.col("since")).cast("long").alias("removed"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("listed")
+    )
+    whole = F.coalesce(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("first").isNotNull(), F.lit(False)) & (F.col("n_words") > least_words) & ~F.col("missing")
+    named_spans = F.array_join(F.transform(F.coalesce("listed", F.array()), lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    out = every.join(several, "print", "left").join(cut, "print", "left")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.when(whole, F.col("n_words")).when(F.col("missing"), 0).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("removed_words"),
+        F.when(whole, F.concat_ws(":", "begin", "stop")).when(F.col("missing"), "").otherwise(named_spans).alias("spans"),
+    )
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """Words at the head of both that are equal."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def _edges(texts: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
+    """What stands up to ``reach`` words before and behind the runs and the places they point to.
+
+    ``before`` and ``after`` hold the hashes of those words; ``starts`` and ``ends`` the code points at which the words begin and end, with the run's own.
+    """
+    places = runs.select("print", "since", "until").union(runs.select("other", "there", "there_until")).distinct()
+    places = saved(places.groupBy("print").agg(F.collect_list(F.struct("since", "until")).alias("wanted")), "edge_places")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(batch.column(1)):
+                p, out = Words(part), []
+                letters = np.concatenate([[0], np.cumsum((p.data & 0xC0) != 0x80)])
+                sizes = np.cumsum([0, *(len((x or "").encode()) + 1 for x in part.to_pylist())])
+                small = (p.hash >> np.uint64(32)).astype(np.uint32)
+                for i, (name, some) in enumerate(zip(batch.column(0).slice(at, len(part)).to_pylist(), batch.column(2).slice(at, len(part)).to_pylist())):
+                    low, high, head = int(p.first[i]), int(p.first[i + 1]), letters[sizes[i]]
+                    for x in some:
+                        a, b = low + x["since"], low + x["until"]
+                        left, right = max(low, a - reach), min(high, b + reach)
+                        starts, ends = letters[p.start[left : a + 1]] - head, letters[p.end[b - 1 : right]] - head
+                        out.append((name, x["since"], x["until"], small[left:a].tobytes(), small[b:right].tobytes(), starts.astype(np.int32).tobytes(), ends.astype(np.int32).tobytes()))
+                kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 4
+                columns = list(zip(*out)) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["print", "since", "until", "before", "after", "starts", "ends"])
+
+    found = texts.join(broadcast_if_small(places, 60), "print").select("print", "text", "wanted")
+    return saved(found.mapInArrow(around, "print long, since int, until int, before binary, after binary, starts binary, ends binary"), "edges")

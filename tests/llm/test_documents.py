@@ -127,13 +127,62 @@ def test_repeated_passages(spark, frame):
         assert 0.7 * len(long) < len(cut(i)) < 1.3 * len(long)
     assert all(by[i].removed_words == 0 for i in range(2, 60, 3) if i != 8)
     assert by[None].removed_words == 0 and by[8].removed_words == by[8].n_words
-    assert by[100].removed_words == by[100].n_words
-    # The edit leaves 56 words behind it, of which the paragraph it touches is lost.
-    assert 30 < by[101].removed_words < by[101].n_words
+    assert by[100].removed_words == by[100].n_words and by[101].removed_words > 0.8 * by[101].n_words
     assert by[102].n_words == by[103].n_words == 0 and by[104].n_words == 30000 and by[104].removed_words == 0
     assert repeated_passages(frame([], DOCS)).collect() == []
 
 
+def random_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+
+
+def removed_places(text, spans):
+    """Numbers of the words of a text that lie in its spans."""
+    cuts = [tuple(map(int, s.split(":"))) for s in spans.split(",") if s]
+    places = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    return {i for i, (a, b) in enumerate(places) if any(s <= a and b <= e for s, e in cuts)}
+
+
+def test_passages_match_a_plain_version(spark, frame):
+    """Planted passages of 31 to 70 words, some quoted in part by an earlier document, against all windows of 51 words."""
+    rng = random.Random(5)
+    docs, lengths = [], []
+    for n in (31, 45, 50, 51, 51, 52, 55, 60, 70):
+        for k in range(20):
+            passage = random_words(rng, n)
+            parts = [passage] * 3 if k % 2 else [passage[: n // 2], passage, passage]
+            for part in parts:
+                docs.append(random_words(rng, rng.randrange(0, 90)) + part + random_words(rng, rng.randrange(0, 90)))
+    phrases = [random_words(rng, 4) for _ in range(40)]
+    docs += [random_words(rng, 30) + x + ["."] + random_words(rng, 30) for x in phrases]
+    docs.append([w for x in phrases for w in (*x, ".")])
+    line = random_words(rng, 60)
+    docs += [random_words(rng, 5) + line + random_words(rng, 5 + i % 20) for i in range(200)]
+    rows = [(i, " ".join(w.upper() if i % 2 else w for w in d)) for i, d in enumerate(docs)]
+    got = {r.doc_id: r for r in repeated_passages(frame(rows, DOCS)).collect()}
+    assert len(got) == len(rows)
+    seen, beyond, total = set(), 0, 0
+    for i, d in enumerate(docs):
+        windows = [(tuple(d[a : a + 51]), a) for a in range(len(d) - 50)]
+        want = {a + j for w, a in windows if w in seen for j in range(51)}
+        have = removed_places(rows[i][1], got[i].spans)
+        assert want <= have and len(have) == got[i].removed_words
+        # Paragraphs linked by Jaccard similarity may add some words at the ends of a passage, never a passage.
+        assert want or not have
+        beyond, total = beyond + len(have - want), total + len(want)
+        seen |= {w for w, _ in windows}
+    assert beyond < 0.02 * total
+
+
+def test_passages_where_the_first_document_has_no_id(spark, frame):
+    rng = random.Random(8)
+    text = random_words(rng, 160)
+    copies = [text[:80] + [w] + text[80:] for w in ("one", "two", "three")]
+    for ids in ((0, 2, 3), (None, 2, 3)):
+        got = {r.doc_id: r for r in repeated_passages(frame([(i, " ".join(c)) for i, c in zip(ids, copies)], DOCS)).collect()}
+        assert [got[i].removed_words for i in ids] == [0, 161, 161]
+
+
 def test_bands():
     assert tuned_bands(0.8, 2, 0.995) == 6
     assert 1 - (1 - 0.8**2) ** 6 >= 0.995 > 1 - (1 - 0.8**2) ** 5
