@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from disputatio.llm.common import broadcast_if_small, identified, saved, scratch, word_count
 from disputatio.llm.group_links import BITS, linked_sets
-from disputatio.llm.shingles import Words, bitmap, distinct_shingles, mixed, rolled, slices
+from disputatio.llm.shingles import Words, mixed, rolled, slices
 
 BLANKS = " \t\n\x0b\x0c\r"
 # Words between two cuts of the finer paragraphs at most, and words of a finer paragraph at least.
@@ -169,14 +169,11 @@ def _passages(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(0)):
-                p, out = Words(part), []
-                for head, some in zip(p.first.tolist(), batch.column(1).slice(at, len(part)).to_pylist()):
-                    for x in some:
-                        tokens = distinct_shingles(p.hash[head + x["since"] : head + x["until"]], size)
-                        out.append((x["item"], len(tokens), tokens.tobytes(), *bitmap(tokens)))
-                kinds = [pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * 4
-                columns = list(zip(*out)) if out else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item", "n", "tokens", *BITS])
+                p, wanted = Words(part), batch.column(1).slice(at, len(part))
+                found = wanted.flatten()
+                head = np.repeat(p.first[:-1], np.diff(wanted.offsets.to_numpy()))
+                since, until = (head + found.field(name).to_numpy() for name in ("since", "until"))
+                yield pa.RecordBatch.from_arrays([found.field("item"), *_token_sets(p.hash, since, until, size)], ["item", "n", "tokens", *BITS])
 
     sets = texts.join(broadcast_if_small(places, 100), "print").select("text", "wanted")
     sets = saved(sets.mapInArrow(gather, "item long, n long, tokens binary, " + ", ".join(f"{w} long" for w in BITS)), "sets")
@@ -236,6 +233,26 @@ def _passages(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
     )
 
 
+def _token_sets(words: np.ndarray, since: np.ndarray, until: np.ndarray, size: int) -> list[pa.Array]:
+    """Number, sorted bytes and bitmap of the distinct shingles of many paragraphs of ``size`` or more words, all at once."""
+    counts = until - since - size + 1
+    edge = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(since)), counts)
+    flat = rolled(words, size)[np.repeat(since - edge, counts) + np.arange(counts.sum())]
+    order = np.lexsort((flat, owner))
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    flat, owner = flat[new], owner[new]
+    n = np.bincount(owner, minlength=len(since))
+    offsets = np.concatenate([[0], np.cumsum(n) * 8]).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.binary(), len(since), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+    cells = 64 * len(BITS)
+    odd = (np.bincount(owner * cells + (mixed(flat, 3) % np.uint64(cells)).astype(np.int64), minlength=len(since) * cells) & 1).astype(np.uint8)
+    bits = np.packbits(odd.reshape(len(since), cells), axis=1).view(np.int64).reshape(len(since), len(BITS))
+    return [pa.array(n.astype(np.int64)), tokens, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITS)))]
+
+
 def _alike(a: np.ndarray, b: np.ndarray) -> int:
     """Words at the head of both that are equal."""
     n = min(len(a), len(b))
