@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from disputatio.llm.common import broadcast_if_small, identified, saved, scratch, word_count
+from disputatio.llm.common import broadcast_if_small, identified, saved, scratch
 from disputatio.llm.group_links import BITS, linked_sets
 from disputatio.llm.shingles import Words, mixed, rolled, slices
 
 BLANKS = " \t\n\x0b\x0c\r"
+BLANK = np.zeros(256, bool)
+BLANK[list(BLANKS.encode())] = True
 # Words between two cuts of the finer paragraphs at most, and words of a finer paragraph at least.
 FINE, LEAST = 16, 16
 # Words between two cuts of the coarser paragraphs at most.
@@ -114,8 +116,8 @@ def repeated_passages(
 def _passages(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, least_words: int, band_rows: int, recall: float) -> DataFrame:
     bands = tuned_bands(percent / 100, band_rows, recall)
     rows = identified(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "_row").withColumn("print", F.xxhash64("text"))
-    lengths = [word_count(F.col("text")).alias("n_words"), (F.length("text") - F.length(F.ltrim("text", F.lit(BLANKS)))).alias("begin"), F.length(F.rtrim("text", F.lit(BLANKS))).alias("stop")]
-    every = saved(rows.select("doc_id", "print", F.col("text").isNull().alias("missing"), *lengths).distinct(), "every")
+    sized = rows.select("doc_id", "print", "text").mapInArrow(_measured, "doc_id long, print long, missing boolean, n_words long, begin long, stop long")
+    every = saved(sized.distinct(), "every")
     first = rows.where("text IS NOT NULL").groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_row")).alias("first"))
     several = broadcast_if_small(saved(first.where("n > 1").select("print", "first"), "several"), 200)
     texts = rows.where("text IS NOT NULL").join(several, "print", "left").where("first IS NULL OR _row = first._row").select("doc_id", "print", "text")
@@ -233,6 +235,22 @@ def _passages(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
     )
 
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of every text, and the code points at which the first begins and the last ends."""
+    for batch in batches:
+        for at, part in slices(batch.column(2)):
+            out = []
+            for x in part.to_pylist():
+                text = x or ""
+                space = BLANK[np.frombuffer(text.encode(), np.uint8)]
+                n = int((~space & np.concatenate([[True], space])[:-1]).sum())
+                out.append((x is None, n, len(text) - len(text.lstrip(BLANKS)), len(text.rstrip(BLANKS))))
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i).slice(at, len(part)) for i in (0, 1)] + [pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "print", "missing", "n_words", "begin", "stop"]
+            )
+
+
 def _token_sets(words: np.ndarray, since: np.ndarray, until: np.ndarray, size: int) -> list[pa.Array]:
     """Number, sorted bytes and bitmap of the distinct shingles of many paragraphs of ``size`` or more words, all at once."""
     counts = until - since - size + 1
