@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _plain(text: Column) -> Column:
-    """Text without the markers of the format."""
-    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
+def escaped(text: Column) -> Column:
+    r"""Text that holds no marker, however markers are nested in it: ``<|`` becomes ``<\|``, ``<\|`` becomes ``<\\|`` and so on.
+
+    ``unescaped`` gives the text back; null is empty.
+    """
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    """What ``escaped`` was given."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
+def _one_line(name: Column) -> Column:
+    """An escaped name whose line breaks are spaces, so that it cannot end its own line."""
+    return F.regexp_replace(escaped(name), r"[\x0A-\x0D\x{85}\x{2028}\x{2029}]", " ")
 
 
 def rotate_perspectives(
@@ -25,13 +38,14 @@ def rotate_perspectives(
     Turns go by number, then speaker, then text. A conversation is rendered in blocks of ``block`` turn numbers, so
     one of any length never gathers in one task. Every block is rendered for every participant of the whole conversation.
     A null speaker is a participant without a name, a null turn number counts as 0, null text is empty, repeated
-    rows are repeated turns. A conversation of system turns alone has no participant and no row.
+    rows are repeated turns. Markers inside texts and names are escaped, line breaks in a rendered name are spaces; the
+    ``speaker`` column keeps the name as it was. A conversation of system turns alone has no participant and no row.
     """
     name = F.coalesce(F.col(speaker), F.lit(""))
     rows = turns.select(
         F.col(conv).alias("conv_id"),
         F.floor(F.coalesce(F.col(turn), F.lit(0)) / block).cast("long").alias("block"),
-        F.struct(F.coalesce(F.col(turn), F.lit(0)).cast("long").alias("turn"), name.alias("who"), _plain(F.col(text)).alias("said")).alias("line"),
+        F.struct(F.coalesce(F.col(turn), F.lit(0)).cast("long").alias("turn"), name.alias("who"), escaped(F.col(text)).alias("said")).alias("line"),
     )
     talks = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     people = rows.select("conv_id", F.col("line.who").alias("speaker")).where(F.col("speaker") != system).distinct()
@@ -39,7 +53,7 @@ def rotate_perspectives(
 
     def piece(x: Column) -> Column:
         own = x["who"] == F.col("speaker")
-        head = F.when(own, F.lit("assistant")).when(x["who"] == system, F.lit(system)).otherwise(F.concat(F.lit("user name="), x["who"]))
+        head = F.when(own, F.lit("assistant")).when(x["who"] == system, F.lit(system)).otherwise(F.concat(F.lit("user name="), _one_line(x["who"])))
         return F.struct(own.alias("own"), F.concat(F.lit(OPEN), head, F.lit("\n")).alias("head"), F.concat(x["said"], F.lit(CLOSE)).alias("body"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))

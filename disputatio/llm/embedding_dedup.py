@@ -15,6 +15,8 @@ from disputatio.llm.vectors import matrix, usable
 
 # Slack of a bound over a sum that is rounded.
 SLACK = 1e-9
+# Parts into which the members of one component are dealt where they look something up.
+PARTS = 16
 
 
 def principal_axes(vectors: DataFrame, column: str, width: int) -> np.ndarray:
@@ -64,7 +66,9 @@ def embedding_duplicates(
 
     Vectors of one label are linked when the cosine, in double precision, reaches the threshold. Null vectors,
     zero vectors, those with null or non-finite components and those without a label are linked with nothing;
-    vectors of different lengths are never linked. Rows that share an id count as one vector each.
+    vectors of different lengths are never linked. Links run between rows: rows that share an id count as one vector each
+    and are not linked by their id. Rows without an id count as links and join components, but name none: a component
+    of such rows alone has a null ``component_id``, and its rows are all kept.
 
     Equal vectors become one class first. Classes are dealt by range over label and first principal coordinate
     into tiles of about ``tile_rows``; a label of any size spreads over many tiles. Unit vectors of a link lie
@@ -75,8 +79,9 @@ def embedding_duplicates(
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     fit = usable(F.col("vector")) & F.col("label").isNotNull()
     good = rows.where(fit).where(F.exists("vector", lambda x: x != 0))
-    classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = saved(classes.withColumn("length", F.size("vector")), "classes")
+    classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    # A class has a number of its own, fixed by being written; ids may be null or stand at several vectors.
+    classes = saved(classes.select("*", F.size("vector").alias("length"), F.monotonically_increasing_id().alias("rep")), "classes")
     count, width = classes.agg(F.count(F.lit(1)), F.max("length")).first()
     if not count:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -139,9 +144,18 @@ def embedding_duplicates(
     found = saved(data.groupBy("label", "length", "one", "two").applyInPandas(compare, "rep long, n long, hub long"), "found")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     sets = connected_components(found, "rep", "hub").withColumnRenamed("node", "rep")
-    of_class = classes.join(links, "rep", "left").join(sets, "rep", "left").select(
-        "label", "vector", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    of_class = saved(
+        classes.join(links, "rep", "left").join(sets, "rep", "left").select(
+            "label", "vector", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("component", "rep").alias("component"), F.pmod(F.hash("rep"), F.lit(PARTS)).alias("part"),
+        ),
+        "of_class",
+    )
+    # The smallest id of a component is looked up from parts, so that a component of very many classes is no single join key.
+    smallest = of_class.groupBy("component").agg(F.min("low").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    joined = rows.join(of_class.join(smallest, ["component", "part"]).select("label", "vector", "n_links", "component_id"), ["label", "vector"], "left")
+    # Rows of no class stand alone.
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long")
+    return joined.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )
-    joined = rows.join(of_class, ["label", "vector"], "left")
-    component = F.coalesce("component_id", "vec_id").cast("long")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

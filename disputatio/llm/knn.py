@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from disputatio.llm.common import saved
+from disputatio.llm.common import identified, saved
 from disputatio.llm.vectors import matrix, usable
 
 # Relative room for rounding in distances that decide whether a row is left out.
@@ -41,19 +41,22 @@ def nearest(
 ) -> DataFrame:
     """For every query its k rows of highest score: ``query_id, rank, vec_id, score``, ties to the smaller id.
 
-    Components become ``floor(256 * x)``; the score is the integer inner product. A query never meets the row
-    of its own id. Vectors that are null or hold null or non-finite components take no part; short vectors count
-    as if filled with zeros. Rows that share an id are separate candidates. Fewer rows than k give fewer ranks.
+    Components become ``floor(256 * x)``; the score is the integer inner product. Every query row has its own list, from
+    all rows but itself: rows that share an id are separate queries and separate candidates, so another row of the
+    query's id can stand in its list, and two lists of one id are two sets of rows. Rows without an id and vectors that
+    are null or hold null or non-finite components take no part; short vectors count as if filled with zeros. Fewer rows
+    than k give fewer ranks.
 
     Rows are lifted to one common norm, where the nearest row is the one of highest product, and belong to the
-    cell of their nearest pivot. ``pivots`` rows of smallest id hash, without copies, are the pivots. From each cell's
+    cell of their nearest pivot. ``pivots`` rows of smallest hash of their place, without copies, are the pivots. From each cell's
     radius and its k + 1 smallest distances follows how far a query's k-th neighbour can be at most, and from that
     how far from its pivot a row has to lie to matter to a group of query cells; only such rows are sent there.
     Groups meet the data in blocks of at most ``query_block`` by ``data_block`` rows or so, and each block keeps k
     rows per query, so no task grows with the data.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("asks")).where(usable(F.col("vector")))
+    rows = identified(df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("asks")), "place")
+    rows = rows.withColumn("row", F.xxhash64("place.file", "place.row")).drop("place").where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     count, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not count:
@@ -65,7 +68,7 @@ def nearest(
             yield pd.DataFrame({"most": [(x * x).sum(1).max(initial=0.0)]})
 
     most = rows.select("vector").mapInPandas(norms, "most double").agg(F.max("most")).first()[0]
-    sample = rows.select("vector", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(4 * pivots)
+    sample = rows.select("vector", "row").orderBy("row").limit(4 * pivots)
     points = np.unique(_lift(_steps(sample.select("vector").toPandas()["vector"], width), most), axis=0)[:pivots]
 
     def place(batches):
@@ -74,11 +77,11 @@ def nearest(
             far = _distances(_lift(x, most), points)
             asked = _distances(np.column_stack([x, np.zeros(len(x))]), points)
             yield pd.DataFrame({
-                "vec_id": batch["vec_id"], "vector": batch["vector"], "asks": batch["asks"],
+                "vec_id": batch["vec_id"], "row": batch["row"], "vector": batch["vector"], "asks": batch["asks"],
                 "cell": far.argmin(1), "far": far.min(1), "query_cell": asked.argmin(1), "query_far": asked.min(1),
             })
 
-    placed = saved(rows.mapInPandas(place, "vec_id long, vector array<double>, asks boolean, cell int, far double, query_cell int, query_far double"), "cells")
+    placed = saved(rows.mapInPandas(place, "vec_id long, row long, vector array<double>, asks boolean, cell int, far double, query_cell int, query_far double"), "cells")
     asks = F.coalesce("asks", F.lit(False))
     by_cell = Window.partitionBy("cell").orderBy("far")
     closest = placed.select("cell", "far").withColumn("n", F.row_number().over(by_cell)).where(F.col("n") <= k + 1)
@@ -109,22 +112,22 @@ def nearest(
     splits = -(-count // data_block)
     sizes = placed.where(asks).join(groups, "query_cell").groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks"))
     queries = placed.where(asks).join(groups, "query_cell").join(sizes, "grp").select(
-        "grp", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "vec_id", "vector"
+        "grp", F.pmod(F.col("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "vec_id", "row", "vector"
     )
     data = placed.join(reaching, "cell").where("far >= least").join(sizes, "grp").select(
-        "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(splits)).cast("int").alias("split"), "vec_id", "vector"
+        "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("row"), F.lit(splits)).cast("int").alias("split"), "vec_id", "row", "vector"
     )
 
     def best(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(there):
             there = there.sort_values("data_id", ignore_index=True)
-            x, ids = _steps(there["data_vector"], width), there["data_id"].to_numpy()
+            x, ids, places = _steps(there["data_vector"], width), there["data_id"].to_numpy(), there["data_row"].to_numpy()
             for at in range(0, len(asked), 128):
                 some = asked.iloc[at : at + 128]
                 scores = _products(_steps(some["vector"], width), x)
-                for q, line in zip(some["vec_id"].to_numpy(), scores):
-                    open_ = np.flatnonzero(ids != q)
+                for q, place, line in zip(some["vec_id"].to_numpy(), some["row"].to_numpy(), scores):
+                    open_ = np.flatnonzero(places != place)
                     line = line[open_]
                     if len(line) > k:
                         last = np.partition(line, len(line) - k)[len(line) - k]
@@ -132,15 +135,15 @@ def nearest(
                         keep = keep[np.lexsort((ids[open_[keep]], -line[keep]))][:k]
                     else:
                         keep = np.arange(len(line))
-                    out.append((np.full(len(keep), q), ids[open_[keep]], line[keep]))
+                    out.append((np.full(len(keep), q), np.full(len(keep), place), ids[open_[keep]], line[keep]))
         if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        q, v, s = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+            return pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}, dtype="int64")
+        q, r, v, s = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"query_id": q, "query_row": r, "vec_id": v, "score": s})
 
     key = ["grp", "block", "split"]
     # Both sides come from one table; new names for one of them keep their columns apart.
-    data = data.toDF("grp", "block", "split", "data_id", "data_vector")
-    local = queries.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(best, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    data = data.toDF("grp", "block", "split", "data_id", "data_row", "data_vector")
+    local = queries.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(best, "query_id long, query_row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -44,11 +44,12 @@ SELECT doc_id, size, source_size, target, CAST(first + second AS BIGINT) AS take
        ELSE round((8 - sqrt(64 - 60 * q)) / 6, 6) END AS position
 FROM shared"""
 
-OP5 = """WITH rows_ AS (SELECT conv_id, coalesce(turn, 0) AS turn, CAST(floor(coalesce(turn, 0) / 64) AS BIGINT) AS block, coalesce(role, '') AS who,
-  replace(replace(coalesce(text, ''), '<|im_start|>', ''), '<|im_end|>', '') AS said FROM conversations),
+OP5 = r"""WITH rows_ AS (SELECT conv_id, coalesce(turn, 0) AS turn, CAST(floor(coalesce(turn, 0) / 64) AS BIGINT) AS block, coalesce(role, '') AS who,
+  regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS said FROM conversations),
 people AS (SELECT DISTINCT conv_id, who AS speaker FROM rows_ WHERE who <> 'system'),
 seen AS (SELECT r.*, p.speaker, r.who = p.speaker AS own,
-  '<|im_start|>' || CASE WHEN r.who = p.speaker THEN 'assistant' WHEN r.who = 'system' THEN 'system' ELSE 'user name=' || r.who END || chr(10) AS head,
+  '<|im_start|>' || CASE WHEN r.who = p.speaker THEN 'assistant' WHEN r.who = 'system' THEN 'system' ELSE 'user name=' ||
+    regexp_replace(regexp_replace(r.who, '<(\\*)\|', '<\\\1|', 'g'), '[\x0A-\x0D\x{85}\x{2028}\x{2029}]', ' ', 'g') END || chr(10) AS head,
   said || '<|im_end|>' AS body, row_number() OVER (PARTITION BY r.conv_id, p.speaker, r.block ORDER BY turn, r.who, said) AS n
   FROM rows_ r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 spans AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, block ORDER BY n) - length(body) - 1 AS begin_ FROM seen)

@@ -87,3 +87,28 @@ def test_top_k_of_few(spark, frame):
     assert nearest(frame([(5, [1.0], 0)], VECTORS), ask).collect() == []
     got = nearest(frame([(5, [1.0], 0), (7, [2.0], 0), (6, [2.0], 0)], VECTORS), ask).collect()
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 6, 131072), (2, 7, 131072)]
+
+
+def test_links_of_null_and_repeated_ids(spark, frame):
+    a, near, b, far = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(7, a, 1), (None, near, 1), (3, [1.0, 0.2, 0.0], 1), (9, b, 1), (9, far, 1), (9, far, 2), (4, far, 2), (None, [0.0, 1.0, 1.0], 1), (None, [0.0, 1.0, 1.0], 1), (9, b, 1), (None, None, 1)]
+    got = embedding_duplicates(frame(rows, VECTORS), threshold=0.99).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    want = [(7, 1, 3, False), (None, 2, 3, False), (3, 1, 3, True), (9, 1, 9, True), (9, 1, 9, True), (9, 0, 9, True), (9, 1, 4, False), (4, 1, 4, True)]
+    want += [(None, 1, None, True)] * 2 + [(None, 0, None, True)]
+    assert sorted([tuple(r) for r in got], key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("copies", [1, 12, 150])
+def test_top_k_of_repeated_ids(spark, frame, copies):
+    rng = np.random.default_rng(copies)
+    rows = [(i % 90, [float(c) for c in v], 0) for i, v in enumerate(rng.normal(size=(200, 4)).round(1))]
+    rows += [(10, rows[0][1], 0)] * copies + [(10, [9.0, 0.0, 0.0, 0.0], 0), (None, [99.0, 99.0, 99.0, 99.0], 0)]
+    got = nearest(frame(rows, VECTORS), F.col("vec_id") % 5 == 0, 3, pivots=8, query_block=16, data_block=64).collect()
+    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v, _ in rows if i is not None]
+    want = []
+    for at, (q, u) in enumerate(good):
+        if q % 5 == 0:
+            best = sorted((-int(u @ v), i) for n, (i, v) in enumerate(good) if n != at)[:3]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
