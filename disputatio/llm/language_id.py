@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from disputatio.llm.common import saved
+from disputatio.llm.common import broadcast_if_small, saved
 from disputatio.llm.pieces import PIECE_MODEL, SPACE, PieceIndex, codes, equal_lengths, load_pieces
 
 UNKNOWN = "und"
-# Longer words are scored in parts of this many letters, so that products of probabilities stay in range.
-PART = 48
+# Sums are brought back to one after this many letters, so that they stay in range; the letters' arcs are in memory for as many at a time.
+STRETCH = 48
 # Every letter's probability is scaled by this factor inside the forward algorithm, for the same reason.
 SCALE = 20.0
+# Parts of the range of hashes among which the smallest ones of a language are looked for.
+BINS = 1 << 16
 # Words kept with their scores in one task.
 KEPT = 200_000
 
@@ -31,11 +33,10 @@ def words_of(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def parts_of(word: str) -> list[str]:
-    """A word as the segmenter sees it: its letters with a word start, in parts. No letters, no parts."""
+def marked(word: str) -> str:
+    """A word as the segmenter sees it: its letters after a word start; empty where there is no letter."""
     letters = "".join(filter(str.isalpha, word))
-    marked = SPACE + letters
-    return [marked[i : i + PART] for i in range(0, len(marked), PART)] if letters else []
+    return SPACE + letters if letters else ""
 
 
 class Segmenter:
@@ -45,52 +46,75 @@ class Segmenter:
         self.index, self.p = PieceIndex(pieces), probabilities
         self.outside = len(pieces)
 
-    def _arcs(self, parts: list[str]):
+    def _arcs(self, chars: np.ndarray):
         found = []
-        for size, ids in self.index.places(codes(parts).astype(np.uint64)):
+        for size, ids in self.index.places(chars):
             if size == 1:
                 ids = np.where(ids < 0, self.outside, ids)
             found.append((size, ids, np.where(ids[None] >= 0, self.p[:, ids], 0.0) * SCALE**size))
         return found
 
+    def _stretches(self, length: int) -> list[tuple[int, int, int]]:
+        """From where arcs may come, begin and end of each stretch of a word."""
+        return [(max(0, at - self.index.longest), at, min(at + STRETCH, length)) for at in range(0, length, STRETCH)]
+
     @staticmethod
-    def _forward(arcs, rows: int, length: int, kinds: int) -> np.ndarray:
-        alpha = np.zeros((kinds, rows, length + 1))
-        alpha[:, :, 0] = 1.0
-        for end in range(1, length + 1):
-            for size, _, p in arcs[:end]:
-                alpha[:, :, end] += alpha[:, :, end - size] * p[:, :, end - size]
-        return alpha
-
-    def log_probabilities(self, parts: list[str]) -> np.ndarray:
-        """Log of the summed probability of all segmentations: distributions by parts."""
-        out = np.zeros((len(self.p), len(parts)))
-        for some in equal_lengths(parts, 50_000):
-            mine = [parts[i] for i in some]
-            length = len(mine[0])
-            alpha = self._forward(self._arcs(mine), len(mine), length, len(self.p))
-            out[:, some] = np.log(alpha[:, :, length]) - length * math.log(SCALE)
+    def _to_one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last axis with its largest value brought to one, and the log of the factor."""
+        most = x.max(-1)
+        return x / most[..., None], np.log(most)
+
+    def _forward(self, chars: np.ndarray):
+        """Summed probabilities up to every place, a stretch at a time: where it lies, its arcs, the sums, the log they are to be shifted by."""
+        kinds, rows = len(self.p), len(chars)
+        carry, shift = np.ones((kinds, rows, 1)), np.zeros((kinds, rows))
+        for low, begin, end in self._stretches(chars.shape[1]):
+            arcs = self._arcs(chars[:, low:end])
+            carry, log = self._to_one(carry[:, :, low - begin - 1 :])
+            shift = shift + log
+            alpha = np.concatenate([carry, np.zeros((kinds, rows, end - begin))], axis=2)
+            for at in range(begin - low + 1, end - low + 1):
+                for size, _, p in arcs[:at]:
+                    alpha[:, :, at] += alpha[:, :, at - size] * p[:, :, at - size]
+            carry = alpha
+            yield (low, begin, end), arcs, alpha, shift
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Log of the summed probability of all segmentations: distributions by words."""
+        out = np.zeros((len(self.p), len(words)))
+        for some in equal_lengths(words, 50_000):
+            chars = codes([words[i] for i in some]).astype(np.uint64)
+            for _, _, alpha, shift in self._forward(chars):
+                last = alpha[:, :, -1], shift
+            out[:, some] = np.log(last[0]) + last[1] - chars.shape[1] * math.log(SCALE)
         return out
 
-    def expected(self, parts: list[str], times: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece under the first distribution (forward-backward)."""
+    def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """Expected uses of every piece (forward-backward) under the one distribution there is."""
         total = np.zeros(self.outside + 1)
-        for some in equal_lengths(parts, 50_000):
-            mine = [parts[i] for i in some]
-            rows, length = len(mine), len(mine[0])
-            arcs = self._arcs(mine)
-            alpha = self._forward(arcs, rows, length, 1)[0]
-            beta = np.zeros((rows, length + 1))
-            beta[:, length] = 1.0
-            for start in range(length - 1, -1, -1):
-                for size, _, p in arcs:
-                    if start + size <= length:
-                        beta[:, start] += p[0, :, start] * beta[:, start + size]
-            weight = times[some] / alpha[:, length]
-            for size, ids, p in arcs:
-                here = alpha[:, : length - size + 1] * p[0] * beta[:, size:] * weight[:, None]
-                used = ids >= 0
-                total += np.bincount(ids[used], here[used], len(total))
+        for some in equal_lengths(words, 50_000):
+            chars = codes([words[i] for i in some]).astype(np.uint64)
+            # Sums are kept for the whole word; arcs are looked up again on the way back.
+            sums = [(place, alpha[0], shift[0]) for place, _, alpha, shift in self._forward(chars)]
+            whole = np.log(sums[-1][1][:, -1]) + sums[-1][2]
+            carry, back = np.ones((len(chars), 1)), np.zeros(len(chars))
+            for (low, begin, end), alpha, shift in reversed(sums):
+                arcs, first = self._arcs(chars[:, low:end]), begin - low
+                carry, log = self._to_one(carry)
+                back = back + log
+                # What later stretches hand back lies at the end of this one.
+                beta = np.concatenate([np.zeros((len(chars), end - low + 1 - carry.shape[1])), carry], axis=1)
+                for at in range(end - low, first, -1):
+                    for size, _, p in arcs[:at]:
+                        beta[:, at - size] += p[0, :, at - size] * beta[:, at]
+                weight = times[some] * np.exp(shift + back - whole)
+                for size, ids, p in arcs:
+                    # Arcs that end in this stretch.
+                    start = slice(max(0, first + 1 - size), ids.shape[1])
+                    here = alpha[:, start] * p[0][:, start] * beta[:, start.start + size : start.stop + size] * weight[:, None]
+                    used = ids[:, start] >= 0
+                    total += np.bincount(ids[:, start][used], here[used], len(total))
+                carry = beta[:, : first + 1]
         return total
 
 
@@ -109,19 +133,26 @@ def learn_pieces(
     pieces = [p if p and all(c.isalpha() for c in p.lstrip(SPACE)) and first.setdefault(p, i) == i else "" for i, p in enumerate(pieces)]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), learn_from.alias("learn"))
     rows = rows.where(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = rows.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("n") <= sample).drop("n")
-    texts = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    ids = rows.select("doc_id", "lang").distinct().select("*", F.xxhash64("doc_id").alias("h"))
+    ids = ids.withColumn("bin", F.shiftright("h", 64 - BINS.bit_length() + 1))
+    # Counts per part of the hash range tell which parts the smallest hashes lie in; only those are ranked.
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) - F.col("n")
+    bins = ids.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("before", upto).where(F.col("before") < sample)
+    bins = bins.groupBy("lang").agg(F.max("bin").alias("last"))
+    near = ids.join(bins, "lang").where("bin <= last")
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    chosen = saved(ranked.where(F.col("n") <= sample).select("doc_id", "lang"), "sample")
+    texts = rows.select("doc_id", "text", "lang").join(broadcast_if_small(chosen, 64), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, group in batch.groupby("lang"):
-                found = Counter(p for t in group["text"] for w in words_of(t) for p in parts_of(w))
+                found = Counter(m for t in group["text"] for w in words_of(t) if (m := marked(w)))
                 if found:
-                    yield pd.DataFrame({"lang": name, "part": list(found), "n": list(found.values())})
+                    yield pd.DataFrame({"lang": name, "word": list(found), "n": list(found.values())})
 
-    words = texts.select("lang", "text").mapInPandas(count, "lang string, part string, n long")
-    words = saved(words.groupBy("lang", "part").agg(F.sum("n").alias("n")), "words")
+    words = texts.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
+    words = saved(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
     used = sum(1 for p in pieces if p) + 1
     probabilities = np.full((len(langs), len(pieces) + 1), 1.0 / used)
@@ -133,7 +164,7 @@ def learn_pieces(
             for batch in batches:
                 for name, group in batch.groupby("lang"):
                     k = langs.index(name)
-                    got = Segmenter(pieces, now[k : k + 1]).expected(group["part"].tolist(), group["n"].to_numpy(float))
+                    got = Segmenter(pieces, now[k : k + 1]).expected(group["word"].tolist(), group["n"].to_numpy(float))
                     totals[name] = totals.get(name, 0.0) + got
             for name, total in totals.items():
                 ids = np.flatnonzero(total)
@@ -168,13 +199,9 @@ def predict_language(docs: DataFrame, learned: tuple[list[str], list[str], np.nd
                 if len(number) > KEPT:
                     number, values = {}, np.zeros((0, len(langs)))
                 fresh = sorted({w for line in lines for w in line if w not in number})
-                parts = [parts_of(w) for w in fresh]
-                flat = [p for x in parts for p in x]
-                logs = model.log_probabilities(flat).T if langs else np.zeros((len(flat), 0))
-                owner = np.repeat(np.arange(len(fresh)), [len(x) for x in parts])
-                sums = np.zeros((len(fresh), len(langs)))
-                np.add.at(sums, owner, logs)
-                sums[[not x for x in parts]] = np.nan
+                seen = [marked(w) for w in fresh]
+                sums = model.log_probabilities(seen).T if langs else np.zeros((len(fresh), 0))
+                sums[[not x for x in seen]] = np.nan
                 number |= zip(fresh, range(len(number), len(number) + len(fresh)))
                 values = np.concatenate([values, sums])
                 for line in lines:

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from disputatio.llm.language_id import Segmenter, learn_pieces, parts_of, predict_language
+from disputatio.llm import language_id
+from disputatio.llm.language_id import Segmenter, learn_pieces, marked as marked_word, predict_language
 from disputatio.llm.pieces import PIECE_MODEL, SPACE, load_pieces
 from disputatio.llm.queries_text import held_out, op3_language_id, op7_sentencepiece
 from disputatio.llm.sentencepiece_codec import Viterbi, decode, encode
@@ -77,7 +78,9 @@ def all_cuts(word):
             yield [word[a:b] for a, b in zip((0, *cuts), (*cuts, len(word)))]
 
 
-def test_forward_sums_all_segmentations():
+@pytest.mark.parametrize("stretch", [1, 2, 3, 48])
+def test_forward_sums_all_segmentations(monkeypatch, stretch):
+    monkeypatch.setattr(language_id, "STRETCH", stretch)
     pieces = ["", "a", "b", "ab", "ba", SPACE, SPACE + "a", "aba"]
     p = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1), 2)
     model, words = Segmenter(pieces, p), [SPACE + "abab", SPACE + "cab", SPACE + "a", SPACE + "bbbab"]
@@ -101,8 +104,44 @@ def test_forward_sums_all_segmentations():
     assert Segmenter(pieces, p[:1]).expected(words, np.array([1.0, 2, 3, 4])) == pytest.approx(want)
 
 
-def test_parts():
-    assert parts_of("²") == [] and parts_of("a" * 100) == [SPACE + "a" * 47, "a" * 48, "a" * 5]
+def test_marked_words():
+    assert marked_word("²") == "" and marked_word("a" * 100) == SPACE + "a" * 100
+
+
+def test_long_words_are_summed_whole():
+    """Against sums of logarithms, which never leave their range."""
+    pieces = ["", "a", "b", "ab", "ba", SPACE, SPACE + "a", "aba", "b" * 40]
+    p = np.random.default_rng(1).dirichlet(np.ones(len(pieces) + 1), 2)
+    number = {x: i for i, x in enumerate(pieces) if x}
+    words = [SPACE + "ab" * 1500 + "c" * 400, SPACE + "b" * 3000, SPACE + "a" * 47, SPACE + "a" * 48]
+    got = Segmenter(pieces, p).log_probabilities(words)
+    for k in range(2):
+        for i, w in enumerate(words):
+            logs = [0.0]
+            for end in range(1, len(w) + 1):
+                terms = [logs[end - n] + math.log(p[k][number[w[end - n : end]]]) for n in range(1, min(40, end) + 1) if w[end - n : end] in number]
+                if w[end - 1] not in number:
+                    terms.append(logs[end - 1] + math.log(p[k][-1]))
+                most = max(terms)
+                logs.append(most + math.log(sum(math.exp(t - most) for t in terms)))
+            assert got[k, i] == pytest.approx(logs[-1], rel=1e-9)
+    uses = Segmenter(pieces, p[:1]).expected(words, np.ones(4))
+    lengths = np.array([len(x) for x in pieces] + [1])
+    assert uses @ lengths == pytest.approx(sum(map(len, words)))
+
+
+def test_sample_is_the_smallest_hashes(spark, frame, monkeypatch):
+    """However hashes are binned, the same documents teach."""
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} der die", "en" if i % 3 else "de") for i in range(300)]
+    df = frame(rows, "doc_id long, text string, lang string")
+    want = {}
+    for lang in ("en", "de"):
+        ids = [r.doc_id for r in df.where(f"lang = '{lang}'").orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
+        want[lang] = ids
+    only = df.where(F.col("doc_id").isin(want["en"] + want["de"]))
+    for bins in (1 << 2, 1 << 16):
+        monkeypatch.setattr(language_id, "BINS", bins)
+        assert np.allclose(learn_pieces(df, F.lit(True), sample=20, rounds=1)[2], learn_pieces(only, F.lit(True), rounds=1)[2])
 
 
 def test_held_out_accuracy(spark, small):
