@@ -139,7 +139,7 @@ def learn_pieces(
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) - F.col("n")
     bins = ids.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("before", upto).where(F.col("before") < sample)
     bins = bins.groupBy("lang").agg(F.max("bin").alias("last"))
-    near = ids.join(bins, "lang").where("bin <= last")
+    near = ids.join(broadcast_if_small(saved(bins, "bins"), 32), "lang").where("bin <= last")
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     chosen = saved(ranked.where(F.col("n") <= sample).select("doc_id", "lang"), "sample")
     texts = rows.select("doc_id", "text", "lang").join(broadcast_if_small(chosen, 64), ["doc_id", "lang"], "left_semi")
