@@ -13,16 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputatio.session import measure
+from disputatio.session import checkpointed, measure
 
 # Angles are taken from rounded cosines; rings are wider by this.
 SLACK = 1e-6
-# Rows of a slice: a ring of a ball, the unit of work.
+# Rows of a slice: a ring of a ball.
 SLICE_ROWS = 20_000
-TOPIC_ROWS = 2_000
+# The join: vectors of a block, topics that meet it in one task, numbers in either; topics that are worth a task, and those compared at once.
+BLOCK_ROWS = 60_000
+TOPIC_ROWS = 40_000
+BLOCK_CELLS = 4_000_000
+FEW_TOPICS = 2_000
+TOPICS_AT_ONCE = 128
 PIVOT_CELLS = 4_000_000
 
 INDEXED = "corpus_id long, ball int, slice long, angle double, vector array<double>"
@@ -126,62 +132,125 @@ def open_ball_index(spark: SparkSession, path: str) -> BallIndex:
     return BallIndex(spark.read.schema(INDEXED).parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/slices"), pivots)
 
 
+def _reach(threshold: float) -> float:
+    return math.acos(max(-1.0, min(1.0, threshold - 1e-9))) + SLACK
+
+
+def _slice_ranges(index: BallIndex) -> pa.Table:
+    """``ball, slice, n, low, high`` in order; their number is that of the balls and of ``SLICE_ROWS`` vectors each."""
+    return index.slices.orderBy("ball", "slice").toArrow().combine_chunks()
+
+
+def _meets(to: np.ndarray, ranges: tuple[np.ndarray, np.ndarray, np.ndarray], reach: float) -> np.ndarray:
+    """Per topic and slice whether the ring can hold a vector within reach; ``to`` has the angles to all pivots."""
+    ball, low, high = ranges
+    near = to[:, ball]
+    return (near - reach <= high) & (near + reach >= low)
+
+
+def _asked(topics: DataFrame) -> DataFrame:
+    rows = usable(topics, "vector").where(F.col("topic_id").isNotNull())
+    return rows.select(F.col("topic_id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
+
+
 def reachable(topics: DataFrame, index: BallIndex, threshold: float) -> DataFrame:
-    """``topic_id, vector, ball, slice`` for the slices that the triangle inequality leaves to each topic."""
-    reach = math.acos(max(-1.0, min(1.0, threshold - 1e-9))) + SLACK
-    # One row per pivot: the range of angles in its ball, which is tested before a topic becomes a row for it.
-    found = index.slices.groupBy("ball").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
-    low, high = np.full(len(index.pivots), np.inf), np.full(len(index.pivots), -np.inf)
-    low[found.column("ball").to_numpy()], high[found.column("ball").to_numpy()] = found.column("low").to_numpy(), found.column("high").to_numpy()
-    sent = topics.sparkSession.sparkContext.broadcast((index.pivots, low, high))
+    """``topic_id, ball, slice`` for the slices that the triangle inequality leaves to each topic."""
+    reach, found = _reach(threshold), _slice_ranges(index)
+    ranges = tuple(found.column(c).to_numpy() for c in ("ball", "low", "high"))
+    sent = topics.sparkSession.sparkContext.broadcast((index.pivots, ranges, found.column("slice").to_numpy()))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, low, high = sent.value
+        pivots, ranges, slices = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                to = angles(unit_rows(part.column(1)), pivots)
-                i, ball = np.nonzero((to - reach <= high) & (to + reach >= low))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(ball.astype(np.int32)), pa.array(to[i, ball])], ["topic_id", "ball", "f"])
+                i, s = np.nonzero(_meets(angles(unit_rows(part.column(1)), pivots), ranges, reach))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(ranges[0][s].astype(np.int32)), pa.array(slices[s])], ["topic_id", "ball", "slice"])
+
+    return _asked(topics).mapInArrow(near, "topic_id long, ball int, slice long")
 
-    rows = usable(topics, "vector").select(F.col("topic_id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
-    met = rows.mapInArrow(near, "topic_id long, ball int, f double")
-    met = met.join(index.slices.select("ball", "slice", "low", "high"), "ball").where((F.col("f") - reach <= F.col("high")) & (F.col("f") + reach >= F.col("low")))
-    return met.select("topic_id", "ball", "slice").join(rows, "topic_id")
 
+def _dealt(topics: DataFrame, index: BallIndex, ranges: tuple[np.ndarray, np.ndarray, np.ndarray], block: np.ndarray, reach: float) -> DataFrame:
+    """``id, home, vector, blocks``: each topic once, with its nearest ball and the blocks that hold a slice it can reach."""
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    sent = topics.sparkSession.sparkContext.broadcast((index.pivots, ranges, starts))
 
-def vector_threshold_join(topics: DataFrame, index: BallIndex, threshold: float, strict: bool = False, topic_rows: int = TOPIC_ROWS) -> DataFrame:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, ranges, starts = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                to = angles(unit_rows(part.column(1)), pivots)
+                i, b = np.nonzero(np.logical_or.reduceat(_meets(to, ranges, reach), starts, axis=1))
+                offsets = np.searchsorted(i, np.arange(part.num_rows + 1)).astype(np.int32)
+                blocks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(b.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(to.argmin(axis=1).astype(np.int32)), part.column(1), blocks], ["id", "home", "vector", "blocks"])
+
+    return _asked(topics).mapInArrow(near, "id long, home int, vector array<double>, blocks array<long>")
+
+
+def _near_pairs(asked: pa.Table, held: pa.Table, pivots: np.ndarray, threshold: float, strict: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a topic and a vector that reach the threshold, some topics of one ball at a time."""
+    reach = _reach(threshold)
+    held, asked = held.sort_by("ball").combine_chunks(), asked.sort_by("ball").combine_chunks()
+    balls, place = np.unique(held.column("ball").to_numpy(), return_inverse=True)
+    angle, others = held.column("angle").to_numpy(), held.column("id").combine_chunks()
+    b = unit_rows(held.column("vector").combine_chunks())
+    for at in range(0, asked.num_rows, TOPICS_AT_ONCE):
+        part = asked.slice(at, TOPICS_AT_ONCE).combine_chunks()
+        a = unit_rows(part.column("vector").combine_chunks())
+        to = angles(a, pivots[balls])
+        ring = np.flatnonzero((angle >= (to.min(axis=0) - reach)[place]) & (angle <= (to.max(axis=0) + reach)[place]))
+        sims = a @ (b if len(ring) == len(b) else b[ring]).T
+        i, j = np.nonzero(sims >= threshold - 1e-9)
+        exact = np.round(sims[i, j], 10)
+        fit = exact > threshold if strict else exact >= threshold
+        i, j, exact = i[fit], ring[j[fit]], exact[fit]
+        yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks().take(pa.array(i)), others.take(pa.array(j)), pa.array(exact)], ["topic_id", "corpus_id", "similarity"])
+
+
+def vector_threshold_join(
+    topics: DataFrame, index: BallIndex, threshold: float, strict: bool = False, topic_rows: int = TOPIC_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """All pairs of ``topics(topic_id, vector)`` and indexed vectors whose cosine reaches the threshold: ``topic_id, corpus_id, similarity``.
 
     The result is exact (cosines are compared at ten decimals, as in the other searches); no pair below the threshold becomes a
-    row. Topics meet the slices they can reach; a slice with more than ``topic_rows`` topics is worked on in several tasks. Number
-    of rows per task: ``SLICE_ROWS`` vectors and about ``topic_rows`` topics. Only the pivots and the ranges of their balls are broadcast, of which there is a
-    bounded number.
+    row. Slices that follow each other are put in blocks of about ``block_rows`` vectors. A topic goes once to each block that holds a
+    slice it can reach, however many of them; a block with more than ``topic_rows`` topics is worked on in several tasks, in which topics of
+    one ball are compared with the rings that they can reach. Where nothing can be pruned, a vector is therefore sent once per block and per
+    part of the topics, not once per ball. Long vectors make smaller blocks. Only the pivots and the ranges of the slices are broadcast.
 
-    Topic ids are unique. Vectors that are null, empty or hold null or non-finite components match nothing; a zero vector has
+    Topic ids are not null. Vectors that are null, empty or hold null or non-finite components match nothing; a zero vector has
     cosine 0 with everything.
     """
     schema = "topic_id long, corpus_id long, similarity double"
     spark = topics.sparkSession
     if not len(index.pivots):
         return spark.createDataFrame([], schema)
-    met = reachable(topics, index, threshold)
-    crowd = met.groupBy("ball", "slice").agg(F.ceil(F.count(F.lit(1)) / topic_rows).alias("parts"))
-    left = met.join(crowd, ["ball", "slice"]).withColumn("part", F.pmod(F.xxhash64("topic_id"), F.col("parts"))).drop("parts")
-    right = index.vectors.join(crowd, ["ball", "slice"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    empty = pa.schema([("topic_id", pa.int64()), ("corpus_id", pa.int64()), ("similarity", pa.float64())])
-
-    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or held.num_rows == 0:
-            return pa.Table.from_batches([], empty)
-        a, b = (unit_rows(t.column("vector").combine_chunks()) for t in (asked, held))
-        ids, others = (t.column(c).combine_chunks() for t, c in ((asked, "topic_id"), (held, "corpus_id")))
-        out = []
-        for at in range(0, len(a), 256):
-            sims = np.round(a[at : at + 256] @ b.T, 10)
-            i, j = np.nonzero(sims > threshold if strict else sims >= threshold)
-            out.append(pa.RecordBatch.from_arrays([ids.take(pa.array(at + i)), others.take(pa.array(j)), pa.array(sims[i, j])], schema=empty))
-        return pa.Table.from_batches(out)
-
-    keys = ["ball", "slice", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
+    most = max(1, BLOCK_CELLS // index.pivots.shape[1])
+    topic_rows, block_rows = min(topic_rows, most), min(block_rows, most)
+    found = _slice_ranges(index)
+    ranges = tuple(found.column(c).to_numpy() for c in ("ball", "low", "high"))
+    n = found.column("n").to_numpy()
+    block = np.unique((np.cumsum(n) - n) // block_rows, return_inverse=True)[1]
+    left = checkpointed(_dealt(topics, index, ranges, block, _reach(threshold)), "topics")
+    left = left.select("id", F.col("home").alias("ball"), F.lit(None).cast("double").alias("angle"), "vector", F.explode("blocks").alias("block"))
+    crowd = left.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    # Few blocks are cut finer, as far as that makes work for idle cores.
+    spare = max(1, spark.sparkContext.defaultParallelism // (int(block.max()) + 1))
+    crowd = F.broadcast(crowd.select("block", F.greatest(F.ceil(F.col("n") / topic_rows), F.least(F.lit(spare), F.ceil(F.col("n") / FEW_TOPICS))).alias("parts")))
+    left = left.join(crowd, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    placed = spark.createDataFrame(pa.table({"ball": found.column("ball"), "slice": found.column("slice"), "block": block.astype(np.int64)}))
+    right = index.vectors.join(F.broadcast(placed), ["ball", "slice"]).select(F.col("corpus_id").alias("id"), "ball", "angle", "vector", "block")
+    right = right.join(crowd, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    sent = spark.sparkContext.broadcast(index.pivots)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        is_topic = rows.column("is_topic")
+        asked, held = rows.filter(is_topic), rows.filter(pc.invert(is_topic))
+        if asked.num_rows and held.num_rows:
+            yield from _near_pairs(asked, held, sent.value, threshold, strict)
+
+    both = left.withColumn("is_topic", F.lit(True)).unionByName(right.withColumn("is_topic", F.lit(False)))
+    return both.groupBy("block", "part").applyInArrow(compare, schema)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from disputatio.operators.ball_index import build_ball_index, open_ball_index, reachable, vector_threshold_join
+from disputatio.operators.ball_index import _dealt, _reach, build_ball_index, open_ball_index, reachable, vector_threshold_join
 from disputatio.operators.similarity import approximate_cosine_join
 
 
@@ -77,3 +77,18 @@ def test_saved_index_is_read_back_and_hashing_finds_a_part(spark, tmp_path):
     near = pairs(approximate_cosine_join(topics, corpus, threshold=0.3))
     assert exact == plain(asked, rows, 0.3)
     assert near <= exact and len(near) >= 0.9 * len(exact)
+
+
+def test_topics_are_sent_once_per_block(spark, tmp_path):
+    """Where nothing can be pruned a vector still goes to a few blocks only, not to every ball."""
+    rows = np.random.default_rng(8).normal(size=(900, 12))
+    index = build_ball_index(frame(spark, rows, "corpus_id"), str(tmp_path / "index"), slice_rows=40)
+    asked = frame(spark, rows, "topic_id")
+    found = vector_threshold_join(asked, index, 0.6, topic_rows=300, block_rows=200)
+    assert pairs(found) == plain(rows, rows, 0.6)
+    assert found.count() == len(plain(rows, rows, 0.6))
+    found_slices = index.slices.orderBy("ball", "slice").toArrow()
+    ranges = tuple(found_slices.column(c).to_numpy() for c in ("ball", "low", "high"))
+    n = found_slices.column("n").to_numpy()
+    dealt = _dealt(asked, index, ranges, (np.cumsum(n) - n) // 200, _reach(0.6)).agg(F.sum(F.size("blocks"))).first()[0]
+    assert dealt <= 900 * 5 < reachable(asked, index, 0.6).count()
