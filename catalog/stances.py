@@ -232,8 +232,9 @@ def q_embed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of all sentences, components in millionths."""
     rows = checkpointed(explode_sentences(spread_table(spark, sf_dir, "documents"), ["doc_id"]), "sentences")
     found = embed_counted(rows, ["doc_id", "sent_id"], "sentence", count_documents(rows, "sentence"))
-    parts = F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
-    return found.select("doc_id", "sent_id", F.array_join(parts, ",").alias("vector"))
+    # Half away from zero, as ``round`` does, which would take every number through a decimal.
+    parts = F.transform("embedding", lambda x: (x * 1_000_000 + F.signum(x) * 0.5).cast("long"))
+    return found.select("doc_id", "sent_id", F.translate(F.to_json(parts), "[]", "").alias("vector"))
 
 
 def q_embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,30 @@
 """Models that are nothing but counts: a naive Bayes classifier and hashed word vectors. All of it is grouping and joining.
 
-Both join words with a table that has one row per word. Words of a row are counted before they meet it, so a word that
+Both join words with a table that has one row per word. The classifier counts words of a row before they meet it, so a word that
 stands in every text brings one row per text; the table is broadcast within a checked size, and a frequent word in a larger
-one is a skewed key that Spark splits at run time.
+one is a skewed key that Spark splits at run time. The vectors look up a bounded number of most frequent words in place, so only rare words move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from disputatio.functions.text import words
 from disputatio.operators.similarity import cosine_top_k, with_num_matches
 from disputatio.session import checkpointed
 
 SMALL_ROWS = 200_000
+FREQUENT_WORDS = 200_000
 DIMENSIONS = 64
 
 
@@ -92,6 +98,11 @@ class WordWeights:
     table: DataFrame
     rows: int
 
+    @cached_property
+    def frequent(self) -> pa.Table:
+        """The ``FREQUENT_WORDS`` words that stand in most rows."""
+        return self.table.orderBy(F.col("df").desc(), "word").limit(FREQUENT_WORDS).toArrow().combine_chunks()
+
 
 def count_documents(corpus: DataFrame, text: str) -> WordWeights:
     counts = corpus.select(F.explode(F.array_distinct(words(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -106,21 +117,74 @@ def sign(word: Column) -> Column:
     return F.when(F.substring(F.md5(word), 8, 1) < "8", 1.0).otherwise(-1.0)
 
 
+def _component(word: str, dimensions: int) -> tuple[int, float]:
+    """``bucket`` and ``sign`` of a word, as plain values."""
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:7], 16) % dimensions, 1.0 if digest[7] < "8" else -1.0
+
+
+def _schema(fields: Sequence[T.StructField], more: str) -> T.StructType:
+    return T.StructType([*fields, *T.StructType.fromDDL(more).fields])
+
+
 def embed_counted(df: DataFrame, key: Sequence[str], text: str, weights: WordWeights, dimensions: int = DIMENSIONS, output: str = "embedding") -> DataFrame:
     """The key and a unit vector: each word adds its count times its inverse document frequency, with a sign, to one component.
 
     Component and sign come from the word's MD5, so the vectors need no model file and other engines can make the same. A row without
     words, or whose words cancel out, has a zero vector. Words that no document of the collection holds get the highest weight. Rows are told apart by their key.
+
+    The ``FREQUENT_WORDS`` words of most rows are broadcast and looked up in the row's batch; only the other words of a row, each with few
+    occurrences, meet the table by a join. A row moves once, as its components.
     """
-    met = word_counts(df, key, text).join(weights.table, "word", "left")
-    value = F.col("tf") * sign(F.col("word")) * F.log(F.lit(weights.rows + 1.0) / (F.coalesce("df", F.lit(0)) + 1))
-    # A row has at most as many words as its text holds, so its components are put together on the row.
-    cells = met.groupBy(*key).agg(F.collect_list(F.when(F.col("word").isNotNull(), F.struct(F.col("word").alias("w"), bucket(F.col("word"), dimensions).alias("d"), value.alias("v")))).alias("_c"))
-    at = lambda d: F.aggregate(F.filter("_cells", lambda c: c["d"] == d), F.lit(0.0), lambda acc, c: acc + c["v"])
-    raw = cells.withColumn("_cells", F.sort_array("_c")).withColumn("_raw", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), at))
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x * x))
-    # A norm that is only what rounding left over is none.
-    return raw.withColumn("_norm", norm).select(*key, F.transform("_raw", lambda x: F.when(F.col("_norm") < 1e-9, 0.0).otherwise(x / F.col("_norm"))).alias(output))
+    spark, first, places = df.sparkSession, weights.frequent, len(key)
+    names = first.column("word").to_pylist()
+    marks = [_component(w, dimensions) for w in names]
+    value = np.array([m[1] for m in marks]) * np.log((weights.rows + 1.0) / (first.column("df").to_numpy() + 1.0))
+    sent = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, np.array([m[0] for m in marks], dtype=np.int64), value))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, component, value = sent.value
+        for batch in batches:
+            lists = batch.column(places)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            coded = lists.flatten().dictionary_encode()
+            of = np.array([place.get(w, -1) for w in coded.dictionary.to_numpy(zero_copy_only=False)], dtype=np.int64)
+            word = of[coded.indices.to_numpy(zero_copy_only=False)] if len(of) else np.empty(0, dtype=np.int64)
+            known = word >= 0
+            at = row[known] * dimensions + component[word[known]]
+            sums = np.bincount(at, weights=value[word[known]], minlength=batch.num_rows * dimensions)
+            full = np.flatnonzero(np.bincount(at, minlength=batch.num_rows * dimensions))
+            ends = np.searchsorted(full, np.arange(batch.num_rows + 1) * dimensions).astype(np.int32)
+            rare_ends = np.searchsorted(row[~known], np.arange(batch.num_rows + 1)).astype(np.int32)
+            rare = coded.filter(pa.array(~known)).dictionary_decode()
+            d, v, r = (pa.array((full % dimensions).astype(np.int32)), pa.array(sums[full]), rare.cast(pa.string()))
+            out = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (d, v)] + [pa.ListArray.from_arrays(pa.array(rare_ends), r)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:places], *out], [*key, "_d", "_v", "_rare"])
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column(places)
+            at = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False)) * dimensions + lists.flatten().to_numpy(zero_copy_only=False)
+            v = batch.column(places + 1).flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((v, at))  # one order of addition, however the rows came together
+            raw = np.bincount(at[order], weights=v[order], minlength=n * dimensions).reshape(n, dimensions)
+            norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+            # A norm that is only what rounding left over is none.
+            unit = np.where(norm < 1e-9, 0.0, raw / np.where(norm < 1e-9, 1.0, norm))
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dimensions + 1, dimensions, dtype=np.int32)), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:places], vectors], [*key, output])
+
+    rows = df.select(*key, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
+    kept = [f for f in rows.schema.fields if f.name != "_w"]
+    packed = rows.mapInArrow(cells, _schema(kept, "_d array<int>, _v array<double>, _rare array<string>"))
+    packed = checkpointed(packed, "cells")
+    rare = packed.select(*key, F.explode("_rare").alias("word")).join(weights.table, "word", "left")
+    rare = rare.select(
+        *key, F.array(bucket(F.col("word"), dimensions)).alias("_d"), F.array(sign(F.col("word")) * F.log(F.lit(weights.rows + 1.0) / (F.coalesce("df", F.lit(0)) + 1))).alias("_v")
+    )
+    both = packed.select(*key, "_d", "_v").unionByName(rare).groupBy(*key).agg(F.collect_list(F.struct("_d", "_v")).alias("_c"))
+    both = both.select(*key, F.flatten(F.transform("_c", lambda c: c["_d"])).alias("_d"), F.flatten(F.transform("_c", lambda c: c["_v"])).alias("_v"))
+    return both.mapInArrow(dense, _schema(kept, f"`{output}` array<double>"))
 
 
 def vector_search(topics: DataFrame, collection: DataFrame, key: Sequence[str], number: str, vector: str, weights: WordWeights, threshold: float, k: int, strict: bool = False) -> DataFrame:

@@ -108,3 +108,20 @@ def test_vector_search_ranks_by_cosine(spark):
         kept = [k for s, k in sims if -s >= 0.3][:5]
         want |= {(text, k, n, len(kept)) for n, k in enumerate(kept)}
     assert got == want
+
+
+def test_rare_words_and_keys_that_repeat(spark, monkeypatch):
+    """Words beyond the broadcast ones meet the table by a join, and nothing else moves by word; rows of one key are one row."""
+    corpus = [*texts(6, 60), (700, None, None)]
+    monkeypatch.setattr("disputatio.operators.counted.FREQUENT_WORDS", 3)
+    weights = count_documents(frame(spark, corpus), "text")
+    assert weights.frequent.num_rows == 3
+    rows = [*corpus[:20], corpus[0], (700, None, None), (702, "quite unknown law", None), (None, "law", None)]
+    got = embed_counted(frame(spark, rows), ["id"], "text", weights, 8)
+    merged = {}
+    for key, text, _ in rows:
+        merged[key] = f"{merged.get(key, '')} {text or ''}"
+    want = plain_vectors([(k, t, None) for k, t in merged.items()], corpus, 8)
+    found = {r.id: r.embedding for r in got.collect()}
+    assert found.keys() == want.keys() and got.count() == len(want)
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(found[k], want[k], strict=True))
