@@ -220,7 +220,7 @@ def vector_threshold_join(
     one ball are compared with the rings that they can reach. Where nothing can be pruned, a vector is therefore sent once per block and per
     part of the topics, not once per ball. Long vectors make smaller blocks. Only the pivots and the ranges of the slices are broadcast.
 
-    Topic ids are not null. Vectors that are null, empty or hold null or non-finite components match nothing; a zero vector has
+    Topic ids are unique and not null. Vectors that are null, empty or hold null or non-finite components match nothing; a zero vector has
     cosine 0 with everything.
     """
     schema = "topic_id long, corpus_id long, similarity double"
@@ -233,7 +233,8 @@ def vector_threshold_join(
     ranges = tuple(found.column(c).to_numpy() for c in ("ball", "low", "high"))
     n = found.column("n").to_numpy()
     block = np.unique((np.cumsum(n) - n) // block_rows, return_inverse=True)[1]
-    left = checkpointed(_dealt(topics, index, ranges, block, _reach(threshold)), "topics")
+    dealt = _dealt(topics, index, ranges, block, _reach(threshold)).drop("vector")
+    left = checkpointed(dealt.join(_asked(topics).withColumnRenamed("topic_id", "id"), "id"), "topics")
     left = left.select("id", F.col("home").alias("ball"), F.lit(None).cast("double").alias("angle"), "vector", F.explode("blocks").alias("block"))
     crowd = left.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     # Few blocks are cut finer, as far as that makes work for idle cores.
