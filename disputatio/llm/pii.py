@@ -99,6 +99,9 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+# Places a feature may be split at: more than any has values. The library looks for them in all of the rows up to its square.
+SPLITS = 1024
+
 FEATURES = ("kind", "last_group", "group_before", "letters", "space_before", "space_after", "letters_before", "letters_after", "digits_near")
 
 
@@ -155,20 +158,20 @@ class SpanModel:
 
 def _tests(node):
     if node.getClass().getSimpleName() == "LeafNode":
-        return node.prediction()
+        return round(node.prediction(), 9)  # sums of weights may be added in another order
     split = node.split()
     return (split.featureIndex(), split.threshold(), _tests(node.leftChild()), _tests(node.rightChild()))
 
 
-def train_span_model(docs: DataFrame, text: str = "text", sample: int = 20_000, trees: int = 8, depth: int = 4, precision: float = 0.95, support: int = 20) -> SpanModel:
-    """Boosted trees on a bounded sample of candidates, those of smallest hash.
+def train_span_model(docs: DataFrame, text: str = "text", trees: int = 8, depth: int = 4, precision: float = 0.95, support: int = 20) -> SpanModel:
+    """Boosted trees on all candidates, counted by their features: equal ones are one row with a weight.
 
     A candidate is positive if it overlaps a base span of its kind. Trees see its ending and context only (``features``), in
     calibration, too; so they give the share of base spans among candidates that look alike, and what is added stands where
     nearly all look-alikes are base spans. Look-alikes outside the base formats count as wrong, true or not; where they are
-    more than ``precision`` allows, none is added. The precision of added spans alone is not known without labels. Two thirds of the sample grow the trees; on the rest, per kind, the smallest
+    more than ``precision`` allows, none is added. The precision of added spans alone is not known without labels. Two thirds of the candidates grow the trees; on the rest, per kind, the smallest
     probability is sought from which at least ``precision`` of ``support`` or more candidates are positive. Kinds without one
-    are left to the base formats; so is everything if the sample lacks positives or negatives.
+    are left to the base formats; so is everything if those two thirds lack positives or negatives.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
@@ -178,15 +181,17 @@ def train_span_model(docs: DataFrame, text: str = "text", sample: int = 20_000,
     rows = rows.select(F.concat(*base_spans(F.col("t")).values()).alias("base"), F.explode(candidates(F.col("t"))).alias("x"))
     label = F.when(_overlaps(F.col("x"), F.col("base"), True), 1.0).otherwise(0.0)
     order = F.xxhash64("x.match", "x.left", "x.right", "x.kind", "x.start")
-    rows = rows.select(order.alias("h"), F.col("x.kind").alias("kind"), label.alias("label"), F.array(*features(F.col("x"))).alias("f"))
-    rows = saved(rows.orderBy("h", "kind", "label").limit(sample), "candidates")
-    grow = F.pmod("h", F.lit(3)) > 0
-    if rows.where(grow).select("label").distinct().count() < 2:
+    grow = F.pmod(order, F.lit(3)) > 0
+    rows = rows.select(grow.alias("grow"), F.col("x.kind").alias("kind"), label.alias("label"), F.array(*features(F.col("x"))).alias("f"))
+    # Written before they are grouped, as the features would else be computed anew for each use.
+    rows = saved(rows, "found").groupBy("grow", "kind", "label", "f").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = saved(rows, "candidates")
+    if rows.where("grow").select("label").distinct().count() < 2:
         return SpanModel()
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="v").fit(rows.where(grow).orderBy("h").coalesce(1).withColumn("v", array_to_vector("f")))
-    out = SpanModel([(float(w), _tests(x._call_java("rootNode"))) for w, x in zip(model.treeWeights, model.trees)])
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="v", weightCol="n", maxBins=SPLITS).fit(rows.where("grow").withColumn("v", array_to_vector("f")))
+    out = SpanModel([(round(float(w), 9), _tests(x._call_java("rootNode"))) for w, x in zip(model.treeWeights, model.trees)])
     share = F.floor(out.probability([F.get("f", F.lit(i)) for i in range(len(FEATURES))]) * 100) / 100
-    counts = rows.where(~grow).groupBy("kind", share.alias("p")).agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n")).collect()
+    counts = rows.where(~F.col("grow")).groupBy("kind", share.alias("p")).agg(F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("n").alias("n")).collect()
     for kind in KINDS:
         hits = n = 0
         for p, h, m in sorted(((r.p, r.hits, r.n) for r in counts if r.kind == kind), reverse=True):

@@ -108,3 +108,16 @@ def test_national_phones_among_international_ones_are_added(spark, frame):
     for i, text in rows:
         added = [text[s.start : s.end] for s in got[i].spans if s not in got[i].base]
         assert added == ([f"({300 + i - 5000}) 555-{2000 + i - 5000}"] if i >= 5000 else [])
+
+
+def test_every_candidate_counts(spark, frame, monkeypatch):
+    """Trees and thresholds come from all candidates; equal ones are one row with a weight."""
+    from disputatio.llm import pii
+
+    rows = [(i, " and ".join(f"call +1 ({200 + i}) 555-{1000 + j} now" for j in range(10))) for i in range(60)]
+    kept, save = [], pii.saved
+    monkeypatch.setattr(pii, "saved", lambda df, label: kept.append(save(df, label)) or kept[-1])
+    model = train_span_model(frame(rows, "doc_id long, text string"), precision=0.9)
+    assert "phone" not in model.thresholds or model.trees
+    held = kept[-1].where("kind = 'phone'").agg(F.sum("n")).first()[0]
+    assert held == 60 * 10 and kept[-1].count() < 100
