@@ -58,6 +58,19 @@ def test_text_search_equals_brute_force(spark, threshold, bound, strict):
     assert "body" in got.columns
 
 
+def test_a_search_with_few_topics_copies_no_sentence(spark):
+    """Sentences meet the topics in their own batches: no row per word, no join, and the same hits as by the join."""
+    topics = sorted(set(texts(40, 5) + ["ärger the of", "unknown words"]))
+    corpus = [*texts(300, 6, copies=25), None, "", "1 2 3", "ÄRGER the The of", "the of a nowhere known"]
+    t = spark.createDataFrame([(x,) for x in topics], "topic string")
+    c = spark.createDataFrame([(i % 200 if i % 9 else None, x, [i]) for i, x in enumerate(corpus)], "id int, body string, more array<int>").repartition(3)
+    got = text_top_k(t, c, topic="topic", corpus_key=["id"], corpus_text="body", threshold=0.3, k=10**6, two_level=False)
+    want = text_matches(t, c, topic="topic", corpus_text="body", threshold=0.3)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_text_matches_has_no_cut(spark):
     topics, corpus = sorted(set(texts(5, 3))), texts(30, 4)
     t = spark.createDataFrame([(x,) for x in topics], "topic string")
