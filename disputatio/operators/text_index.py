@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputatio.functions.text import token_set
+from disputatio.functions.text import WORD, words
 from disputatio.operators.ranking import top_k_per_group
 from disputatio.operators.similarity import BROADCAST_BYTES, SEARCH_DEPTH, SLACK, above, overlap_similarity, signature, with_num_matches
 from disputatio.session import checkpointed, measure
@@ -34,22 +34,25 @@ class TextIndex:
 
 def common_words(corpus: DataFrame, text: str) -> list[list[str]]:
     """Words by document frequency, in tiers; all others are rare."""
-    sets = corpus.select(F.explode(token_set(F.col(text))).alias("token"))
-    rows = corpus.count()
-    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * TIERS[0] > rows).collect()
+    # A null stands for the sentence itself, so one pass counts both.
+    found = F.coalesce(F.array_distinct(words(F.col(text))), F.array().cast("array<string>"))
+    tokens = corpus.select(F.explode(F.array_append(found, F.lit(None).cast("string"))).alias("token"))
+    counts = checkpointed(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "word_counts")
+    rows = measure(counts.where("token IS NULL"), F.coalesce(F.sum("df"), F.lit(0)).alias("n"))["n"]
+    counts = counts.where(F.col("token").isNotNull() & (F.col("df") * TIERS[0] > rows)).collect()
     return [sorted(r.token for r in counts if r.df * t > rows and (n + 1 == len(TIERS) or r.df * TIERS[n + 1] <= rows)) for n, t in enumerate(TIERS)]
 
 
 def rare_first(text: Column, tiers: Sequence[Sequence[str]]) -> Column:
-    """Distinct words of a text, rare ones first. The order is one for all texts and stays as it is when the index grows."""
+    """Distinct words of a text, rare ones first, within a tier longest first. The order is one for all texts and stays as it is when the index grows."""
 
     def tier(w: Column) -> Column:
         out = F.lit(0)
-        for n, words in enumerate(tiers):
-            out = F.when(w.isin(list(words)), n + 1).otherwise(out) if words else out
+        for n, listed in enumerate(tiers):
+            out = F.when(w.isin(list(listed)), n + 1).otherwise(out) if listed else out
         return out
 
-    keyed = F.transform(token_set(text), lambda w, i: F.struct(tier(w).alias("tier"), i.alias("i"), w.alias("w")))
+    keyed = F.transform(F.array_distinct(words(text)), lambda w: F.struct(tier(w).alias("tier"), (-F.length(w)).alias("l"), w.alias("w")))
     return F.coalesce(F.transform(F.sort_array(keyed), lambda x: x["w"]), F.array().cast("array<string>"))
 
 
@@ -58,7 +61,9 @@ def _prefix_size(size: Column, threshold: float) -> Column:
 
 
 def _rows(corpus: DataFrame, key: Sequence[str], text: str, least: float, tiers: Sequence[Sequence[str]]) -> tuple[DataFrame, DataFrame]:
-    sets = corpus.select(*key, rare_first(F.col(text), tiers).alias("tokens")).where(F.size("tokens") > 0)
+    # The test on the text stands for one on the set, which Spark would compute once more for it.
+    with_words = corpus.where(F.lower(F.col(text)).rlike(WORD))
+    sets = with_words.select(*key, rare_first(F.col(text), tiers).alias("tokens"))
     sets = checkpointed(sets.withColumns({"size": F.size("tokens"), "bits": signature(F.col("tokens"))}), "sets")
     leading = F.slice("tokens", 1, _prefix_size(F.col("size"), least))
     return sets, sets.select(*key, "size", "bits", F.posexplode_outer(leading).alias("place", "token"))
@@ -111,10 +116,11 @@ def indexed_top_k(
     if threshold < index.least - SLACK:
         raise ValueError(f"the index was built for thresholds from {index.least}")
     asked = topics.select(F.col(topic), rare_first(F.col(topic), index.tiers).alias("_t")).where(F.size("_t") > 0)
-    asked = checkpointed(asked.withColumns({"_n": F.size("_t"), "_bits": signature(F.col("_t"))}), "topics")
+    # Pairs are grouped by a topic's number, written with it, and not by its text.
+    asked = checkpointed(asked.withColumns({"_n": F.size("_t"), "_bits": signature(F.col("_t")), "_topic": F.monotonically_increasing_id()}), "topics")
     weight = _prefix_size(F.col("_n"), threshold).cast("long") * (F.octet_length(topic) + 64)
     total = measure(asked, F.coalesce(F.sum(weight), F.lit(0)).alias("n"))["n"]
-    wanted = asked.select(topic, "_n", "_bits", F.posexplode_outer(F.slice("_t", 1, _prefix_size(F.col("_n"), threshold))).alias("_at", "token"))
+    wanted = asked.select("_topic", "_n", "_bits", F.posexplode_outer(F.slice("_t", 1, _prefix_size(F.col("_n"), threshold))).alias("_at", "token"))
     leading = index.postings.where(F.col("place") < _prefix_size(F.col("size"), threshold))
     met = leading.join(F.broadcast(wanted) if total <= broadcast_bytes else wanted, "token")
     n, m = F.col("size"), F.col("_n")
@@ -124,8 +130,8 @@ def indexed_top_k(
     # At the first word they share, no earlier one is common; at later ones the bound is only weaker for a pair that passed before.
     possible = (m >= n * threshold - SLACK) & (n >= m * threshold - SLACK) & (n - only_n >= needed) & (m - only_m >= needed)
     first = F.least(n - F.min("place"), m - F.min("_at")) >= needed
-    pairs = met.where(possible).groupBy(topic, *index.key, "size", "_n").agg(first.alias("_near")).where("_near").select(topic, *index.key)
-    found = pairs.join(index.sets.select(*index.key, "tokens"), index.key).join(asked.select(topic, "_t"), topic)
+    pairs = met.where(possible).groupBy("_topic", *index.key, "size", "_n").agg(first.alias("_near")).where("_near").select("_topic", *index.key)
+    found = pairs.join(index.sets.select(*index.key, "tokens"), index.key).join(asked.select("_topic", topic, "_t"), "_topic")
     similarity = overlap_similarity(F.col("tokens"), F.col("_t"))
     hits = found.withColumn("similarity", similarity).where(above(F.col("similarity"), threshold, strict)).select(topic, *index.key, "similarity")
     best = [F.col("similarity").desc(), *[F.col(c) for c in index.key]]

@@ -75,6 +75,29 @@ def test_a_search_reads_no_text_and_does_not_move_the_postings(spark, tmp_path):
     assert "BroadcastHashJoin" in above[join] and not any("Exchange hashpartitioning" in line for line in above[:join])
 
 
+def test_the_corpus_is_read_once_for_its_common_words(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(_):
+        calls.add(1)
+        return True
+
+    rows = [(f"the w{chr(97 + i % 26)}",) for i in range(200)] + [(None,), ("",)]
+    corpus = spark.createDataFrame(rows, "text string").where(F.udf(seen, "boolean")("text"))
+    tiers = common_words(corpus, "text")
+    assert tiers[2] == ["the"] and len(tiers[1]) == 26 and not tiers[0]
+    assert calls.value == len(rows)
+
+
+def test_pairs_move_under_the_number_of_their_topic(spark, tmp_path):
+    corpus = spark.createDataFrame(sentences(5, 100), "id long, text string")
+    index = build_text_index(corpus, ["id"], "text", name(), str(tmp_path / "index"), buckets=4)
+    topics = spark.createDataFrame([("the new forest law",)], "topic string")
+    plan = indexed_top_k(topics, index, topic="topic", threshold=0.3)._jdf.queryExecution().executedPlan().toString()
+    grouped = next(line for line in plan.splitlines()[::-1] if "Aggregate(keys=[" in line and "id#" in line)
+    assert "topic#" not in grouped.replace("_topic#", "")
+
+
 def test_the_bound_on_thresholds_and_the_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "id long, text string")
     index = build_text_index(empty, ["id"], "text", name(), str(tmp_path / "index"), buckets=2)
