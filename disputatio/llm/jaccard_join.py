@@ -107,7 +107,7 @@ def allocate(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``need`` units, the largest allowed difference and one: one unit for looking up a segment as it is, a second one
     for looking it up with one token more or less. A segment with a single token (``lone``) sells one unit only: without that
     token it is empty and has no key. If no lookup finds a set, the two differ by at least as many
-    tokens as units were bought. Units are bought by cost, which is the number of rows a lookup meets; those that meet none are free.
+    tokens as units were bought. Units are bought by cost, which is the number of rows a lookup meets, and no more than needed; those that meet none are free.
     ``ask`` is 0, 1 or 2 units for the row's segment; ``rank`` orders sets by the units they got for free. A set that a hash
     left with fewer units on sale than it needs (all its tokens in very few segments) meets, under a key of its own, every set that sizes and bitmaps allow.
     """
@@ -123,20 +123,25 @@ def allocate(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.sum(F.when(plain, F.col("n1")).otherwise(F.col("n0"))).alias("near"),
         F.max("lone").alias("lone"),
     )
-    # No second unit is null, which no comparison below takes for bought.
-    costs = costs.withColumn("near", F.when(~F.col("lone"), F.greatest("same", "near"))).drop("lone")
-    units = F.sort_array(F.filter(F.flatten(F.collect_list(F.array("same", "near"))), lambda x: x.isNotNull()))
+    # A unit is one number, so that units sort by cost, then segment, then first and second; a segment's second unit never comes before
+    # its first. Without a second one it is null.
+    unit = lambda cost, second: F.shiftleft(cost.cast("long"), 32) + F.col("seg").cast("long") * 2 + second
+    costs = costs.withColumn("same_unit", unit(F.col("same"), 0)).withColumn("near_unit", F.when(~F.col("lone"), unit(F.greatest("same", "near"), 1)))
+    units = F.sort_array(F.filter(F.flatten(F.collect_list(F.array("same_unit", "near_unit"))), lambda x: x.isNotNull()))
     priced = costs.groupBy("item", "band").agg(F.max("need").alias("need"), units.alias("units"))
+    # Just the units needed are bought, the cheapest; of equal cost those of the first segments, which sets alike choose alike.
+    paid = F.filter(F.slice("units", 1, F.col("need")), lambda x: x >= 2**32)
+    priced = priced.select("item", "band", paid.alias("paid"), F.size(F.filter("units", lambda x: x < 2**32)).alias("rank"), (F.size("units") < F.col("need")).alias("short"))
     # A set that gets all its units for free has no partner and takes no further part.
-    priced = priced.select("item", "band", F.element_at("units", F.least("need", F.size("units"))).alias("price"), F.size(F.filter("units", lambda x: x == 0)).alias("rank"), (F.size("units") < F.col("need")).alias("short"))
-    priced = saved(priced.where("price > 0 OR short"), "priced")
-    # Whatever costs no more than the dearest unit needed is bought.
-    worth = "(same > 0 AND same <= price) OR (near > 0 AND near <= price)"
-    asks = costs.join(priced, ["item", "band"]).where(worth).select("item", "band", "seg", F.when(F.col("near") <= F.col("price"), 2).otherwise(1).alias("ask"))
-    asks = saved(asks, "asks")
+    priced = saved(priced.where("size(paid) > 0 OR short"), "priced")
+    place = lambda x: F.shiftright(x.bitwiseAND(2**32 - 1), 1).cast("int")
+    second = F.transform(F.filter("paid", lambda x: x % 2 == 1), place)
+    single = F.array_except(F.transform(F.filter("paid", lambda x: x % 2 == 0), place), second)
+    asks = F.concat(F.transform(single, lambda x: F.struct(x.alias("seg"), F.lit(1).alias("ask"))), F.transform(second, lambda x: F.struct(x.alias("seg"), F.lit(2).alias("ask"))))
+    asks = saved(priced.select("item", "band", F.inline(asks)), "asks")
     seen = counted.join(asks, ["item", "band", "seg"]).where((F.col("n0") + F.col("n1") > 1) & ((F.col("kind") == 0) | (F.col("ask") == 2)))
     wanted = saved(seen.select("key").distinct(), "wanted")
-    members = counted.join(wanted, "key").join(priced.drop("price", "short"), ["item", "band"]).join(asks, ["item", "band", "seg"], "left")
+    members = counted.join(wanted, "key").join(priced.drop("paid", "short"), ["item", "band"]).join(asks, ["item", "band", "seg"], "left")
     members = members.select("key", "item", "kind", F.coalesce("ask", F.lit(0)).alias("ask"), "rank")
     short = priced.where("short").select("item").distinct()
     if short.isEmpty():
@@ -256,7 +261,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = saved(allocate(near, sets, percent), "members")
     same = (F.col("x.kind") == 0) & (F.col("y.kind") == 0) & (F.greatest("x.ask", "y.ask") >= 1)
     off_by_one = (F.col("x.kind") != F.col("y.kind")) & (F.greatest("x.ask", "y.ask") == 2)
-    parts = linked_sets(members, sets, percent, same | off_by_one)
+    parts = linked_sets(members, sets, percent, same | off_by_one, (F.col("kind") == 0) & (F.col("ask") >= 1), F.col("kind") == 0)
 
     names = sets.select("item", "id")
     through = parts.join(names.toDF("node", "id"), "node").select("id", F.col("component").alias("set"))

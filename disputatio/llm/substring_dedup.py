@@ -179,7 +179,7 @@ def _passages(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
 
     sets = texts.join(broadcast_if_small(places, 100), "print").select("text", "wanted")
     sets = saved(sets.mapInArrow(gather, "item long, n long, tokens binary, " + ", ".join(f"{w} long" for w in BITS)), "sets")
-    parts = broadcast_if_small(saved(linked_sets(members, sets, percent, F.lit(True)).withColumnRenamed("node", "item"), "parts"), 24)
+    parts = broadcast_if_small(saved(linked_sets(members, sets, percent, F.lit(True), F.lit(True), F.lit(False)).withColumnRenamed("node", "item"), "parts"), 24)
 
     again = fine.join(shared, "item").withColumn("class", F.struct(F.lit(0).alias("scale"), "item")).drop("item")
     again = again.unionByName(coarse.join(parts, "item").withColumn("class", F.struct(F.lit(1).alias("scale"), F.col("component").alias("item"))).drop("item", "component"))

@@ -5,9 +5,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from disputatio.llm.components import connected_components
-from disputatio.llm.jaccard_join import COARSE, Bands, jaccard_components, segment_rows
+from disputatio.llm.group_links import BITS, LOWEST, meetings
+from disputatio.llm.jaccard_join import COARSE, Bands, allocate, jaccard_components, segment_rows
 from disputatio.llm.shingles import Words, bitmap
 
 DOCS = "doc_id long, text string"
@@ -172,3 +174,40 @@ def test_sets_in_too_few_segments(spark, frame, percent, size, sizes):
     """Sets with fewer segments than they need may share none; at 50 % some lack units in the fine round, too."""
     rows = without_shared_coarse_segment(random.Random(8), percent, size, sizes, 20)
     assert got_rows(jaccard_components(frame(rows, DOCS), size=size, percent=percent)) == brute(rows, percent, size)
+
+
+def test_no_more_units_than_needed(spark):
+    """Sets that share all segments find every unit at the same price, and still buy only what they need."""
+    rows = [(100 + seg, item, 0, seg, 0, 3, True) for item in range(6) for seg in range(8)]
+    # One more set has a segment that nobody shares, a free unit.
+    rows += [(100 + seg if seg else 99, 6, 0, seg, 0, 3, True) for seg in range(8)]
+    rows = spark.createDataFrame(rows, "key long, item long, band int, seg int, kind int, need int, lone boolean")
+    sets = spark.createDataFrame([], "item long, n long, " + ", ".join(f"{w} long" for w in BITS))
+    members = allocate(rows, sets, 80).groupBy("item").agg(F.sum("ask").alias("asked"), F.max("rank").alias("rank")).collect()
+    assert {r.item: (r.asked, r.rank) for r in members} == {**{i: (3, 0) for i in range(6)}, 6: (2, 1)}
+
+
+def test_second_units_go_with_the_first(spark):
+    """A segment looked up with one token more or less is asked for once, for both units."""
+    rows = [(10 * seg + kind, item, 0, seg, kind, 3, False) for item in range(4) for seg in range(5) for kind in (0, 1)]
+    # A segment without one of its tokens is another's segment as it is.
+    rows += [(10 * seg + 1, 9, 0, 5 + seg, 0, 3, False) for seg in range(5)]
+    rows = spark.createDataFrame(rows, "key long, item long, band int, seg int, kind int, need int, lone boolean")
+    sets = spark.createDataFrame([], "item long, n long, " + ", ".join(f"{w} long" for w in BITS))
+    asked = allocate(rows, sets, 80).where("kind = 0").groupBy("item").agg(F.sum("ask").alias("asked")).collect()
+    assert {r.item: r.asked for r in asked if r.item < 4} == dict.fromkeys(range(4), 3)
+
+
+def test_pairs_with_many_keys_meet_once(spark):
+    """Pairs of unlike parts are formed at one of the keys that a side asks for, and at all where none of the smallest is common."""
+    keys = {1: range(60), 2: range(60), 3: range(10, 60), 4: range(100, 100 + 2 * LOWEST), 5: range(99 + 2 * LOWEST, 160), 6: range(0, 60, 7), 7: range(60)}
+    ask = {6: 0}
+    part = {7: 1}
+    rows = [(k, i, 0, ask.get(i, 1), 50, 0, 0, 0, 0, part.get(i, i)) for i, some in keys.items() for k in some]
+    rest = spark.createDataFrame(rows, "key long, item long, kind int, ask int, n long, " + ", ".join(f"{w} long" for w in BITS) + ", part long")
+    allowed = (F.col("x.kind") == 0) & (F.col("y.kind") == 0) & (F.greatest("x.ask", "y.ask") >= 1)
+    got = [(r.a, r.b) for r in meetings(rest, 80, allowed, (F.col("kind") == 0) & (F.col("ask") >= 1), F.col("kind") == 0).collect()]
+    want = {(i, j) for i in keys for j in keys if i < j and set(keys[i]) & set(keys[j]) and part.get(i, i) != part.get(j, j)}
+    assert set(got) == want
+    assert all(got.count(p) == 1 for p in want)
+    assert (4, 5) in want
