@@ -14,7 +14,7 @@ from disputatio.operators.generation import batch_generate, rewrite_sentences
 from disputatio.operators.ml import embed_hashed, embed_with, predict, train_stance_classifier
 from disputatio.operators.ranking import top_k_per_group
 from disputatio.operators.stance import CueRule, stance_from_generation
-from disputatio.plans.mining import MiningOptions, build_collection, find_arguments, mine_corpus, prepare_topics, search, stop_early
+from disputatio.plans.mining import MiningOptions, build_collection, find_arguments, mine_corpus, prepare_topics, read_hits, search, stop_early
 from disputatio.session import checkpointed, work_dir
 from disputatio.streaming.incremental import ProgressListener, cancel, observed, start_append, stream_matches, stream_table
 from disputatio.streaming.stateful import start_early_stop
@@ -251,6 +251,21 @@ def test_cancel(spark):
     assert not query.isActive and spark.read.parquet(f"{folder}/out").count() == 3
 
 
+def test_hits_beyond_the_stop_bring_no_texts(spark):
+    topics, collection = inputs(spark, [(1, "The new forest law. The new forest law."), (2, "Bread is good.")])
+    key, neutral = ["doc_id", "sent_id"], MiningOptions(similarity_threshold=0.1, stance=CueRule({"en": ["nobodysays"]}, {"en": ["nobodysays"]}), cues=CUES)
+    found = lambda asked: search(asked, collection.select(*key, "new_sentence"), key, neutral, 1000, False).drop("new_sentence")
+    slim = read_hits(topics, collection, key, "source", neutral, found)
+    per_topic = Counter(r.topic_rewritten for r in slim.collect())
+    assert per_topic == {"The new forest law.": 3, "Bread is good.": 2} and found(topics.select("topic_rewritten").distinct()).count() == 9
+    assert "SortMergeJoin" not in plan(slim) and "LeftSemi" in plan(slim)
+    for options in (neutral, OPTIONS, MiningOptions(similarity_threshold=0.1, stance=CUES, cues=CUES, sources=("s2",), neutral_limit=1)):
+        some = lambda asked, o=options: search(asked, collection.select(*key, "new_sentence"), key, o, 1000, False).drop("new_sentence")
+        want = find_arguments(topics, collection, key, "source", "doc_id", options)
+        got = find_arguments(topics, collection, key, "source", "doc_id", options, searcher=some)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 # --- plans -------------------------------------------------------------------------------------
 
 
@@ -277,6 +292,12 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert "EqualTo(source,src1)" in text and "n_chars" not in text
 
 
+def test_contexts_are_made_only_where_they_are_read(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    prepared = prepare_sentences(docs, ["doc_id"], method=None)
+    assert "slice(" in plan(prepared) and "slice(" not in plan(prepared.select("doc_id", "sent_id", "new_sentence"))
+
+
 def test_sentences_need_no_shuffle(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").repartition(spark.sparkContext.defaultParallelism)
     text = plan(prepare_sentences(docs, ["doc_id"]))

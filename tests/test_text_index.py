@@ -1,5 +1,6 @@
 """The saved inverted index against all pairs and against the search without it; growth; what a search reads."""
 
+import os
 import random
 import re
 import uuid
@@ -111,3 +112,26 @@ def test_common_words_by_tier(spark):
     rows = [(f"the w{chr(97 + i % 26)}{chr(97 + i // 26)}" + (" law" if i % 20 == 0 else ""),) for i in range(400)]
     tiers = common_words(spark.createDataFrame(rows, "text string"), "text")
     assert "the" in tiers[2] and "law" in tiers[1] and sum(map(len, tiers)) == 2
+
+
+def test_the_index_holds_no_more_than_a_search_reads(spark, tmp_path):
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).removeprefix("file:")
+    left = lambda: {f for f in os.listdir(base) if f.startswith("sets-")} if os.path.isdir(base) else set()
+    before, label = left(), name()
+    make = lambda some: spark.createDataFrame(some, "id long, text string")
+    build_text_index(make(sentences(6, 40)), ["id"], "text", label, str(tmp_path / "index"), buckets=4)
+    index = extend_text_index(spark, label, make([(1000, "a new forest law"), (0, "known"), (None, "no key")]), ["id"], "text")
+    assert index.postings.columns == ["id", "size", "place", "token"] and index.sets.columns == ["id", "tokens"]
+    assert {" ".join(sorted(r.tokens.split(" "))) for r in index.sets.where("id = 1000 OR id IS NULL").collect()} == {"a forest law new", "key no"}
+    assert index.sets.where("id = 0").count() == 1 and left() == before
+
+
+def test_pairs_without_enough_words_left_do_not_move(spark, tmp_path):
+    corpus = spark.createDataFrame(sentences(7, 100), "id long, text string")
+    index = build_text_index(corpus, ["id"], "text", name(), str(tmp_path / "index"), buckets=4)
+    topics = spark.createDataFrame([("the new forest law",)], "topic string")
+    plan = indexed_top_k(topics, index, topic="topic", threshold=0.3)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    join = next(n for n, line in enumerate(lines) if "BroadcastHashJoin" in line and "token#" in line)
+    assert "place#" in lines[join] and "_at#" in lines[join] or any("place#" in line and "_at#" in line for line in lines[join - 2 : join])
+    assert plan.count("Exchange hashpartitioning(id#") == 1
