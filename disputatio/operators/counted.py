@@ -15,13 +15,14 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from disputatio.functions.text import words
 from disputatio.operators.similarity import cosine_top_k, with_num_matches
-from disputatio.session import checkpointed
+from disputatio.session import checkpointed, measure
 
 SMALL_ROWS = 200_000
 FREQUENT_WORDS = 200_000
@@ -105,8 +106,13 @@ class WordWeights:
 
 
 def count_documents(corpus: DataFrame, text: str) -> WordWeights:
-    counts = corpus.select(F.explode(F.array_distinct(words(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    return WordWeights(_small(counts), corpus.count())
+    # A null stands for the row itself, so one pass counts both.
+    found = F.coalesce(F.array_distinct(words(F.col(text))), F.array().cast("array<string>"))
+    tokens = corpus.select(F.explode(F.array_append(found, F.lit(None).cast("string"))).alias("word"))
+    counts = checkpointed(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "counted")
+    rows = measure(counts.where("word IS NULL"), F.coalesce(F.sum("df"), F.lit(0)).alias("n"))["n"]
+    table = counts.where("word IS NOT NULL")
+    return WordWeights(F.broadcast(table) if table.count() <= SMALL_ROWS else table, rows)
 
 
 def bucket(word: Column, dimensions: int) -> Column:
@@ -134,57 +140,96 @@ def embed_counted(df: DataFrame, key: Sequence[str], text: str, weights: WordWei
     words, or whose words cancel out, has a zero vector. Words that no document of the collection holds get the highest weight. Rows are told apart by their key.
 
     The ``FREQUENT_WORDS`` words of most rows are broadcast and looked up in the row's batch; only the other words of a row, each with few
-    occurrences, meet the table by a join. A row moves once, as its components.
+    occurrences, meet the table by a join. Rows are written once, as the numbers of their words. One whose words are all looked up gets its vector
+    where it is read; the others move once, as those numbers, to meet their rarer words. Where keys repeat all rows move. Vectors are not written.
     """
     spark, first, places = df.sparkSession, weights.frequent, len(key)
     names = first.column("word").to_pylist()
     marks = [_component(w, dimensions) for w in names]
     value = np.array([m[1] for m in marks]) * np.log((weights.rows + 1.0) / (first.column("df").to_numpy() + 1.0))
-    sent = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, np.array([m[0] for m in marks], dtype=np.int64), value))
+    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+    known = spark.sparkContext.broadcast((np.array([m[0] for m in marks], dtype=np.int64), value))
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, component, value = sent.value
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = numbers.value
         for batch in batches:
             lists = batch.column(places)
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             coded = lists.flatten().dictionary_encode()
-            of = np.array([place.get(w, -1) for w in coded.dictionary.to_numpy(zero_copy_only=False)], dtype=np.int64)
-            word = of[coded.indices.to_numpy(zero_copy_only=False)] if len(of) else np.empty(0, dtype=np.int64)
-            known = word >= 0
-            at = row[known] * dimensions + component[word[known]]
-            sums = np.bincount(at, weights=value[word[known]], minlength=batch.num_rows * dimensions)
-            full = np.flatnonzero(np.bincount(at, minlength=batch.num_rows * dimensions))
-            ends = np.searchsorted(full, np.arange(batch.num_rows + 1) * dimensions).astype(np.int32)
-            rare_ends = np.searchsorted(row[~known], np.arange(batch.num_rows + 1)).astype(np.int32)
-            rare = coded.filter(pa.array(~known)).dictionary_decode()
-            d, v, r = (pa.array((full % dimensions).astype(np.int32)), pa.array(sums[full]), rare.cast(pa.string()))
-            out = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (d, v)] + [pa.ListArray.from_arrays(pa.array(rare_ends), r)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:places], *out], [*key, "_d", "_v", "_rare"])
+            of = np.array([place.get(w, -1) for w in coded.dictionary.to_numpy(zero_copy_only=False)], dtype=np.int32)
+            word = of[coded.indices.to_numpy(zero_copy_only=False)] if len(of) else np.empty(0, dtype=np.int32)
+            listed, ends = word >= 0, np.arange(batch.num_rows + 1)
+            rare = coded.filter(pa.array(~listed)).dictionary_decode().cast(pa.string())
+            out = [
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(row[some], ends).astype(np.int32)), values)
+                for some, values in ((listed, pa.array(word[listed])), (~listed, rare))
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:places], *out], [*key, "_f", "_rare"])
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, lists = batch.num_rows, batch.column(places)
-            at = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False)) * dimensions + lists.flatten().to_numpy(zero_copy_only=False)
-            v = batch.column(places + 1).flatten().to_numpy(zero_copy_only=False)
+        """Neighbouring rows of one key make one vector; only the last key of a batch waits for the next one."""
+        component, value = known.value
+        for table in _whole_keys(batches, places):
+            row = _places_of_keys(table, places)
+            n, keys = int(row[-1]) + 1, table.take(pa.array(np.searchsorted(row, np.arange(row[-1] + 1))))
+            at, word = _flat(table.column("_f"), row)
+            joined = np.flatnonzero(table.column("_d").is_valid().to_numpy())
+            at = np.concatenate([at * dimensions + component[word], row[joined] * dimensions + table.column("_d").drop_null().to_numpy()])
+            v = np.concatenate([value[word], table.column("_v").drop_null().to_numpy()])
             order = np.lexsort((v, at))  # one order of addition, however the rows came together
             raw = np.bincount(at[order], weights=v[order], minlength=n * dimensions).reshape(n, dimensions)
             norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
             # A norm that is only what rounding left over is none.
             unit = np.where(norm < 1e-9, 0.0, raw / np.where(norm < 1e-9, 1.0, norm))
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dimensions + 1, dimensions, dtype=np.int32)), pa.array(unit.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:places], vectors], [*key, output])
+            yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in keys.columns[:places]], vectors], [*key, output])
 
     rows = df.select(*key, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
     kept = [f for f in rows.schema.fields if f.name != "_w"]
-    packed = rows.mapInArrow(cells, _schema(kept, "_d array<int>, _v array<double>, _rare array<string>"))
-    packed = checkpointed(packed, "cells")
-    rare = packed.select(*key, F.explode("_rare").alias("word")).join(weights.table, "word", "left")
-    rare = rare.select(
-        *key, F.array(bucket(F.col("word"), dimensions)).alias("_d"), F.array(sign(F.col("word")) * F.log(F.lit(weights.rows + 1.0) / (F.coalesce("df", F.lit(0)) + 1))).alias("_v")
-    )
-    both = packed.select(*key, "_d", "_v").unionByName(rare).groupBy(*key).agg(F.collect_list(F.struct("_d", "_v")).alias("_c"))
-    both = both.select(*key, F.flatten(F.transform("_c", lambda c: c["_d"])).alias("_d"), F.flatten(F.transform("_c", lambda c: c["_v"])).alias("_v"))
-    return both.mapInArrow(dense, _schema(kept, f"`{output}` array<double>"))
+    packed = checkpointed(rows.mapInArrow(numbered, _schema(kept, "_f array<int>, _rare array<string>")), "numbered", compression="zstd")
+    none = {"_d": F.lit(None).cast("int"), "_v": F.lit(None).cast("double")}
+    once = packed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    settled = (F.size("_rare") == 0) if once else F.lit(False)
+    moved = packed.where(~settled)
+    rare = moved.select(*key, F.explode("_rare").alias("word")).join(weights.table, "word", "left")
+    weight = sign(F.col("word")) * F.log(F.lit(weights.rows + 1.0) / (F.coalesce("df", F.lit(0)) + 1))
+    rare = rare.select(*key, F.lit(None).cast("array<int>").alias("_f"), bucket(F.col("word"), dimensions).alias("_d"), weight.alias("_v"))
+    gathered = moved.drop("_rare").withColumns(none).unionByName(rare).repartition(*key).sortWithinPartitions(*key)
+    schema = _schema(kept, f"`{output}` array<double>")
+    vectors = gathered.mapInArrow(dense, schema)
+    return packed.where(settled).drop("_rare").withColumns(none).mapInArrow(dense, schema).unionByName(vectors) if once else vectors
+
+
+def _flat(lists: pa.ChunkedArray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of a list column its row's entry of ``row``, and the value; a null list has none."""
+    lists = lists.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(row, lengths), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _places_of_keys(table: pa.Table, places: int) -> np.ndarray:
+    """Number of each row's key, from 0, where rows of one key are neighbours; nulls are equal."""
+    new = np.zeros(table.num_rows, dtype=np.int64)
+    for column in table.columns[:places]:
+        code = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.cumsum(new)
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.Table]:
+    """The batches, cut so that no key stands in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        row = _places_of_keys(table, places)
+        last = int(np.searchsorted(row, row[-1]))
+        held = table.slice(last).combine_chunks().to_batches()
+        if last:
+            yield table.slice(0, last)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def vector_search(topics: DataFrame, collection: DataFrame, key: Sequence[str], number: str, vector: str, weights: WordWeights, threshold: float, k: int, strict: bool = False) -> DataFrame:
@@ -196,6 +241,7 @@ def vector_search(topics: DataFrame, collection: DataFrame, key: Sequence[str],
     asked = topics.select("topic_rewritten", F.xxhash64("topic_rewritten").alias("topic_id"))
     embedded = embed_counted(asked, ["topic_id", "topic_rewritten"], "topic_rewritten", weights, output="vector")
     asked = checkpointed(embedded, "topics")
-    hits = cosine_top_k(asked.select("topic_id", "vector"), collection.select(F.col(number).alias("corpus_id"), F.col(vector).alias("vector")), threshold=threshold, k=k, strict=strict)
-    named = hits.join(asked.select("topic_id", "topic_rewritten"), "topic_id").join(collection.select(F.col(number).alias("corpus_id"), *key), "corpus_id")
-    return with_num_matches(named.select("topic_rewritten", *key, "similarity", "rank"), ["topic_rewritten"])
+    corpus = collection.select(F.col(number).alias("corpus_id"), F.col(vector).alias("vector"), *key)
+    hits = cosine_top_k(asked.select("topic_id", "vector"), corpus, threshold=threshold, k=k, strict=strict, carried=key)
+    hits = with_num_matches(hits, ["topic_id"])
+    return hits.join(asked.select("topic_id", "topic_rewritten"), "topic_id").select("topic_rewritten", *key, "similarity", "rank", "num_matches")

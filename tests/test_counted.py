@@ -6,10 +6,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from disputatio.operators.counted import count_documents, embed_counted, predict_counted, train_counted, vector_search
+from disputatio.operators.counted import _places_of_keys, _whole_keys, count_documents, embed_counted, predict_counted, train_counted, vector_search
 
 WORDS = "the of law forest tax vote für gegen new old house pro contra yes no".split()
 
@@ -125,3 +126,33 @@ def test_rare_words_and_keys_that_repeat(spark, monkeypatch):
     found = {r.id: r.embedding for r in got.collect()}
     assert found.keys() == want.keys() and got.count() == len(want)
     assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(found[k], want[k], strict=True))
+
+
+def test_vectors_are_not_written_and_their_search_reads_them_once(spark):
+    """Rows are written once, as numbers of words, and no word moves whose weight is at hand."""
+    corpus = texts(7, 60)
+    df = frame(spark, corpus)
+    weights = count_documents(df, "text")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(_):
+        calls.add(1)
+        return True
+
+    vectors = embed_counted(df.where("text IS NOT NULL"), ["id"], "text", weights)
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_f#") and "explode(_rare" in plan and "_c#" not in plan
+    counted = vectors.where(F.udf(seen, "boolean")("id")).withColumn("number", F.col("id"))
+    topics = spark.createDataFrame([(corpus[0][1],)], "topic_rewritten string")
+    found = vector_search(topics, counted, ["id"], "number", "embedding", weights, 0.3, 5).collect()
+    assert len(found) == 5 and calls.value == sum(t is not None for _, t, _ in corpus)
+
+
+def test_keys_are_not_cut_by_batches():
+    rows = [(None, 1), (None, 1), (1, None), (1, 2), (1, 2), (1, 2), (2, 2), (3, 3), (3, 3)]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.int64()) for n in range(2)], ["a", "b"])
+    for size in (1, 2, 4, 9):
+        tables = list(_whole_keys((whole.slice(n, size) for n in range(0, len(rows), size)), 2))
+        keys = [[tuple(r.values()) for r in t.to_pylist()] for t in tables]
+        assert [k for t in keys for k in t] == rows and sum(len(set(t)) for t in keys) == len(set(rows))
+        assert all(list(_places_of_keys(t, 2)) == [sorted(set(k), key=k.index).index(x) for x in k] for t, k in zip(tables, keys))

@@ -2,11 +2,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from disputatio.operators.evidence import with_best_sentence, with_best_sentence_by_ratio
 from disputatio.operators.similarity import (
+    _Best,
+    _Carried,
     approximate_cosine_join,
     centroids,
     cosine,
@@ -158,3 +161,15 @@ def test_best_sentence_by_ratio_equals_brute_force(spark, small):
         want = None if not ratios else ratios.index(max(ratios))
         assert row["best_pos"] == want
         assert row["best_sentence"] == (None if want is None else sentences[want])
+
+
+def test_carried_rows_outlive_those_no_topic_keeps(monkeypatch):
+    monkeypatch.setattr("disputatio.operators.similarity.CARRIED_ROWS", 3)
+    best = _Best(1, 2)
+    rows = _Carried(best)
+    for low in range(0, 40, 4):
+        ids = np.arange(low, low + 4)
+        best.add(0, 1.0 / (1 + np.abs(ids - 17)), ids)
+        rows.add(ids, pa.RecordBatch.from_arrays([pa.array([f"row {i}" for i in ids])], ["name"]))
+    ids = best.kept[0][1]
+    assert sorted(ids) == [16, 17] and rows.of(ids)[0].to_pylist() == [f"row {i}" for i in ids] and rows.count < 12
